@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import chat, lines, media, pieces, quality, warc
+from isochron.llm import chat, decontaminate, lines, media, pieces, quality, warc
 from isochron.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op7_warc": lambda spark, d: warc.warc_report(table(spark, d, "pages")),
         "op8_chat_formatting": lambda spark, d: chat.chat_report(table(spark, d, "conversations")),
+        "op9_benchmark_decontamination": lambda spark, d: decontaminate.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_sentencepiece": lambda spark, d: pieces.pieces_report(table(spark, d, "documents")),
     }
 
@@ -63,4 +64,16 @@ def oracle_sql() -> dict[str, str]:
                    CAST(3 + sum(length(text) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 ELSE 24 + length(role) END)
                         + sum(len(regexp_extract_all(text, '</s>|<s>|<<SYS>>|<</SYS>>|\\[INST\\]|\\[/INST\\]|<\\|[a-z]+\\|>'))) AS BIGINT) AS formatted_chars
             FROM c GROUP BY conv_id""",
+        "op9_benchmark_decontamination": f"""
+            WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
+                 b AS (SELECT item_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
+                 w AS (SELECT DISTINCT item_id, words[s:s + 9] AS win FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM b WHERE len(words) > 0)),
+                 n AS (SELECT DISTINCT len(win) AS size FROM w),
+                 p AS (SELECT doc_id, size, words[s:s + size - 1] AS win, s FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS s FROM d, n WHERE len(words) >= size)),
+                 h AS (SELECT p.doc_id, p.s, p.size, w.item_id FROM p JOIN w ON p.win = w.win),
+                 c AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS spot FROM h) GROUP BY doc_id),
+                 i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY doc_id)
+            SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+                   sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+            FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
     }
