@@ -71,7 +71,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def merged(parts: DataFrame, n_slots: int = SLOTS) -> DataFrame:
     """Filters of tasks (rows of ``Counter2.rows``) summed up segment by segment."""
-    return parts.repartition(max(1, min(64, n_slots // _SEGMENT)), "segment").mapInArrow(_merge, SCHEMA)
+    return parts.repartition(max(1, min(16, n_slots // _SEGMENT)), "segment").mapInArrow(_merge, SCHEMA)
 
 
 def collected(parts: DataFrame, level: str, n_slots: int = SLOTS) -> bytes:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import chat, decontaminate, lines, media, pieces, quality, warc
+from isochron.llm import chat, decontaminate, lines, media, pieces, quality, substrings, warc
 from isochron.llm.common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each applies one operator to its whole table."""
     return {
         "op2_media_columns": lambda spark, d: media.media_report(table(spark, d, "documents")),
+        "op4_suffix_array_dedup": lambda spark, d: substrings.substring_report(table(spark, d, "documents")),
         "op5_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
         "op6_quality_classifier": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
         "op7_warc": lambda spark, d: warc.warc_report(table(spark, d, "pages")),

@@ -130,3 +130,67 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int)
         order = np.argsort(at, kind="stable")
         out, at = out[order], at[order]
     return out, at
+
+
+#: Low bits of a minimizer key that hold a position; a block of windows has to be shorter.
+POSITION_BITS = np.uint64(21)
+_POSITION = (np.uint64(1) << POSITION_BITS) - np.uint64(1)
+
+
+def window_blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yield (bytes, offsets, row numbers, start of the bytes in its row) so that each window of each row is in one block.
+
+    A row longer than a block is cut into parts that overlap by length - 1 bytes.
+    """
+    for i, j, part, at in blocks(data, offsets):
+        if len(part) <= BLOCK_BYTES:
+            yield part, at, np.arange(i, j), np.zeros(j - i, np.int64)
+        else:
+            for t in range(0, len(part), BLOCK_BYTES):
+                some = part[t : t + BLOCK_BYTES + length - 1]
+                yield some, np.array([0, len(some)]), np.array([i]), np.array([t])
+
+
+class Anchors:
+    """The anchors of one block: each window of ``length`` bytes is led by the leftmost least hash of its ``gram``-byte strings.
+
+    ``lo``..``hi`` are the starts of the windows that one anchor leads, ``gram_hash`` hashes the anchor's bytes, and
+    ``context_hash`` all bytes that those windows cover. Equal windows have equal anchors at equal places, wherever
+    they lie, so repeats can be searched anchor by anchor.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+        self.length, n = length, len(data)
+        self.rows = self.lo = self.hi = np.zeros(0, np.int64)
+        self.gram_hash = self.context_hash = np.zeros(0, np.uint64)
+        if n < length:
+            return
+        self.sums = prefix_sums(data)
+        self.inverse = powers(BASE_INVERSE, n + 1)
+        hashes = mix((self.sums[gram:] - self.sums[:-gram]) * self.inverse[: n - gram + 1])
+        key = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+        width, span = length - gram + 1, 1
+        while span * 2 <= width:
+            key = np.minimum(key[:-span], key[span:])
+            span *= 2
+        if span < width:
+            key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
+        leader = (key & _POSITION).astype(np.int64)
+        inside = np.arange(len(leader)) + length <= np.repeat(offsets[1:], np.diff(offsets))[: len(leader)]
+        leader = np.where(inside, leader, -1)
+        lo = np.flatnonzero(np.append(True, leader[1:] != leader[:-1]))
+        hi = np.append(lo[1:], len(leader)) - 1
+        keep = leader[lo] >= 0
+        self.lo, self.hi = lo[keep], hi[keep]
+        at = leader[self.lo]
+        self.gram_hash = hashes[at]
+        shape = (at - self.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (self.hi - self.lo).astype(np.uint64)
+        self.context_hash = mix((self.sums[self.hi + length] - self.sums[self.lo]) * self.inverse[self.lo] + shape)
+        self.rows = np.searchsorted(offsets, self.lo, "right") - 1
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor number, start, hash) of every window that the chosen anchors lead."""
+        counts = (self.hi - self.lo + 1)[chosen]
+        which = np.repeat(chosen, counts)
+        starts = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + self.lo[which]
+        return which, starts, mix((self.sums[starts + self.length] - self.sums[starts]) * self.inverse[starts])
