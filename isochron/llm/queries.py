@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import chat, decontaminate, lines, media, pieces, quality, substrings, warc
+from isochron.llm import chat, decontaminate, lines, media, ngram_join, pieces, quality, substrings, warc
 from isochron.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each applies one operator to its whole table."""
     return {
+        "op1_ngram_jaccard_join": lambda spark, d: ngram_join.jaccard_components(table(spark, d, "documents")),
         "op2_media_columns": lambda spark, d: media.media_report(table(spark, d, "documents")),
         "op4_suffix_array_dedup": lambda spark, d: substrings.substring_report(table(spark, d, "documents")),
         "op5_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
@@ -32,6 +33,16 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express."""
     return {
+        "op1_ngram_jaccard_join": f"""
+            WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+                 s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                         ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingles FROM w),
+                 n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s),
+                 t AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+                 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+                 l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * shared >= 75 * (a.n + b.n - shared)),
+                 r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+            SELECT n.doc_id, n.n AS n_shingles, min(r.y) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY ALL""",
         "op5_line_dedup": f"""
             WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
