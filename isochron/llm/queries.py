@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import chat, decontaminate, lines, media, ngram_join, pieces, quality, substrings, warc
+from isochron.llm import chat, decontaminate, licenses, lines, media, ngram_join, pieces, quality, substrings, warc
 from isochron.llm.common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": lambda spark, d: ngram_join.jaccard_components(table(spark, d, "documents")),
         "op2_media_columns": lambda spark, d: media.media_report(table(spark, d, "documents")),
+        "op3_license_scans": lambda spark, d: licenses.licence_report(table(spark, d, "documents")),
         "op4_suffix_array_dedup": lambda spark, d: substrings.substring_report(table(spark, d, "documents")),
         "op5_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
         "op6_quality_classifier": lambda spark, d: quality.quality_report(table(spark, d, "documents"), table(spark, d, "labels")),
