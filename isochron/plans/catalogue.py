@@ -1,9 +1,486 @@
-"""The query catalogue."""
+"""The query catalogue: each operator on one of the driver's tables in the role of the engine's own, with its SQL.
 
+Roles: orders are bitemporal rates (customer = code, priority = schedule, date = start, the day before the next one =
+end), lineitem declarations, customer/nation/region dimensions and a tree, part the nomenclature, events the verdict log,
+documents with embeddings the chunks (four of them an article), pages gazette pages, conversations the chat, benchmark
+the questions.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from isochron.functions import text
+from isochron.operators import events, integrity, parsers, retrieval, tariff, temporal
+from isochron.sources import documents as sources
+from isochron.sources.tables import ordinal, read_table, resolve, with_keys
+
+DAY = "1998-06-17"
+CUT = ("1998-03-09", "1998-04-30")
+VERDICT_OF = {"purchase": "correct", "error": "wrong", "view": "unsure"}
+
+_RATE = """rate AS (SELECT k, sch, f, lead(f) OVER (PARTITION BY k, sch ORDER BY f) - 1 AS t, pct
+     FROM (SELECT o_custkey k, o_orderpriority sch, CAST(o_orderdate AS date) f, max(CAST(o_totalprice AS decimal(18,2))) pct FROM orders GROUP BY 1, 2, 3) z)"""
+_VALID = f"f <= DATE '{DAY}' AND (t IS NULL OR DATE '{DAY}' <= t)"
+
+
+def rates(spark: SparkSession, d: str) -> DataFrame:
+    """(k, sch, f, t, pct): one rate for each code, schedule and start; each ends the day before the next."""
+    orders = read_table(spark, d, "orders")
+    one = orders.groupBy(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("sch"), F.col("o_orderdate").cast("date").alias("f")).agg(F.max(F.col("o_totalprice").cast("decimal(18,2)")).alias("pct"))
+    return one.withColumn("t", F.date_sub(F.lead("f").over(Window.partitionBy("k", "sch").orderBy("f")), 1))
+
+
+def asof_point(spark, d):
+    in_force = rates(spark, d).where(temporal.valid_at(DAY, "f", "t"))
+    return in_force.select("k", "sch", F.col("f").cast("string").alias("f"), F.col("t").cast("string").alias("t"), F.col("pct").cast("double").alias("pct"))
+
+
+def asof_join(spark, d):
+    line = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("day"))
+    order = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("sch"))
+    declared = line.join(order, "l_orderkey")
+    found = temporal.asof_join(declared, rates(spark, d), ["k", "sch"], "day", "f", "t")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.col("day").cast("string").alias("day"), F.col("pct").cast("double").alias("pct"))
+
+
+def carve_out_split(spark, d):
+    base = rates(spark, d).where(F.col("sch") == "1-URGENT")
+    cuts = base.select("k", "sch").distinct().where(F.col("k") % 3 == 0).select("k", "sch", F.lit(CUT[0]).cast("date").alias("cf"), F.lit(CUT[1]).cast("date").alias("ct"), F.lit(0).cast("decimal(18,2)").alias("cv"))
+    done = temporal.split_around(base, cuts, ["k", "sch"], "f", "t", "pct", "cf", "ct", "cv")
+    return done.select("k", "sch", F.col("f").cast("string").alias("f"), F.col("t").cast("string").alias("t"), F.col("pct").cast("double").alias("pct"), "piece")
+
+
+def _dirty(spark, d):
+    """Rates of which every seventh code's end is a month late, so that they overlap."""
+    r = rates(spark, d).withColumn("id", F.concat_ws("/", F.col("k").cast("string"), "sch", F.col("f").cast("string")))
+    return r.withColumn("t", F.when(F.col("k") % 7 == 0, F.date_add("t", 30)).otherwise(F.col("t")))
+
+
+def overlap_violations(spark, d):
+    return temporal.overlap_flags(rates(spark, d), ["k", "sch"], "f", "t", ["pct"]).select("k", "sch", F.col("f").cast("string").alias("f"))
+
+
+def overlap_dirty_rows(spark, d):
+    return temporal.overlap_flags(_dirty(spark, d), ["k", "sch"], "f", "t", ["id"]).select("k", "sch", F.col("f").cast("string").alias("f"))
+
+
+def overlap_dirty_pairs(spark, d):
+    return temporal.overlap_pairs(_dirty(spark, d), ["k", "sch"], "f", "t", "id").select("k", "sch", "first", "second")
+
+
+def staleness(spark, d):
+    facts = read_table(spark, d, "orders").select(F.col("o_orderdate").alias("recorded_at"))
+    return temporal.staleness(facts, "2001-07-01", "recorded_at", 48)
+
+
+def annual_intervals(spark, d):
+    part = read_table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat((F.col("p_size") + i).cast("string"), F.lit(",5")))).otherwise(F.array(F.col("p_size").cast("string"))).alias("rates"))
+    done = temporal.annual_intervals(part, "rates", [2022, 2023, 2024, 2025, 2026, 2027], ("2022-12-30", "2027-12-31"))
+    return done.select("p_partkey", text.parse_percent(F.col("rate")).cast("double").alias("rate"), F.col("effective_from").cast("string").alias("effective_from"), F.col("effective_to").cast("string").alias("effective_to"), "irregular")
+
+
+def supersede_snapshot(spark, d):
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(None).cast("string").alias("superseded_at"))
+    gone = orders.where(F.col("o_orderstatus") == "F").select("o_orderkey")
+    return temporal.supersede(orders, gone, "o_orderkey", F.lit("2001-09-01"))
+
+
+def append_only_diff(spark, d):
+    old = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, F.lit("2000-01-01")).alias("superseded_at"))
+    k = F.col("o_orderkey")
+    new = old.where(k % 101 != 0).select("o_orderkey", F.when(k % 97 == 0, F.lit("X")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 13 == 0, F.lit("2001-01-01")).otherwise(F.col("superseded_at")).alias("superseded_at"))
+    return integrity.append_only_diff(old, new, "o_orderkey")
+
+
+def _shaped(spark, d):
+    """Orders as rate rows, of which some break a rule."""
+    o, k = read_table(spark, d, "orders"), F.col("o_orderkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("ad_valorem", "specific", "compound", "excluded", "trq")]), (k % 5 + 1).cast("int"))
+    return o.select(
+        "o_orderkey", F.lpad((k % 100000000).cast("string"), 8, "0").alias("code0"), kind.alias("rate_type"),
+        F.when(k % 5 != 1, F.col("o_totalprice").cast("decimal(18,2)")).alias("rate_percent"), F.when((k % 5).isin(1, 2) | (k % 40 == 0), F.lit(10000)).alias("amount"),
+        F.lit("USD").alias("cur0"), F.when(k % 50 != 0, F.lit(1)).alias("annex_id"), F.when(k % 3 == 0, F.lit(4)).alias("out_of_quota_annex_id"),
+        F.col("o_orderdate").cast("date").alias("effective_from"), F.when(k % 30 == 0, F.date_sub(F.col("o_orderdate").cast("date"), 1)).alias("effective_to"),
+    ).select("o_orderkey", F.when(k % 60 == 0, F.lit("12AB")).otherwise(F.col("code0")).alias("hs_code"), "rate_type", "rate_percent", "amount", F.when(F.col("amount").isNotNull(), F.col("cur0")).alias("amount_currency"), F.when(F.col("amount").isNotNull(), F.lit("pc")).alias("amount_unit"), "annex_id", "out_of_quota_annex_id", "effective_from", "effective_to")
+
+
+def shape_violations(spark, d):
+    return integrity.violations(_shaped(spark, d), integrity.rate_rules()).select("o_orderkey", "rule")
+
+
+def fk_orphans(spark, d):
+    line = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    kept = read_table(spark, d, "orders").where(F.col("o_orderkey") % 10 != 0)
+    return integrity.orphans(line, kept, "l_orderkey", "o_orderkey")
+
+
+def format_violations(spark, d):
+    named = read_table(spark, d, "customer").select("c_custkey", F.substring("c_name", 10, 9).alias("code"))
+    return named.where(~F.col("code").rlike(integrity.HS8) | (F.col("c_custkey") % 100 == 0))
+
+
+def unique_violations(spark, d):
+    return integrity.duplicates(read_table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("sch"), F.col("o_orderdate").cast("date").cast("string").alias("f")), ["k", "sch", "f"])
+
+
+def _goods(spark, d):
+    part = read_table(spark, d, "part")
+    return part.select(F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("hs_code"), F.col("p_name").alias("heading"), F.concat_ws(" › ", "p_type", "p_brand", "p_name").alias("path"), "p_partkey")
+
+
+def _mfn(spark, d):
+    r = rates(spark, d).where(temporal.valid_at(DAY, "f", "t") & (F.col("sch") == "1-URGENT"))
+    return r.select(F.lpad(F.col("k").cast("string"), 8, "0").alias("hs_code"), F.col("pct").cast("double").alias("mfn"))
+
+
+def prefix_search(spark, d):
+    return tariff.search_prefix(_goods(spark, d).drop("p_partkey"), _mfn(spark, d), "0000.01")
+
+
+def word_search(spark, d):
+    return tariff.search_words(_goods(spark, d).drop("p_partkey"), _mfn(spark, d), "Ring")
+
+
+def mfn_scalar(spark, d):
+    return _goods(spark, d).join(_mfn(spark, d), "hs_code", "left").select("p_partkey", "hs_code", "mfn")
+
+
+def star_lookup(spark, d):
+    r = rates(spark, d).where(temporal.valid_at(DAY, "f", "t")).withColumn("id", F.monotonically_increasing_id())
+    dims = with_keys(read_table(spark, d, "orders").select(F.col("o_orderpriority").alias("code")).distinct(), ["code"]).withColumn("requires_co", F.col("code") > "3")
+    keyed = resolve(r, dims, {"sch": "code"}, "id", "schedule_id").join(dims.select(F.col("id").alias("schedule_id"), "code", "requires_co"), "schedule_id")
+    customer = read_table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
+    nation = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    mfn = keyed.where(F.col("sch") == "1-URGENT").select("k", text.show_percent(F.col("pct")).alias("base"))
+    joined = keyed.join(customer, "k").join(nation, "c_nationkey").join(mfn, "k", "left")
+    own = F.concat(text.show_percent(F.col("pct")), F.lit("%"))
+    statement = tariff.preferential_statement(own, F.col("requires_co"), F.col("code"), F.concat("base", F.lit("%")))
+    return joined.select("k", "sch", "n_name", statement.alias("statement"))
+
+
+def verdict_summary(spark, d):
+    log = read_table(spark, d, "events")
+    verdict = F.create_map(*[F.lit(x) for pair in VERDICT_OF.items() for x in pair])
+    return events.verdict_summary(log.withColumn("verdict", F.try_element_at(verdict, F.col("event_type"))), ["user_id"])
+
+
+def recent_k(spark, d):
+    log = read_table(spark, d, "events")
+    return events.recent(log, ["user_id"], [F.desc("ts"), F.desc("event_id")], 8).select("user_id", "event_id", "rn")
+
+
+def last_lookup_state(spark, d):
+    log = read_table(spark, d, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "view", F.col("event_id")).alias("lookup"))
+    return events.last_lookup(log, "user_id", "ts", "event_id", F.col("lookup"), 24 * 3600).select("event_id", "user_id", "prior")
+
+
+def json_condition(spark, d):
+    log = read_table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return log.where(F.col("k") >= 50).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.to_json(F.struct("k")).alias("echo"))
+
+
+def md5_sample(spark, d):
+    goods = read_table(spark, d, "part").select("p_partkey", F.md5(F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string"))).alias("digest"))
+    return goods.orderBy("digest", "p_partkey").limit(20)
+
+
+def match_tally(spark, d):
+    declared = read_table(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("applied"), F.col("l_shipdate").cast("date").alias("day"))
+    order = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("sch"))
+    joined = temporal.asof_join(declared.join(order, "l_orderkey"), rates(spark, d), ["k", "sch"], "day", "f", "t", "left")
+    near = F.abs(F.col("applied") - F.col("pct")) < 100000
+    return joined.groupBy("sch").agg(F.count_if(near).alias("matched"), F.count_if(~near).alias("mismatched"), F.count_if(F.col("pct").isNull()).alias("not_loaded"))
+
+
+def width_distribution(spark, d):
+    lines = read_table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy(F.size(F.split("line", " ")).cast("bigint").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_topn(spark, d):
+    return read_table(spark, d, "lineitem").groupBy("l_discount").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_discount").limit(12)
+
+
+def distinct_by_partition(spark, d):
+    line = read_table(spark, d, "lineitem")
+    return line.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("l_partkey").alias("n_parts"), F.count_distinct(F.when(F.col("l_discount") > 0, F.col("l_partkey"))).alias("n_discounted"))
+
+
+def dedupe_first(spark, d):
+    rows = read_table(spark, d, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("rate"))
+    # Order and line numbers repeat, so the quantity of a tie is the lesser rate's.
+    one = rows.groupBy("l_partkey", "pos").agg(F.min("rate").alias("rate"))
+    return tariff.first_rows(one, "l_partkey", "pos", prefer="rate").select("l_partkey", "pos", "rate")
+
+
+def forward_marker(spark, d):
+    lines = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    level = F.when(F.col("line").contains("The "), 1).when(F.col("line").contains("License"), 2)
+    marked = parsers.forward_marker(lines, ["doc_id"], level, "marker")
+    carried = parsers.carry(marked, ["doc_id"], F.when(F.length("line") < 20, F.col("line")), "context")
+    return carried.groupBy("doc_id").agg(F.count_if(F.col("marker") == 1).alias("first"), F.count_if(F.col("marker") == 2).alias("second"), F.count("context").alias("carried"), F.max("context").alias("last_context"))
+
+
+def page_links(spark, d):
+    return sources.links(read_table(spark, d, "pages"), "page_id", "html").select("page_id", "pos", "href")
+
+
+def first_page_link(spark, d):
+    return sources.first_link(sources.links(read_table(spark, d, "pages"), "page_id", "html", "^/t"), "page_id")
+
+
+def page_levels(spark, d):
+    found = read_table(spark, d, "pages").select(F.explode(F.expr("regexp_extract_all(html, '<(h1|p|li|div|a)[ >]', 1)")).alias("level"))
+    return found.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _chunks(spark, d):
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.expr("doc_id div 4").alias("aid"), text.word_list(F.col("text")).alias("tokens"), F.lit("1990-01-01").cast("date").alias("effective_from"), F.when(F.col("doc_id") % 10 == 0, F.lit("1995-01-01").cast("date")).alias("effective_to"), F.when(F.col("source") == "src3", retrieval.REPEALED).otherwise("con_hieu_luc").alias("effectiveness"))
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), "embedding")
+    return retrieval.in_force(docs.join(vectors, "pid", "left"), DAY)
+
+
+TERMS = ["onanha", "ingsh", "thea", "hein"]
+QUERY = [((i * 37) % 64 - 32) / 64 for i in range(64)]
+
+
+def keyword_topk(spark, d):
+    scored = retrieval.keyword_branch(_chunks(spark, d), TERMS, 20)
+    return scored.select("aid", "pid", F.col("rk").cast("bigint"))
+
+
+def cosine_topk(spark, d):
+    return retrieval.vector_branch(_chunks(spark, d), QUERY, 20).select("aid", "pid", F.col("rk").cast("bigint"), F.round("dist", 6).alias("dist"))
+
+
+def hybrid_rrf(spark, d):
+    chunks = _chunks(spark, d)
+    fused = retrieval.fuse(retrieval.keyword_branch(chunks, TERMS), retrieval.vector_branch(chunks, QUERY))
+    return fused.select("aid", F.col("best_pid"), "kw_hit", F.round("score", 6).alias("score"), F.round("best_dist", 6).alias("best_dist"))
+
+
+def abstain_gate(spark, d):
+    chunks = _chunks(spark, d)
+    fused = retrieval.fuse(retrieval.keyword_branch(chunks, TERMS), retrieval.vector_branch(chunks, QUERY), 50)
+    return retrieval.relevant(fused, 0.75, 5).select("aid", F.round("best_dist", 6).alias("best_dist"))
+
+
+def citation_check(spark, d):
+    turns = read_table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("kept"))
+    rows = turns.select("conv_id", F.filter("kept", lambda t: (t % 2 == 0) & (F.col("conv_id") % 5 != 0)).alias("kept"), F.when(F.col("conv_id") % 3 != 0, F.lit("x")).alias("answer"), (F.col("conv_id") % 7 == 0).alias("abstain"), F.array((F.col("conv_id") % 4), F.lit(2).cast("bigint"), (F.col("conv_id") % 4)).alias("cited"))
+    done = retrieval.outcome(rows)
+    return done.select("conv_id", "outcome", F.array_join(F.transform("citations", lambda x: x.cast("string")), ",").alias("citations"))
+
+
+def recall_at_k(spark, d):
+    items = read_table(spark, d, "benchmark").select("item_id", F.explode(F.slice(text.search_terms(F.col("text"), ()), 1, 3)).alias("word"))
+    docs = read_table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.word_list(F.col("text")))).alias("word"))
+    hits = items.join(docs, "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = events.recent(hits, ["item_id"], [F.desc("n"), F.asc("doc_id")], 5).withColumnRenamed("rn", "rk")
+    expected = hits.groupBy("item_id").agg(F.max(F.struct("n", F.col("doc_id"))).alias("m")).select("item_id", F.col("m.doc_id").alias("doc_id"))
+    return retrieval.recall_at_k(ranked, expected, "item_id", "doc_id", 5)
+
+
+def query_terms(spark, d):
+    return read_table(spark, d, "benchmark").select("item_id", F.array_join(text.search_terms(F.col("text"), ("the", "of", "la", "de")), " ").alias("terms"))
+
+
+_QUESTIONS = ("Thuế ngày 5 tháng 3 năm 2024?", "as of 2023-07-09 please", "hạn 1/2/2022", "luật năm 2019 quy định", "NĂM 2020 thì sao", "không có gì", "ngày 15 tháng 11 năm 2021 và 2022-01-01")
+
+
+def asof_extract(spark, d):
+    asked = read_table(spark, d, "nation").where(F.col("n_nationkey") < len(_QUESTIONS)).select("n_nationkey", F.element_at(F.array(*[F.lit(q) for q in _QUESTIONS]), F.col("n_nationkey") + 1).alias("q"))
+    return asked.select("n_nationkey", text.as_of_date(F.col("q")).alias("as_of"))
+
+
+def tree_paths(spark, d):
+    """Region, nation and customer as one tree with ids, resolved by a self join and walked by a recursive query."""
+    r = read_table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("key"), F.lit(None).cast("string").alias("parent_key"), F.col("r_name").alias("name"))
+    n = read_table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.concat(F.lit("r"), "n_regionkey").alias("parent_key"), F.col("n_name").alias("name"))
+    c = read_table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.concat(F.lit("n"), "c_nationkey").alias("parent_key"), F.col("c_name").alias("name"))
+    nodes = r.unionByName(n).unionByName(c)
+    level = nodes.where(F.col("parent_key").isNull()).select("key", F.col("name").alias("path"), F.lit(0).alias("depth"))
+    out = level
+    # The depth of a provision tree is five at most, so the walk is a fixed number of joins.
+    for i in range(1, 3):
+        below = nodes.select(F.col("key").alias("__key"), F.col("parent_key").alias("key"), "name")
+        level = level.select("key", "path").join(below, "key").select(F.col("__key").alias("key"), F.concat_ws(" › ", "path", "name").alias("path"), F.lit(i).alias("depth"))
+        out = out.unionByName(level)
+    return out
+
+
+def chunk_build(spark, d):
+    """Articles are the documents, clauses their lines: heading from the first line, caps as in the loader."""
+    docs = read_table(spark, d, "documents")
+    lines = F.split("text", "\n")
+    art = docs.select(F.col("doc_id").cast("string").alias("document"), F.col("doc_id").cast("string").alias("key"), F.lit(None).cast("string").alias("parent_key"), F.lit("dieu").alias("ptype"), F.lit(0).alias("order_index"), F.element_at(lines, 1).alias("heading"), F.col("text").alias("body"))
+    clause = docs.select(F.col("doc_id").cast("string").alias("document"), F.posexplode(lines).alias("pos", "body")).where(F.col("pos") > 0)
+    clause = clause.select("document", F.concat("document", F.lit("-"), "pos").alias("key"), F.col("document").alias("parent_key"), F.lit("khoan").alias("ptype"), F.col("pos").alias("order_index"), F.lit(None).cast("string").alias("heading"), "body")
+    number = docs.select(F.col("doc_id").cast("string").alias("number"), F.col("source").alias("summary"), F.lit("2020-01-01").alias("effective_from"), F.lit(None).cast("string").alias("effective_to"), F.lit(None).cast("string").alias("effectiveness"))
+    done = parsers.chunks(art.unionByName(clause), number)
+    return done.select("provision_key", "article_key", F.md5("body").alias("body_md5"), F.length("embed_text").alias("embed_chars"), "effectiveness")
+
+
+def chat_codes(spark, d):
+    said = read_table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.when(F.col("turn") == 0, F.concat(F.lit(" mã "), F.lpad((F.col("conv_id") + 1000).cast("string"), 4, "0"), F.lit(".10.20 từ CN"))).otherwise(F.lit(""))).alias("message"))
+    return said.select("conv_id", "turn", events.code_in(F.col("message")).alias("code"), events.origin_in(F.col("message")).alias("origin"), events.is_correction(F.col("message")).alias("correction"))
+
+
+def chat_verdicts(spark, d):
+    words = ["Đúng rồi!", "sai", "không chắc...", "ok", "Chuẩn", "why", "SAI RỒI"]
+    log = read_table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % len(words) + 1).cast("int")).alias("message"))
+    return log.groupBy(F.coalesce(events.verdict_of(F.col("message")), F.lit("none")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quota_typing(spark, d):
+    part = read_table(spark, d, "part")
+    rows = part.select("p_partkey", F.col("p_size").cast("string").alias("hs"), F.when(F.col("p_partkey") % 9 == 0, F.lit("*")).when(F.col("p_partkey") % 8 != 0, F.concat(F.col("p_size").cast("string"), F.lit(",5"))).alias("rate"))
+    quota = part.where(F.col("p_size") < 10).select(F.col("p_size").cast("string").alias("hs"))
+    return tariff.typed_rows(rows, quota).select("p_partkey", "rate_type", F.col("rate_percent").cast("double").alias("rate_percent"))
+
+
+def enum_sort(spark, d):
+    """The first rows by an enum's declared order, not its spelling."""
+    o = read_table(spark, d, "orders").withColumn("rk", ordinal("o_orderstatus", ("P", "O", "F")))
+    return o.orderBy("rk", "o_totalprice", "o_orderkey", "o_custkey").limit(25).select("o_orderkey", "o_orderstatus", F.col("rk").cast("bigint").alias("rk"))
+
+
+def candidate_merge(spark, d):
+    """Candidates of three ordered searches, each where it comes first."""
+    part = read_table(spark, d, "part")
+    lists = None
+    for i, word in enumerate(("ring", "small", "red")):
+        one = part.where(text.whole_word(F.col("p_name"), word)).select("p_partkey", F.lit(i).alias("source"), F.col("p_partkey").alias("place"))
+        lists = one if lists is None else lists.unionByName(one)
+    return events.merged_candidates(lists, "p_partkey", "source", "place")
+
+
+_WORDS = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+_CHUNKS = f"""c0 AS (SELECT doc_id AS pid, doc_id // 4 AS aid, {_WORDS.format("coalesce(text, '')")} AS tokens, embedding
+       FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE source <> 'src3' AND doc_id % 10 <> 0),
+     q AS (SELECT [{", ".join(f"CAST({x} AS DOUBLE)" for x in QUERY)}] AS qv),
+     kw AS (SELECT aid, pid, row_number() OVER (ORDER BY score DESC, pid) AS rk, CAST(NULL AS DOUBLE) AS dist FROM (
+       SELECT aid, pid, round(len(list_filter(tokens, lambda x: x IN ({", ".join(f"'{t}'" for t in TERMS)}))) / (1 + ln(len(tokens))), 9) AS score FROM c0) s WHERE score > 0),
+     vec AS (SELECT aid, pid, row_number() OVER (ORDER BY dist, pid) AS rk, dist FROM (
+       SELECT aid, pid, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), qv) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(qv, qv)), 9) AS dist
+       FROM c0, q WHERE embedding IS NOT NULL) s),
+     u AS (SELECT * FROM kw WHERE rk <= 50 UNION ALL SELECT * FROM vec WHERE rk <= 50),
+     agg AS (SELECT aid, min(rk) FILTER (WHERE dist IS NULL) AS kw_rk, min(rk) FILTER (WHERE dist IS NOT NULL) AS vec_rk, min(dist) AS best_dist,
+                    bool_or(dist IS NULL) AS kw_hit, min(rk * 10000000 + pid) % 10000000 AS best_pid FROM u GROUP BY aid),
+     fused AS (SELECT *, round(coalesce(1e0 / (12 + kw_rk), 0) + coalesce(1e0 / (12 + vec_rk), 0), 9) AS score FROM agg)"""
+_GOODS = "g AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS hs_code, p_name AS heading, p_type || ' › ' || p_brand || ' › ' || p_name AS path, p_partkey FROM part)"
+_MFN = f"m AS (SELECT lpad(CAST(k AS VARCHAR), 8, '0') AS hs_code, CAST(pct AS DOUBLE) AS mfn FROM rate WHERE {_VALID} AND sch = '1-URGENT')"
+_DIRTY = "dirty AS (SELECT k, sch, f, CASE WHEN k % 7 = 0 THEN t + 30 ELSE t END AS t, CAST(k AS VARCHAR) || '/' || sch || '/' || CAST(f AS VARCHAR) AS id FROM rate)"
+_FLAG = "SELECT k, sch, CAST(f AS VARCHAR) AS f FROM (SELECT *, max(coalesce(t, DATE '9999-12-31')) OVER (PARTITION BY k, sch ORDER BY f, {1} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {0}) z WHERE reach >= f"
+_LINE = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)"
+
+
+def _show(column: str) -> str:
+    return f"regexp_replace(regexp_replace(CAST({column} AS VARCHAR), '0+$', ''), '\\.$', '')"
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries, by name."""
+    verdicts = {
+        "correct": "'đúng', 'dung', 'chuẩn', 'chuan', 'chính xác', 'chinh xac', 'đúng rồi', 'dung roi', 'chuẩn rồi', 'ok', 'oke', 'okie', 'okay'",
+        "wrong": "'sai', 'sai rồi', 'sai roi', 'không đúng'",
+        "unsure": "'không chắc', 'ko chắc', 'khong chac'",
+    }
+    answers = {0: "2024-03-05", 1: "2023-07-09", 2: "2022-02-01", 3: "2019-12-31", 4: "2020-12-31", 5: None, 6: "2022-01-01"}
+    questions = ", ".join(f"({k}, {'NULL' if v is None else repr(v)})" for k, v in answers.items())
+    declared = "SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS date) AS day, CAST(l_extendedprice AS decimal(18,2)) AS applied, o_custkey AS k, o_orderpriority AS sch FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+    return {
+        "asof_point": f"WITH {_RATE} SELECT k, sch, CAST(f AS VARCHAR) AS f, CAST(t AS VARCHAR) AS t, CAST(pct AS DOUBLE) AS pct FROM rate WHERE {_VALID}",
+        "asof_join": f"WITH {_RATE}, e AS ({declared}) SELECT l_orderkey, l_linenumber, l_partkey, CAST(day AS VARCHAR) AS day, CAST(pct AS DOUBLE) AS pct FROM e JOIN rate USING (k, sch) WHERE f <= day AND (t IS NULL OR day <= t)",
+        "carve_out_split": f"""WITH {_RATE}, b AS (SELECT *, k % 3 = 0 AND DATE '{CUT[0]}' <= coalesce(t, DATE '9999-12-31') AND DATE '{CUT[1]}' >= f AS hit FROM rate WHERE sch = '1-URGENT')
+            SELECT k, sch, CAST(f AS VARCHAR) AS f, CAST(t AS VARCHAR) AS t, CAST(pct AS DOUBLE) AS pct, piece FROM (
+              SELECT k, sch, f, t, pct, 'whole' AS piece FROM b WHERE NOT hit
+              UNION ALL SELECT k, sch, f, DATE '{CUT[0]}' - 1, pct, 'before' FROM b WHERE hit AND f < DATE '{CUT[0]}'
+              UNION ALL SELECT k, sch, greatest(f, DATE '{CUT[0]}'), least(coalesce(t, DATE '9999-12-31'), DATE '{CUT[1]}'), 0, 'during' FROM b WHERE hit
+              UNION ALL SELECT k, sch, DATE '{CUT[1]}' + 1, t, pct, 'after' FROM b WHERE hit AND coalesce(t, DATE '9999-12-31') > DATE '{CUT[1]}') z""",
+        "overlap_violations": f"WITH {_RATE} {_FLAG.format('rate', 'pct')}",
+        "overlap_dirty_rows": f"WITH {_RATE}, {_DIRTY} {_FLAG.format('dirty', 'id')}",
+        "overlap_dirty_pairs": f"WITH {_RATE}, {_DIRTY} SELECT a.k, a.sch, a.id AS first, b.id AS second FROM dirty a JOIN dirty b ON a.k = b.k AND a.sch = b.sch AND a.id < b.id AND a.f <= coalesce(b.t, DATE '9999-12-31') AND b.f <= coalesce(a.t, DATE '9999-12-31')",
+        "staleness": """SELECT '2001-07-01' AS day, CAST(s AS VARCHAR) AS snapshot_date, CAST(s - 48 AS VARCHAR) AS reliable_through, DATE '2001-07-01' > s - 48 AS stale,
+            CASE WHEN DATE '2001-07-01' > s - 48 THEN '2001-07-01 lies within the gazette''s lag of the data: snapshot ' || CAST(s AS VARCHAR) || ', reliable through ' || CAST(s - 48 AS VARCHAR) END AS warning
+            FROM (SELECT CAST(max(o_orderdate) AS date) AS s FROM orders) z""",
+        "annual_intervals": """SELECT p_partkey, p_size + i + 0.5e0 AS rate, CAST(2022 + i AS VARCHAR) || '-01-01' AS effective_from, CAST(2022 + i AS VARCHAR) || '-12-31' AS effective_to, false AS irregular
+            FROM (SELECT *, unnest(range(6)) AS i FROM part WHERE p_partkey % 2 = 0) z
+            UNION ALL SELECT p_partkey, CAST(p_size AS DOUBLE), '2022-12-30', '2027-12-31', false FROM part WHERE p_partkey % 2 = 1""",
+        "supersede_snapshot": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN '2001-09-01' END AS superseded_at FROM orders",
+        "append_only_diff": "SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN 'deleted' WHEN o_orderkey % 97 = 0 THEN 'changed' ELSE 'second stamp' END AS violation FROM orders WHERE o_orderkey % 101 = 0 OR o_orderkey % 97 = 0 OR (o_orderkey % 11 = 0 AND o_orderkey % 13 = 0)",
+        "shape_violations": """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 5 AS kind, o_orderkey % 5 <> 1 AS pct, o_orderkey % 5 IN (1, 2) OR o_orderkey % 40 = 0 AS money, o_orderkey % 3 = 0 AS quota FROM orders)
+            SELECT k AS o_orderkey, 'hs_code_digits' AS rule FROM r WHERE k % 60 = 0
+            UNION ALL SELECT k, 'annex_mandatory' FROM r WHERE k % 50 = 0
+            UNION ALL SELECT k, 'interval_order' FROM r WHERE k % 30 = 0
+            UNION ALL SELECT k, 'rate_shape' FROM r WHERE NOT CASE kind WHEN 0 THEN pct AND NOT money WHEN 1 THEN NOT pct AND money WHEN 2 THEN pct AND money WHEN 3 THEN NOT pct AND NOT money ELSE pct AND quota END""",
+        "fk_orphans": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0)",
+        "format_violations": "SELECT c_custkey, substr(c_name, 10, 9) AS code FROM customer WHERE NOT regexp_full_match(substr(c_name, 10, 9), '[0-9]{8}') OR c_custkey % 100 = 0",
+        "unique_violations": "SELECT o_custkey AS k, o_orderpriority AS sch, CAST(CAST(o_orderdate AS date) AS VARCHAR) AS f, count(*) AS n FROM orders GROUP BY 1, 2, 3 HAVING count(*) > 1",
+        "prefix_search": f"WITH {_RATE}, {_GOODS}, {_MFN} SELECT g.hs_code, heading, path, mfn FROM (SELECT * FROM g WHERE hs_code LIKE '000001%' ORDER BY hs_code LIMIT 25) g LEFT JOIN m ON m.hs_code = g.hs_code",
+        "word_search": f"""WITH {_RATE}, {_GOODS}, {_MFN}, h AS (SELECT *, regexp_matches(heading, '(?i)(^|[^\\p{{L}}\\p{{N}}_])ring($|[^\\p{{L}}\\p{{N}}_])') AS inh FROM g WHERE regexp_matches(path, '(?i)(^|[^\\p{{L}}\\p{{N}}_])ring($|[^\\p{{L}}\\p{{N}}_])'))
+            SELECT h.hs_code, heading, path, mfn FROM (SELECT * FROM h ORDER BY CASE WHEN inh THEN 0 ELSE 1 END, CASE WHEN inh THEN instr(lower(heading), 'ring') ELSE 9999 END, hs_code LIMIT 25) h LEFT JOIN m ON m.hs_code = h.hs_code""",
+        "mfn_scalar": f"WITH {_RATE}, {_GOODS}, {_MFN} SELECT p_partkey, g.hs_code, mfn FROM g LEFT JOIN m ON m.hs_code = g.hs_code",
+        "star_lookup": f"""WITH {_RATE}, v AS (SELECT * FROM rate WHERE {_VALID}), b AS (SELECT k, {_show('pct')} AS base FROM v WHERE sch = '1-URGENT')
+            SELECT v.k, sch, n_name, CASE WHEN sch > '3' THEN {_show('pct')} || '% nếu có C/O form ' || sch || ' hợp lệ, ngược lại ' || coalesce(base || '% (MFN)', 'mức MFN') ELSE {_show('pct')} || '%' END AS statement
+            FROM v JOIN customer ON c_custkey = v.k JOIN nation ON n_nationkey = c_nationkey LEFT JOIN b ON b.k = v.k""",
+        "verdict_summary": "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS correct, count(*) FILTER (WHERE event_type = 'error') AS wrong, count(*) FILTER (WHERE event_type = 'view') AS unsure FROM events GROUP BY user_id",
+        "recent_k": "SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) z WHERE rn <= 8",
+        "last_lookup_state": """SELECT event_id, user_id, CASE WHEN epoch_us(ts) - epoch_us(at_ts) <= 86400000000 THEN prior END AS prior FROM (
+            SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS prior, last_value(CASE WHEN event_type = 'view' THEN ts END IGNORE NULLS) OVER w AS at_ts
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) z""",
+        "json_condition": """SELECT k, count(*) AS n, '{"k":' || CAST(k AS VARCHAR) || '}' AS echo FROM (SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) z WHERE k >= 50 GROUP BY k""",
+        "md5_sample": "SELECT p_partkey, md5(p_brand || '-' || CAST(p_partkey AS VARCHAR)) AS digest FROM part ORDER BY digest, p_partkey LIMIT 20",
+        "match_tally": f"""WITH {_RATE}, e AS ({declared}), j AS (SELECT e.sch, applied, pct FROM e LEFT JOIN rate r ON e.k = r.k AND e.sch = r.sch AND f <= day AND (t IS NULL OR day <= t))
+            SELECT sch, count(*) FILTER (WHERE abs(applied - pct) < 100000) AS matched, count(*) FILTER (WHERE NOT abs(applied - pct) < 100000) AS mismatched, count(*) FILTER (WHERE pct IS NULL) AS not_loaded FROM j GROUP BY sch""",
+        "width_distribution": "SELECT len(string_split(line, ' ')) AS width, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) z GROUP BY 1",
+        "value_topn": "SELECT l_discount, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_discount LIMIT 12",
+        "distinct_by_partition": "SELECT l_returnflag, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT CASE WHEN l_discount > 0 THEN l_partkey END) AS n_discounted FROM lineitem GROUP BY 1",
+        "dedupe_first": """SELECT l_partkey, pos, rate FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN rate IS NULL THEN 1 ELSE 0 END, pos) AS rn FROM (
+            SELECT l_partkey, l_orderkey * 10 + l_linenumber AS pos, min(CASE WHEN l_discount > 0.05e0 THEN l_discount END) AS rate FROM lineitem GROUP BY 1, 2) z) y WHERE rn = 1""",
+        "forward_marker": f"""SELECT doc_id, count(*) FILTER (WHERE marker = 1) AS first, count(*) FILTER (WHERE marker = 2) AS second, count(context) AS carried, max(context) AS last_context FROM (
+            SELECT doc_id, max(CASE WHEN contains(line, 'The ') THEN 1 WHEN contains(line, 'License') THEN 2 END) OVER w AS marker, last_value(CASE WHEN length(line) < 20 THEN line END IGNORE NULLS) OVER w AS context
+            FROM {_LINE} WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) z GROUP BY doc_id""",
+        "page_links": """SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, replace(unnest(l), '&amp;', '&') AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) z""",
+        "first_page_link": """SELECT page_id, min_by(href, pos) AS href FROM (SELECT page_id, generate_subscripts(l, 1) AS pos, replace(unnest(l), '&amp;', '&') AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) z) y WHERE href LIKE '/t%' GROUP BY page_id""",
+        "page_levels": "SELECT level, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(h1|p|li|div|a)[ >]', 1)) AS level FROM pages) z GROUP BY level",
+        "keyword_topk": f"WITH {_CHUNKS} SELECT aid, pid, rk FROM kw WHERE rk <= 20",
+        "cosine_topk": f"WITH {_CHUNKS} SELECT aid, pid, rk, round(dist, 6) AS dist FROM vec WHERE rk <= 20",
+        "hybrid_rrf": f"WITH {_CHUNKS} SELECT aid, best_pid, kw_hit, round(score, 6) AS score, round(best_dist, 6) AS best_dist FROM fused ORDER BY fused.score DESC, aid LIMIT 6",
+        "abstain_gate": f"WITH {_CHUNKS} SELECT aid, round(best_dist, 6) AS best_dist FROM (SELECT * FROM fused ORDER BY score DESC, aid LIMIT 50) z WHERE best_dist <= 0.75 ORDER BY score DESC, aid LIMIT 5",
+        "citation_check": """WITH k AS (SELECT conv_id, CASE WHEN conv_id % 5 <> 0 THEN list(turn ORDER BY turn) FILTER (WHERE turn % 2 = 0) ELSE [] END AS kept FROM conversations GROUP BY conv_id),
+            g AS (SELECT conv_id, coalesce(kept, []) AS kept, list_filter(coalesce(kept, []), lambda x: x IN (conv_id % 4, 2)) AS good FROM k),
+            o AS (SELECT *, CASE WHEN len(kept) = 0 THEN 'abstained' WHEN conv_id % 7 = 0 OR conv_id % 3 = 0 THEN 'provisions' WHEN len(good) = 0 THEN 'ungrounded' ELSE 'grounded' END AS outcome FROM g)
+            SELECT conv_id, outcome, array_to_string(CASE WHEN outcome = 'grounded' THEN good ELSE kept END, ',') AS citations FROM o""",
+        "recall_at_k": f"""WITH i AS (SELECT item_id, unnest(w[1:3]) AS word FROM (SELECT item_id, list_filter(list_distinct_ordered, lambda x: length(x) >= 2) AS w FROM (SELECT item_id, list_reverse(list_reduce(list_prepend([], list_transform({_WORDS.format('text')}, lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(x, a) END)) AS list_distinct_ordered FROM benchmark) y) z),
+            d AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS word FROM documents),
+            h AS (SELECT item_id, doc_id, count(*) AS n FROM i JOIN d USING (word) GROUP BY 1, 2),
+            r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rk FROM h),
+            e AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id DESC) AS x FROM h) z WHERE x = 1)
+            SELECT count(*) AS cases, count(r.rk) AS hits, round(count(r.rk) / count(*), 6) AS recall FROM e LEFT JOIN r ON r.item_id = e.item_id AND r.doc_id = e.doc_id AND r.rk <= 5""",
+        "query_terms": f"SELECT item_id, array_to_string(list_filter(list_reverse(list_reduce(list_prepend([], list_transform({_WORDS.format('text')}, lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(x, a) END)), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of', 'la', 'de')), ' ') AS terms FROM benchmark",
+        "asof_extract": f"SELECT n_nationkey, v.as_of FROM nation JOIN (VALUES {questions}) v(k, as_of) ON k = n_nationkey",
+        "tree_paths": """WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS key, NULL AS parent_key, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
+            w AS (SELECT key, name AS path, 0 AS depth FROM t WHERE parent_key IS NULL UNION ALL SELECT t.key, w.path || ' › ' || t.name, w.depth + 1 FROM w JOIN t ON t.parent_key = w.key) SELECT key, path, depth FROM w""",
+        "chunk_build": f"""WITH l AS {_LINE}, a AS (SELECT doc_id, trim(line) AS heading FROM l WHERE ord = 0), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
+            u AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || '-' || ord AS provision_key, trim(line) AS t FROM l WHERE ord > 0 UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR), trim(text) FROM documents JOIN n USING (doc_id) WHERE n = 1),
+            b AS (SELECT u.*, source, CASE WHEN heading <> '' THEN heading || chr(10) ELSE '' END || t AS body FROM u JOIN a USING (doc_id) JOIN documents USING (doc_id) WHERE t <> '')
+            SELECT provision_key, CAST(doc_id AS VARCHAR) AS article_key, md5(body) AS body_md5, least(1600, length(source) + 1 + length(body)) AS embed_chars, 'con_hieu_luc' AS effectiveness FROM b""",
+        "chat_codes": """SELECT conv_id, turn, CASE WHEN turn = 0 THEN lpad(CAST(conv_id + 1000 AS VARCHAR), 4, '0') || '1020' END AS code, CASE WHEN turn = 0 THEN 'CN' END AS origin, false AS correction FROM conversations""",
+        "chat_verdicts": f"""SELECT CASE WHEN m IN ({verdicts['correct']}) THEN 'correct' WHEN m IN ({verdicts['wrong']}) THEN 'wrong' WHEN m IN ({verdicts['unsure']}) THEN 'unsure' ELSE 'none' END AS verdict, count(*) AS n
+            FROM (SELECT trim(regexp_replace(lower(['Đúng rồi!', 'sai', 'không chắc...', 'ok', 'Chuẩn', 'why', 'SAI RỒI'][event_id % 7 + 1]), '[.!,?…\\s]+$', '')) AS m FROM events) z GROUP BY 1""",
+        "quota_typing": """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'excluded' WHEN p_size < 10 THEN 'trq' ELSE 'ad_valorem' END AS rate_type, CASE WHEN p_partkey % 9 <> 0 THEN p_size + 0.5e0 END AS rate_percent FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 8 <> 0""",
+        "enum_sort": "SELECT o_orderkey, o_orderstatus, rk FROM (SELECT *, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS rk FROM orders) z ORDER BY rk, o_totalprice, o_orderkey, o_custkey LIMIT 25",
+        "candidate_merge": """SELECT p_partkey, source, place FROM (SELECT p_partkey, min(source) AS source, p_partkey AS place FROM (
+            SELECT p_partkey, unnest(list_filter([CASE WHEN list_contains(w, 'ring') THEN 0 END, CASE WHEN list_contains(w, 'small') THEN 1 END, CASE WHEN list_contains(w, 'red') THEN 2 END], lambda x: x IS NOT NULL)) AS source
+            FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) z) y GROUP BY p_partkey) x""",
+    }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query with its callable."""
+    return {name: globals()[name] for name in oracle_sql()}
