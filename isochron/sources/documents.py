@@ -21,7 +21,7 @@ NOISE = (
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, part, text): whole text files, numbered by the digits before their suffix."""
-    read = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    read = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return read.withColumn("part", F.coalesce(F.nullif(F.regexp_extract("path", r"_(\d+)\.[A-Za-z]+$", 1), F.lit("")).cast("int"), F.lit(0)))
 
 
