@@ -148,7 +148,8 @@ def _format(batches: Iterator[pa.RecordBatch], visitor: PartVisitor) -> Iterator
         if role == "assistant":
             starts.append(at + start)
             ends.append(at + end)
-        references.extend((len(references) + i, kind, ref) for i, kind, ref in flat.references)
+        before = len(references)
+        references.extend((before + i, kind, ref) for i, kind, ref in flat.references)
         expanded += flat.expanded
         pieces.append(turn)
         at += len(turn)
