@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isochron.llm.common import fresh_path, texts
+from isochron.llm.common import cut, fresh_path, texts
 
 END = b"\r\n"
 #: Half of a record's UUID that marks it as made from a page number; the other half is that number.
@@ -24,7 +24,8 @@ ARC_FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
     2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "file", "length"),
 }
-ARCHIVE_BYTES = 16 << 20
+#: Records of one archive file at most, as a file is read back whole in one task.
+ARCHIVE_RECORDS = 4096
 
 
 class BadArchive(ValueError):
@@ -142,7 +143,8 @@ def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, digest, refers_to) of the pages whose payload a larger page_id holds too; keyed by 20-byte digests."""
     keyed = pages.select("page_id", F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes)).drop("size")
-    winners = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where(F.col("refers_to") > F.col("least")).drop("least")
+    # Written once, so that the join below deals both sides anew and a payload that many pages share can be split.
+    winners = cut(keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where(F.col("refers_to") > F.col("least")).drop("least"))
     return keyed.join(winners, "digest").where(F.col("page_id") != F.col("refers_to")).distinct()
 
 
@@ -167,7 +169,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
                 out.append(warc_head(arc, page, ref).encode() + END + END + (arc.payload if ref is None else b""))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string(), safe=False)], names=["record"])
 
-    joined.mapInArrow(convert, "record string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    joined.mapInArrow(convert, "record string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
@@ -184,7 +186,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
                 for i, arc in enumerate(parse_arc(body)):
                     yield pa.RecordBatch.from_arrays([pa.array([warc_head(arc, base + i, None).encode() + END + END + arc.payload], pa.binary()).cast(pa.string(), safe=False)], names=["record"])
 
-    spark.read.format("binaryFile").load(arc_path).select("path", "content").mapInArrow(convert, "record string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    spark.read.format("binaryFile").load(arc_path).select("path", "content").mapInArrow(convert, "record string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(warc_path)
 
 
 READ_SCHEMA = "page_id bigint, record_type string, target_uri string, date string, payload_bytes bigint, payload_digest string, refers_to bigint, block_digest string"
