@@ -2,14 +2,16 @@
 
 Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of distinct shingles. The passes are
 
-1. signatures: set size and fingerprint of each document; equal sets make a class, whose least id stands for it. Tokens
-   that a task meets repeatedly are counted, for the order of rarity;
+1. signatures: set size, fingerprint and count vector of each document; equal sets make a class, whose least id stands
+   for it. Tokens that a task meets repeatedly are counted, for the order of rarity;
 2. prefixes: of n shingles in that order, linked documents share one of the first n - ceil(0.75 n) + 1. Documents that
    share a prefix token form a block around the least of them;
-3. blocks, cut into leaves of bounded size: shingles hash into groups, the counts by group are a point of an R-tree, and
-   the sum of coordinate minima with a node's upper corner bounds every overlap below it. Surviving pairs are verified on
-   the sets unless they are connected already, so a block of near copies costs about one test for each member;
-4. blocks of several leaves: members outside the block's largest component are searched in its other leaves.
+3. candidates: shingles hash into groups, the counts by group are a point of an R-tree over each block, and the sum of
+   coordinate minima with a node's upper corner bounds every overlap below it. Points are a small part of the sets' size;
+   only documents that some bound lets pass go on, with those they are joined to by such bounds as their new block;
+4. verification in leaves of bounded size: surviving pairs are tested on the sets unless they are connected already, so
+   a block of near copies costs about one test for each member;
+5. blocks of several leaves: members outside the block's largest component are searched in its other leaves.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,10 @@ from isochron.llm.common import cut, stored
 from isochron.llm.components import components
 
 SHINGLE = 5
-#: Groups that shingles hash into, entries of an R-tree node, and bounds of a leaf: documents, shingles.
+#: Groups that shingles hash into in a leaf of sets, entries of an R-tree node, and bounds of a leaf: documents, shingles.
 GROUPS, FANOUT, LEAF_DOCS, LEAF_SHINGLES = 128, 16, 512, 1 << 21
+#: Powers of two between which a point's number of groups lies: two to four shingles in a group, so far as they allow.
+LEAST_BITS, MOST_BITS = 4, 14
 #: Tokens of the table that orders by rarity; others count as rarer, in the order of their hashes. The order only steers cost.
 FREQUENT = 1 << 17
 _FLUSH = 1 << 22
@@ -57,11 +62,12 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
 
 
-_SIGNATURE = "doc bigint, n bigint, print bigint, second bigint, token bigint, times bigint"
+_SIGNATURE = "doc bigint, n bigint, print bigint, second bigint, point binary, token bigint, times bigint"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "n", "print", "second", "token", "times"]
+    names = ["doc", "n", "print", "second", "point", "token", "times"]
+    pack = zstandard.ZstdCompressor(level=1, write_checksum=False)
     held: list[np.ndarray] = []
     size = 0
 
@@ -69,12 +75,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         more = counts > 1
         none = pa.nulls(int(more.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), pa.binary()), pa.array(values[more].view(np.int64)), pa.array(counts[more].astype(np.int64))], names=names)
 
     for b in batches:
-        rows = []
+        rows, points = [], []
         for i, s in _sets(b):
             rows.append((i, len(s), *fingerprint(s)))
+            points.append(pack.compress(point_of(s).tobytes()))
             held.append(s)
             size += len(s)
             if size > _FLUSH:
@@ -83,7 +90,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = 0
         i, n, first, second = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
         none = pa.nulls(len(i), pa.int64())
-        yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(i)), pa.array(n), pa.array(first), pa.array(second), none, none], names=names)
+        yield pa.RecordBatch.from_arrays([b["doc"].take(pa.array(i)), pa.array(n), pa.array(first), pa.array(second), pa.array(points, pa.binary()), none, none], names=names)
     if held:
         yield flush()
 
@@ -152,6 +159,53 @@ def counts_of(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def point_of(shingles: np.ndarray) -> np.ndarray:
+    """The count vector at a resolution by the set's size; sizes that can link differ by one step at most."""
+    bits = max(LEAST_BITS, min(MOST_BITS, len(shingles).bit_length() - 2))
+    return np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, doc) of rows (hub, doc, point) sorted by hub: each document that a bound joins to others, under the least of them."""
+    from itertools import groupby
+
+    unpack = zstandard.ZstdDecompressor()
+    rows = (x for b in batches for x in zip(*(b[c].to_pylist() for c in ("hub", "doc", "point")), strict=True))
+    out: list[tuple[int, int]] = []
+    for _, own in groupby(rows, key=lambda x: x[0]):
+        block = [(doc, np.frombuffer(unpack.decompress(point), np.uint16).astype(np.int32)) for _, doc, point in own]
+        owner = list(range(len(block)))
+
+        def find(i: int, owner: list[int]) -> int:
+            while owner[i] != i:
+                owner[i] = owner[owner[i]]
+                i = owner[i]
+            return i
+
+        for groups in {len(p) for _, p in block}:
+            near = [i for i, (_, p) in enumerate(block) if len(p) in (groups, 2 * groups)]
+            if len(near) > 1:
+                points = np.stack([block[i][1].reshape(-1, groups).sum(axis=0) for i in near])
+                sizes = points.sum(axis=1)
+                tree = CountTree(points, sizes)
+                for k, i in enumerate(near):
+                    if len(block[i][1]) == groups:
+                        for j in tree.search(points[k], sizes[k]):
+                            one, two = find(i, owner), find(near[int(j)], owner)
+                            owner[max(one, two)] = min(one, two)
+        least: dict[int, int] = {}
+        joined: dict[int, int] = {}
+        for i, (doc, _) in enumerate(block):
+            root = find(i, owner)
+            least[root], joined[root] = min(doc, least.get(root, doc)), joined.get(root, 0) + 1
+        out += [(least[r], doc) for i, (doc, _) in enumerate(block) if joined[r := find(i, owner)] > 1]
+        if len(out) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "doc"])
+            out.clear()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "doc"])
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test on two sorted sets."""
     if len(a) > len(b):
@@ -243,8 +297,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scanned = stored(rows.mapInArrow(_signatures, _SIGNATURE), "signatures")
     sizes = scanned.where(F.col("n").isNotNull()).select("doc", "n", "print", "second")
     known = sizes.where(F.col("doc").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("print", "second").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copied = cut(known.join(classes.where(F.col("copies") > 1), ["print", "second"]).where(F.col("doc") != F.col("rep")).select("doc", "rep").distinct())
+    classes = cut(known.groupBy("print", "second").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n"))
+    held = known.join(classes, ["print", "second"]).where(F.col("doc") != F.col("rep")).select("doc", "rep").distinct()
+    # An id with several sets stays a node of its own, linked to the class of each; all others go by their class.
+    several = cut(known.groupBy("doc").agg(F.min(F.struct("print", "second")).alias("__a"), F.max(F.struct("print", "second")).alias("__b")).where(F.col("__a") != F.col("__b")).select("doc"))
+    tied = held.join(several, "doc", "left_semi")
+    copied = cut(held.join(several, "doc", "left_anti"))
 
     frequent = scanned.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
     rarity = spark.sparkContext.broadcast(Rarity(np.array([r[0] for r in frequent] or [0], np.int64).view(np.uint64), np.array([r[1] for r in frequent] or [0], np.int64)))
@@ -287,24 +345,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = as_rep(as_rep(pairs, "hub"), "doc").where(F.col("hub") != F.col("doc")).distinct()
     members = cut(pairs.unionByName(pairs.select("hub", F.col("hub").alias("doc")).distinct()))
 
-    wanted = spark.sparkContext.broadcast(bloom.of_longs(members.select("doc").distinct(), "doc", n_slots))
+    widths = known.groupBy("doc").agg(F.max("n").alias("__size"))
+
+    def in_leaves(blocks: DataFrame) -> DataFrame:
+        """(hub, doc, leaves, leaf): how many leaves a block takes, and which is the document's."""
+        shape = blocks.join(widths, "doc").groupBy("hub").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__size"))
+        leaves = F.greatest(F.ceil(F.col("__n") / LEAF_DOCS), F.ceil(F.col("__size") / LEAF_SHINGLES))
+        return blocks.join(shape.select("hub", leaves.cast("int").alias("leaves")), "hub").withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
+
+    rough = cut(in_leaves(members))
+    points = scanned.where(F.col("n") > 0).groupBy("doc", "print", "second").agg(F.min("point").alias("point")).drop("print", "second")
+    near = rough.where(F.col("leaves") == 1).join(points, "doc").select("hub", "doc", "point").repartition("hub").sortWithinPartitions("hub", "doc").mapInArrow(_candidates, "hub bigint, doc bigint")
+    blocks = cut(near.unionByName(rough.where(F.col("leaves") > 1).select("hub", "doc")).distinct())
+    leafed = cut(in_leaves(blocks))
+
+    wanted = spark.sparkContext.broadcast(bloom.of_longs(blocks.select("doc").distinct(), "doc", n_slots))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bloom.Members(wanted.value, n_slots)
+        seen, sent = bloom.Members(wanted.value, n_slots), set()
         for b in batches:
             doc = b["doc"].to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.flatnonzero(seen(doc.view(np.uint64)))
-            got = [(int(doc[i]), len(s), s.tobytes()) for i, s in _sets(b, keep)]
+            got = []
+            for i, s in _sets(b, keep):
+                key = (int(doc[i]), *fingerprint(s))
+                if key not in sent:
+                    sent.add(key)
+                    got.append((*key, s.tobytes()))
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "size", "body"])
-
-    # A repeated id can have several sets; each is a member of its own.
-    sets = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(bodies, "doc bigint, size bigint, body binary").join(members.select("doc").distinct(), "doc", "left_semi").distinct(), "sets")
-    placed = members.join(sets.select("doc", "size"), "doc")
-    shape = placed.groupBy("hub").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__size"))
-    leaves = F.greatest(F.ceil(F.col("__n") / LEAF_DOCS), F.ceil(F.col("__size") / LEAF_SHINGLES))
-    shape = shape.select("hub", leaves.cast("int").alias("leaves"))
-    leafed = cut(members.join(shape, "hub").select("hub", "doc", "leaves", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int").alias("leaf")))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "print", "second", "body"])
+
+    # A repeated id can have several sets; each is a member of its own, and met once.
+    scans = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(bodies, "doc bigint, print bigint, second bigint, body binary"), "sets")
+    sets = scans.repartition("doc").groupBy("doc", "print", "second").agg(F.min("body").alias("body")).drop("print", "second")
     none = F.lit(None).cast("bigint").alias("root")
     first = cut(_leaf_links(leafed.join(sets, "doc").select("hub", "leaf", "doc", none, F.lit(False).alias("query"), "body")))
 
@@ -319,9 +392,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = rooted.select("hub", "leaf", "doc", "root", F.lit(False).alias("query")).unionByName(queries)
         links = first.unionByName(_leaf_links(both.join(sets, "doc").select("hub", "leaf", "doc", "root", "query", "body")))
 
-    joined = links.unionByName(copied.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
-    roots = components(joined).select(F.col("node").alias("__node"), "root")
-    return sizes.join(roots, F.col("doc") == F.col("__node"), "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
+    roots = cut(components(links.unionByName(tied.select(F.col("doc").alias("a"), F.col("rep").alias("b")))))
+    by_class = sizes.join(copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep")), F.col("doc") == F.col("__doc"), "left").select("doc", "n", F.coalesce("__rep", "doc").alias("__rep"))
+    told = by_class.join(roots.select(F.col("node").alias("__node"), "root"), F.col("__rep") == F.col("__node"), "left")
+    return told.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "__rep").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
