@@ -25,6 +25,8 @@ def streaming_last_lookup(log: DataFrame, key: str, time: str, event_id: str, lo
     schema = log.schema
     kinds = {c: schema[c].dataType.simpleString() for c in (key, event_id, time, lookup)}
     span = pd.Timedelta(seconds=seconds)
+    # A batch with nulls brings whole numbers as floats; state of a whole-number kind would take those as null.
+    plain = int if kinds[lookup] in ("tinyint", "smallint", "int", "bigint") else lambda x: x
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -38,7 +40,7 @@ def streaming_last_lookup(log: DataFrame, key: str, time: str, event_id: str, lo
             out.append((keys[0], getattr(row, event_id), now, value if at is not None and now - at <= span else None))
             found = getattr(row, lookup)
             if found is not None and not pd.isna(found):
-                value, at = found, now
+                value, at = plain(found), now
         if at is not None:
             state.update((value, at.value // 1000))
             expires = int((at + span).value // 1_000_000)
