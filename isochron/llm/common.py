@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,20 +44,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under a name of our own."""
-    return df.mapInArrow(fn, schema)
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    """A record batch from lists or arrays, by column name."""
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in ((columns[f.name], f) for f in schema)], schema=schema)
-
-
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each row; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
-
-
-def null_to_empty(name: str):
-    return F.coalesce(F.col(name), F.lit(""))
