@@ -71,7 +71,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.binary()), b["id"].take(pa.array(np.array(rows, np.int64)[keep] if len(keep) else [], pa.int64()))], names=["key", "id"])
 
     held = cut(source.mapInArrow(suspects, f"key binary, id {docs.schema[id_col].dataType.simpleString()}").distinct())
-    owners = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("owner")).where(F.col("n") >= min_docs).select("key", "owner")
+    # Written once, so that the join deals both sides anew and adaptive execution can split a line that very many hold.
+    owners = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("owner")).where(F.col("n") >= min_docs).select("key", "owner"))
     return held.join(owners, "key").where(F.col("id") != F.col("owner")).groupBy("id").agg(F.collect_list("key").alias("keys"))
 
 
