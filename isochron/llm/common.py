@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
