@@ -323,24 +323,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))], names=["token", "doc"])
 
-    tokens = rows.where(F.col("doc").isNotNull()).mapInArrow(prefixes, "token bigint, doc bigint")
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hub, doc) of rows sorted by token and document: the hub is a token's first document."""
-        last, hub = None, 0
+    # A token's first document is its hub. Both sides are written before they meet, so that a token of very many documents
+    # is summed up within tasks first, and adaptive execution can split its rows in the join.
+    tokens = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(prefixes, "token bigint, doc bigint"), "prefixes")
+    hubs = cut(tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("__last")).where(F.col("hub") != F.col("__last")).select("token", "hub"))
+    shared = spark.sparkContext.broadcast(bloom.of_longs(hubs, "token", n_slots))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = bloom.Members(shared.value, n_slots)
         for b in batches:
-            token, doc = b["token"].to_numpy(), b["doc"].to_numpy()
-            if not len(token):
-                continue
-            begins = np.append(token[0] != last, token[1:] != token[:-1]) if last is not None else np.append(True, token[1:] != token[:-1])
-            place = np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1))
-            hubs = np.where(place < 0, hub, doc[place])
-            last, hub = token[-1], hubs[-1]
-            differ = hubs != doc
-            pairs = np.unique(np.column_stack([hubs[differ], doc[differ]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "doc"])
-
-    pairs = tokens.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(around, "hub bigint, doc bigint").distinct()
+            yield b.filter(pa.array(seen(b["token"].to_numpy().view(np.uint64))))
+
+    pairs = tokens.mapInArrow(repeated, "token bigint, doc bigint").join(hubs, "token").where(F.col("hub") != F.col("doc")).select("hub", "doc").distinct()
     as_rep = lambda df, c: df.join(copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep")), F.col(c) == F.col("__doc"), "left").withColumn(c, F.coalesce("__rep", c)).drop("__doc", "__rep")
     pairs = as_rep(as_rep(pairs, "hub"), "doc").where(F.col("hub") != F.col("doc")).distinct()
     members = cut(pairs.unionByName(pairs.select("hub", F.col("hub").alias("doc")).distinct()))
@@ -351,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """(hub, doc, leaves, leaf): how many leaves a block takes, and which is the document's."""
         shape = blocks.join(widths, "doc").groupBy("hub").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__size"))
         leaves = F.greatest(F.ceil(F.col("__n") / LEAF_DOCS), F.ceil(F.col("__size") / LEAF_SHINGLES))
-        return blocks.join(shape.select("hub", leaves.cast("int").alias("leaves")), "hub").withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
+        return blocks.join(cut(shape.select("hub", leaves.cast("int").alias("leaves"))), "hub").withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
 
     rough = cut(in_leaves(members))
     points = scanned.where(F.col("n") > 0).groupBy("doc", "print", "second").agg(F.min("point").alias("point")).drop("print", "second")
