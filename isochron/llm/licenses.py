@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +59,15 @@ FAMILIES = (UNKNOWN, *TEMPLATES)
 FEATURES, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1 << 14, 400, 4
 #: Least probability of a family, and least similarity with one of its templates, for a paragraph to be reported as it.
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.5
-_WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+_WORD = re.compile(rb"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+
+
+def _words(text: bytes) -> list[bytes]:
+    return _WORD.findall(text.lower())
 
 
 def tokens(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    return [w.decode() for w in _words(paragraph.encode("utf-8", "replace"))]
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -71,7 +76,7 @@ def features(words: list[str]) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(g.encode()) % FEATURES for g in grams), np.int64, len(grams)))
 
 
-#: Words and phrases that licences share: a line without any of them isn't scored, as every template has one.
+#: Words and phrases that licences share: background lines with one of them aren't taken for the unknown class.
 _HINT = re.compile(rb"(?i)licen[sc]e|copyright|rights reserved|spdx|redistribut|permission is|free software|creative commons|confidential")
 
 
@@ -82,12 +87,49 @@ def similarity(words: list[str], template: list[str]) -> float:
     return len(own & want) / max(1, len(want))
 
 
+class Pairs:
+    """The word pairs of all templates, numbered, to count for each template how many of them a run of words has."""
+
+    def __init__(self, templates: list[list[str]]):
+        pairs = [sorted(set(zip(["^", *t], t, strict=False))) for t in templates]
+        self.word = {w.encode(): k for k, w in enumerate(sorted({w for t in templates for w in t}), 1)}
+        self.number = {q: k for k, q in enumerate(sorted({q for ps in pairs for q in ps}), 1)}
+        self.sizes = np.array([len(ps) for ps in pairs])
+        self.has = np.zeros((len(self.number) + 1, len(templates)), bool)
+        self.inner = np.zeros((len(self.word) + 1, len(self.word) + 1), np.int64)
+        self.first = np.zeros(len(self.word) + 1, np.int64)
+        for (a, b), k in self.number.items():
+            to = self.word[b.encode()]
+            if a == "^":
+                self.first[to] = k
+            else:
+                self.inner[self.word[a.encode()], to] = k
+        for t, ps in enumerate(pairs):
+            self.has[[self.number[q] for q in ps], t] = True
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.word.get, words, repeat(0)), np.int64, len(words))
+
+    def within_reach(self, ids: np.ndarray) -> np.ndarray:
+        """The templates of which the words hold enough pairs, wherever a run of them begins: no other can be confirmed."""
+        seen = np.zeros(len(self.has), bool)
+        seen[self.inner[ids[:-1], ids[1:]]] = True
+        seen[self.first[ids]] = True
+        seen[0] = False
+        return np.flatnonzero(self.has[seen].sum(axis=0) >= LEAST_SIMILARITY * self.sizes)
+
+
 class LicenceModel:
     """Multinomial logistic regression over hashed n-grams, with a temperature fitted on paragraphs left out of it."""
 
     def __init__(self, weights: np.ndarray, temperature: float):
         self.weights, self.temperature = weights, temperature
         self.templates = {k: [tokens(t) for t in ts] for k, ts in TEMPLATES.items()}
+        self.pairs = Pairs([t for ts in self.templates.values() for t in ts])
+
+    def within_reach(self, text: bytes) -> bool:
+        """Whether a template could confirm any part of ``text``: a necessary condition, so that skipping the rest loses nothing."""
+        return len(words := _words(text)) > 0 and len(self.pairs.within_reach(self.pairs.ids(words))) > 0
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         f = features(words)
@@ -180,10 +222,10 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa
         rows = []
         for doc, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
             at, n, spans, p, s = 0, 0, [], 0.0, 0.0
-            hinted = _HINT.search(text) is not None
+            near_any = model.within_reach(text)
             for paragraph in text.split(b"\n"):
                 n += bool(paragraph.strip())
-                if hinted and _HINT.search(paragraph):
+                if near_any and model.within_reach(paragraph):
                     family, probability, near = model.classify(paragraph.decode("utf-8", "replace"))
                     if family != UNKNOWN:
                         spans.append({"start": at, "end": at + len(paragraph), "family": family})
@@ -196,8 +238,8 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): paragraphs, licence families found, and their byte spans.
 
-    A paragraph is a line. Only lines with a word that licences share are scored; the classifier tells the family or
-    unknown, and a template of that family has to confirm it. Null and empty texts have no paragraphs and no hits; equal
+    A paragraph is a line. The classifier tells the family or unknown, and a template of that family has to confirm it;
+    lines that hold too few word pairs of every template to be confirmed aren't scored. Null and empty texts have no paragraphs and no hits; equal
     texts give equal rows; null ids stay null; an empty table gives no rows.
     """
     model = model or fit(docs)

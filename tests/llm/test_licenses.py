@@ -44,3 +44,22 @@ def test_whole_table_equals_line_by_line(spark, sf, model):
         lines = [x for x in (r["text"] or "").split("\n") if x.strip()]
         found = [f for f in (model.classify(x)[0] for x in lines if licenses._HINT.search(x.encode())) if f != "unknown"]
         assert got[r["doc_id"]]["families"] == sorted(set(found)) and got[r["doc_id"]]["n_hits"] == len(found)
+
+
+UNHINTED = {
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public",
+    "proprietary": "Unauthorised copying of this file is strictly prohibited.",
+}
+
+
+def test_lines_without_a_hint_word_are_scored(spark, model):
+    assert not any(licenses._HINT.search(x.encode()) for x in UNHINTED.values())
+    docs = spark.createDataFrame([(k, f"intro\n\n{x}\n\noutro") for k, x in enumerate(UNHINTED.values())], "doc_id bigint, text string")
+    assert [r["families"] for r in licenses.scan(docs, model).orderBy("doc_id").collect()] == [[f] for f in UNHINTED]
+
+
+def test_whole_table_equals_every_line(spark, sf, model):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["families"] for r in licenses.scan(docs, model).collect()}
+    for r in docs.collect():
+        assert got[r["doc_id"]] == sorted({model.classify(x)[0] for x in (r["text"] or "").split("\n")} - {"unknown"})
