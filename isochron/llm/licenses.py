@@ -118,6 +118,19 @@ class Pairs:
         seen[0] = False
         return np.flatnonzero(self.has[seen].sum(axis=0) >= LEAST_SIMILARITY * self.sizes)
 
+    def windows(self, ids: np.ndarray, t: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, counts) of the windows of ``length`` words, cut short by the end only, that hold enough pairs of template ``t``."""
+        at = np.flatnonzero(self.has[inner := self.inner[ids[:-1], ids[1:]], t]) + 1
+        at = at[np.argsort(inner[at - 1], kind="stable")]
+        pair = inner[at - 1]
+        again = np.concatenate([[False], pair[1:] == pair[:-1]]) if len(at) else np.zeros(0, bool)
+        start = np.maximum(0, at - length + 1)
+        start[again] = np.maximum(start[again], at[:-1][again[1:]])
+        change = np.bincount(start, minlength=len(ids) + 1) - np.bincount(at, minlength=len(ids) + 1)
+        counts = np.cumsum(change)[: len(ids)] + self.has[self.first[ids], t]
+        found = np.flatnonzero(counts >= LEAST_SIMILARITY * self.sizes[t])
+        return found, counts[found]
+
 
 class LicenceModel:
     """Multinomial logistic regression over hashed n-grams, with a temperature fitted on paragraphs left out of it."""
@@ -125,11 +138,8 @@ class LicenceModel:
     def __init__(self, weights: np.ndarray, temperature: float):
         self.weights, self.temperature = weights, temperature
         self.templates = {k: [tokens(t) for t in ts] for k, ts in TEMPLATES.items()}
-        self.pairs = Pairs([t for ts in self.templates.values() for t in ts])
-
-    def within_reach(self, text: bytes) -> bool:
-        """Whether a template could confirm any part of ``text``: a necessary condition, so that skipping the rest loses nothing."""
-        return len(words := _words(text)) > 0 and len(self.pairs.within_reach(self.pairs.ids(words))) > 0
+        self.flat = [(label, t) for label, family in enumerate(FAMILIES[1:], 1) for t in self.templates[family]]
+        self.pairs = Pairs([t for _, t in self.flat])
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         f = features(words)
@@ -137,9 +147,8 @@ class LicenceModel:
         z = np.exp(z - z.max())
         return z / z.sum()
 
-    def classify(self, paragraph: str) -> tuple[str, float, float]:
-        """(family or unknown, probability, best template similarity): a family needs both its bounds."""
-        words = tokens(paragraph)
+    def score(self, words: list[str]) -> tuple[str, float, float]:
+        """(family or unknown, probability, best template similarity) of all ``words`` at once: a family needs both its bounds."""
         p = self.probabilities(words)
         best = int(p.argmax())
         if best == 0 or p[best] < LEAST_PROBABILITY:
@@ -147,6 +156,64 @@ class LicenceModel:
         near = max(similarity(words, t) for t in self.templates[FAMILIES[best]])
         return (FAMILIES[best] if near >= LEAST_SIMILARITY else UNKNOWN), float(p[best]), float(near)
 
+    def windows(self, words: list[bytes]) -> list[tuple[int, int, str, float, float]]:
+        """(first word, word behind the last, family, probability, similarity) of each notice among ``words``.
+
+        Every template is laid on every word; the window of its length has to hold enough of its pairs and to be
+        classified as its family. Of overlapping windows the one with the most pairs is a notice, which reaches from the
+        first of its pairs to the last.
+        """
+        ids = self.pairs.ids(words)
+        found = []
+        for t in self.pairs.within_reach(ids) if len(ids) else ():
+            starts, counts = self.pairs.windows(ids, t, len(self.flat[t][1]))
+            found += zip((-counts).tolist(), starts.tolist(), repeat(int(t)), strict=False)
+        out, taken = [], bytearray(len(words))
+        for count, start, t in sorted(found):
+            label, template = self.flat[t]
+            own = words[start : start + len(template)]
+            first, last = self._extent(ids[start : start + len(template)], t)
+            if any(taken[start + first : start + last]):
+                continue
+            p = self.probabilities([w.decode() for w in own])
+            if int(p.argmax()) == label and p[label] >= LEAST_PROBABILITY:
+                taken[start + first : start + last] = b"\1" * (last - first)
+                out.append((start + first, start + last, FAMILIES[label], float(p[label]), -count / int(self.pairs.sizes[t])))
+        return sorted(out)
+
+    def _extent(self, ids: np.ndarray, t: int) -> tuple[int, int]:
+        at = np.flatnonzero(self.pairs.has[self.pairs.inner[ids[:-1], ids[1:]], t])
+        starts = bool(self.pairs.has[self.pairs.first[ids[0]], t])
+        return (0 if starts else int(at[0])), (int(at[-1]) + 2 if len(at) else 1)
+
+    def notices(self, block: bytes) -> list[tuple[int, int, str, float, float]]:
+        """(start, end, family, probability, similarity) of each notice of a block, in bytes.
+
+        Windows come first. A line without any of theirs is scored as a whole, too, as a template's pairs may lie farther
+        apart than the template is long.
+        """
+        words = _words(block)
+        if not words or not len(self.pairs.within_reach(self.pairs.ids(words))):
+            return []
+        out = []
+        if found := self.windows(words):
+            where = [m.span() for m in _WORD.finditer(block.lower())]
+            out = [(where[i][0], where[j - 1][1], *rest) for i, j, *rest in found]
+        at = 0
+        for line in block.split(b"\n"):
+            end = at + len(line)
+            if not any(x[0] < end and at < x[1] for x in out) and (own := _words(line)) and len(self.pairs.within_reach(self.pairs.ids(own))):
+                got = self.score([w.decode() for w in own])
+                if got[0] != UNKNOWN:
+                    out.append((at, end, *got))
+            at = end + 1
+        return sorted(out)
+
+    def classify(self, paragraph: str) -> tuple[str, float, float]:
+        """(family or unknown, probability, similarity) of the paragraph's best notice, by similarity."""
+        found = self.notices(paragraph.encode("utf-8", "replace"))
+        return max((x[2:] for x in found), key=lambda x: (x[2], x[1]), default=None) or (UNKNOWN, float(self.probabilities(tokens(paragraph))[0]), 0.0)
+
 
 def training_set(background: list[str], copies: int = 60, seed: int = 7) -> list[tuple[list[str], int]]:
     """Templates in disguise (words lost, changed, put among background words) against background paragraphs."""
@@ -162,7 +229,7 @@ def training_set(background: list[str], copies: int = 60, seed: int = 7) -> list
                 at = int(rng.integers(0, len(around) + 1))
                 out.append((around[:at] + kept + around[at:], label))
     # Licence-like talk that names no family teaches the unknown class.
-    for words in (["license"], ["copyright"], ["the", "license", "of", "the", "software"], ["licensed", "under", "terms"], ["permission", "of", "the", "owner"]):
+    for words in (["license"], ["copyright"], ["the", "license", "of", "the", "software"], ["licensed", "under", "terms"], ["permission", "of", "the", "owner"], ["all", "rights"], ["all", "rights", "of"], ["released", "under", "the"], ["licensed", "under", "the"], ["this", "work", "is"], ["spdx-license-identifier"]):
         for _ in range(copies):
             out.append((words + [str(x) for x in rng.choice(plain, int(rng.integers(0, 12)))], 0))
     return out
@@ -222,14 +289,11 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa
         rows = []
         for doc, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
             at, n, spans, p, s = 0, 0, [], 0.0, 0.0
-            near_any = model.within_reach(text)
             for paragraph in text.split(b"\n"):
                 n += bool(paragraph.strip())
-                if near_any and model.within_reach(paragraph):
-                    family, probability, near = model.classify(paragraph.decode("utf-8", "replace"))
-                    if family != UNKNOWN:
-                        spans.append({"start": at, "end": at + len(paragraph), "family": family})
-                        p, s = max(p, probability), max(s, near)
+                for start, end, family, probability, near in model.notices(paragraph):
+                    spans.append({"start": at + start, "end": at + end, "family": family})
+                    p, s = max(p, probability), max(s, near)
                 at += len(paragraph) + 1
             rows.append((doc, n, len(spans), sorted({x["family"] for x in spans}), p, s, spans))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(_OUT), _OUT, strict=True)], names=[k for k, _ in _OUT])
@@ -238,8 +302,9 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): paragraphs, licence families found, and their byte spans.
 
-    A paragraph is a line. The classifier tells the family or unknown, and a template of that family has to confirm it;
-    lines that hold too few word pairs of every template to be confirmed aren't scored. Null and empty texts have no paragraphs and no hits; equal
+    A paragraph is a line. Templates are laid on every word of it: the classifier tells the family of the window under
+    one or unknown, and the template has to confirm it. A hit is a notice, and a paragraph can have several.
+    Null and empty texts have no paragraphs and no hits; equal
     texts give equal rows; null ids stay null; an empty table gives no rows.
     """
     model = model or fit(docs)

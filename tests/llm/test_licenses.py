@@ -63,3 +63,35 @@ def test_whole_table_equals_every_line(spark, sf, model):
     got = {r["doc_id"]: r["families"] for r in licenses.scan(docs, model).collect()}
     for r in docs.collect():
         assert got[r["doc_id"]] == sorted({model.classify(x)[0] for x in (r["text"] or "").split("\n")} - {"unknown"})
+
+
+NOTICES = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if f != "unknown"]
+
+
+@pytest.mark.parametrize("size", [50, 500, 5_000])
+def test_notices_inside_long_paragraphs(spark, sf, model, size):
+    other = [w for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect() if not model.notices((r["text"] or "").encode()) for w in r["text"].split()]
+    for k, (family, notice) in enumerate(NOTICES):
+        around = [other[(k * 997 + i) % len(other)] for i in range(size)]
+        for at in (0, size // 3, size):
+            text = " ".join([*around[:at], notice, *around[at:]])
+            found = [text.encode()[a:b].decode() for a, b, f, *_ in model.notices(text.encode()) if f == family]
+            assert any(x in notice and len(x) >= len(notice) // 2 for x in found), (notice, at)
+
+
+def test_windows_equal_brute_force(model):
+    text = "the words before it Released under the MIT License and all rights reserved by nobody then SPDX-License-Identifier: MIT the end of all rights of the GNU"
+    words = licenses.tokens(text)
+    every = []
+    for label, template in model.flat:
+        for i in range(len(words)):
+            own = words[i : i + len(template)]
+            p = model.probabilities(own)
+            if licenses.similarity(own, template) >= licenses.LEAST_SIMILARITY and p.argmax() == label and p[label] >= licenses.LEAST_PROBABILITY:
+                every.append((i, i + len(template), licenses.FAMILIES[label]))
+    got = model.windows([w.encode() for w in words])
+    assert [x[2] for x in got] == ["mit", "proprietary", "mit"] and all(any(a < y and x < b for a, b, *_ in got) for x, y, _ in every)
+    for t, (_, template) in enumerate(model.flat):
+        starts, counts = model.pairs.windows(model.pairs.ids([w.encode() for w in words]), t, len(template))
+        want = {i: n for i in range(len(words)) if (n := licenses.similarity(words[i : i + len(template)], template)) >= licenses.LEAST_SIMILARITY}
+        assert {i: c / model.pairs.sizes[t] for i, c in zip(starts.tolist(), counts.tolist())} == pytest.approx(want)
