@@ -22,11 +22,15 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License Version 2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
     ),
     "cc": (
         "Licensed under CC BY-NC 4.0.",
@@ -38,15 +42,21 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License Version 3",
+        "GNU General Public License Version 2",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "SPDX-License-Identifier: MIT",
+        "MIT License Copyright (c)",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License Version 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
     "proprietary": (
         "All rights reserved.",
@@ -59,6 +69,8 @@ FAMILIES = (UNKNOWN, *TEMPLATES)
 FEATURES, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1 << 14, 400, 4
 #: Least probability of a family, and least similarity with one of its templates, for a paragraph to be reported as it.
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.5
+#: What parts two blocks: a line of white space only.
+_BLANK = re.compile(rb"\n(?:[ \t\r\f\v]*\n)+")
 _WORD = re.compile(rb"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -87,6 +99,15 @@ def similarity(words: list[str], template: list[str]) -> float:
     return len(own & want) / max(1, len(want))
 
 
+def blocks(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of the runs of lines between blank lines: a wrapped notice is in one of them."""
+    at = 0
+    for m in _BLANK.finditer(text):
+        yield at, text[at : m.start()]
+        at = m.end()
+    yield at, text[at:]
+
+
 class Pairs:
     """The word pairs of all templates, numbered, to count for each template how many of them a run of words has."""
 
@@ -141,6 +162,10 @@ class LicenceModel:
         self.flat = [(label, t) for label, family in enumerate(FAMILIES[1:], 1) for t in self.templates[family]]
         self.pairs = Pairs([t for _, t in self.flat])
 
+    def within_reach(self, text: bytes) -> bool:
+        """Whether a template could confirm any part of ``text``: a necessary condition, so that skipping the rest loses nothing."""
+        return len(words := _words(text)) > 0 and len(self.pairs.within_reach(self.pairs.ids(words))) > 0
+
     def probabilities(self, words: list[str]) -> np.ndarray:
         f = features(words)
         z = (self.weights[f].sum(axis=0) / np.sqrt(max(1, len(f))) + self.weights[FEATURES]) / self.temperature
@@ -192,18 +217,17 @@ class LicenceModel:
         Windows come first. A line without any of theirs is scored as a whole, too, as a template's pairs may lie farther
         apart than the template is long.
         """
-        words = _words(block)
-        if not words or not len(self.pairs.within_reach(self.pairs.ids(words))):
+        if not self.within_reach(block):
             return []
-        out = []
+        words, out = _words(block), []
         if found := self.windows(words):
             where = [m.span() for m in _WORD.finditer(block.lower())]
             out = [(where[i][0], where[j - 1][1], *rest) for i, j, *rest in found]
         at = 0
         for line in block.split(b"\n"):
             end = at + len(line)
-            if not any(x[0] < end and at < x[1] for x in out) and (own := _words(line)) and len(self.pairs.within_reach(self.pairs.ids(own))):
-                got = self.score([w.decode() for w in own])
+            if not any(x[0] < end and at < x[1] for x in out) and self.within_reach(line):
+                got = self.score([w.decode() for w in _words(line)])
                 if got[0] != UNKNOWN:
                     out.append((at, end, *got))
             at = end + 1
@@ -288,13 +312,12 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa
     for b in batches:
         rows = []
         for doc, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
-            at, n, spans, p, s = 0, 0, [], 0.0, 0.0
-            for paragraph in text.split(b"\n"):
-                n += bool(paragraph.strip())
-                for start, end, family, probability, near in model.notices(paragraph):
-                    spans.append({"start": at + start, "end": at + end, "family": family})
+            spans, p, s = [], 0.0, 0.0
+            n = sum(bool(line.strip()) for line in text.split(b"\n"))
+            for start, block in blocks(text) if model.within_reach(text) else ():
+                for first, end, family, probability, near in model.notices(block):
+                    spans.append({"start": start + first, "end": start + end, "family": family})
                     p, s = max(p, probability), max(s, near)
-                at += len(paragraph) + 1
             rows.append((doc, n, len(spans), sorted({x["family"] for x in spans}), p, s, spans))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(_OUT), _OUT, strict=True)], names=[k for k, _ in _OUT])
 
@@ -302,8 +325,9 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): paragraphs, licence families found, and their byte spans.
 
-    A paragraph is a line. Templates are laid on every word of it: the classifier tells the family of the window under
-    one or unknown, and the template has to confirm it. A hit is a notice, and a paragraph can have several.
+    A paragraph counts as a line, but notices are sought in whole blocks, the lines between blank ones, as they may be
+    wrapped. Templates are laid on every word of a block: the classifier tells the family of the window under one or
+    unknown, and the template has to confirm it. A hit is a notice, of which a block can have several.
     Null and empty texts have no paragraphs and no hits; equal
     texts give equal rows; null ids stay null; an empty table gives no rows.
     """
