@@ -33,3 +33,28 @@ def test_asof_filters_reach_the_scan(spark, sf):
     batch = catalogue.asof_join(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in batch and "Cartesian" not in batch
     assert valid_at("2020-01-01") is not None
+
+
+def _recall(items, docs, k=5):
+    import re
+
+    words = lambda t: [w for w in re.sub(r"[^\w\s]|_", " ", (t or "").lower()).split()]
+    held = {d: set(words(t)) for d, t in docs}
+    cases = hits = 0
+    for _, t in items:
+        terms = {w for w in words(t) if len(w) >= 2}
+        found = sorted((-n, d) for d, have in held.items() if (n := len(terms & have)))
+        if found:
+            cases += 1
+            hits += max((-n, d) for n, d in found)[1] in [d for _, d in found[:k]]
+    return cases, hits
+
+
+def test_recall_reads_every_term(spark, sf):
+    items = [(1, "one two three four five six"), (2, "nowhere neither never seven eight"), (3, None), (4, "four")]
+    docs = [(d, "one two three") for d in range(10)] + [(20, "four five six seven eight one"), (21, "eight"), (22, None), (23, "four")]
+    got = catalogue.recall_of(spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert [(r["cases"], r["hits"]) for r in got] == [_recall(items, docs)] == [(3, 3)]
+    pairs = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()]
+    whole = catalogue.queries()["recall_at_k_all_terms"](spark, sf).collect()[0]
+    assert (whole["cases"], whole["hits"]) == _recall(pairs("benchmark", "item_id", "text"), pairs("documents", "doc_id", "text"))
