@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import texts
+from isochron.llm.common import stored
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples in a pixel, by PNG colour type, at 8 bits.
@@ -155,9 +153,6 @@ def cosine_hash(pixels: np.ndarray) -> bytes:
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
-_OUT = pa.schema([("image", pa.binary()), ("payload", pa.binary()), ("n_bytes", pa.int64()), ("hash", pa.binary()), ("error", pa.string())])
-
-
 def pad(payload: bytes) -> bytes:
     """Spaces appended up to a positive multiple of a row."""
     return payload + b" " * (-len(payload) % ROW_BYTES if payload else ROW_BYTES)
@@ -206,19 +201,11 @@ def read_images(df: DataFrame, image_col: str = "__image") -> DataFrame:
     return got.withColumns({"__payload": F.col("__read.payload"), "__hash": F.col("__read.hash"), "__error": F.col("__read.error")}).drop("__read")
 
 
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text in texts(b["text"]):
-            image = encode_png(pad(text))
-            pixels = decode_png(image)
-            payload = pixels.tobytes()
-            rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(pixels).hex()))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-
 def media_report(docs: DataFrame) -> DataFrame:
-    """The digest columns of op2: each text goes to PNG bytes and back within its task, so no image is shuffled."""
-    return docs.select("doc_id", "text").mapInArrow(_report, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    """The digest columns of op2: images are written once as a binary column and all else is told from what is read back."""
+    made = stored(to_images(docs.select(F.col("doc_id").cast("bigint"), "text")).select("doc_id", "__image", "__n_bytes"), "media")
+    read = read_images(made).withColumn("__payload", F.coalesce("__payload", F.raise_error(F.col("__error"))))
+    return read.select(
+        "doc_id", F.col("__n_bytes").alias("n_bytes"), F.length("__payload").cast("bigint").alias("payload_bytes"), F.sha2("__payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("__payload", -16, 16)).alias("tail_crc32"), F.length("__image").cast("bigint").alias("media_bytes"), F.sha2("__image", 256).alias("media_sha256"), F.lower(F.hex("__hash")).alias("feature"),
+    )

@@ -82,3 +82,24 @@ def test_columns_nulls_and_empty_table(spark):
     assert media.read_images(media.to_images(docs.limit(0))).count() == 0
     broken = spark.createDataFrame([(None,), (b"no image",)], "__image binary")
     assert sorted((r["__error"] or "") for r in media.read_images(broken).collect()) == ["", "signature"]
+
+
+def test_report_reads_a_written_binary_column(spark, monkeypatch):
+    kept = []
+
+    def keep(df, label, store=media.stored):
+        kept.append(store(df, label))
+        return kept[-1]
+
+    monkeypatch.setattr(media, "stored", keep)
+    docs = spark.createDataFrame([(1, None), (2, "é" * 5_000), (None, "x")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in media.media_report(docs).collect()}
+    assert dict(kept[0].dtypes)["__image"] == "binary" and kept[0].inputFiles()
+    for r in kept[0].collect():
+        image, pixels = bytes(r["__image"]), media.decode_png(bytes(r["__image"]))
+        want = got[r["doc_id"]]
+        assert (want["media_bytes"], want["media_sha256"], want["feature"]) == (len(image), brute.sha(image), media.cosine_hash(pixels).hex())
+        assert (want["payload_sha256"], want["tail_crc32"]) == (brute.sha(pixels.tobytes()), zlib.crc32(pixels.tobytes()[-16:]))
+    monkeypatch.setattr(media, "stored", lambda df, label: df.withColumn("__image", media.F.lit(b"no image")))
+    with pytest.raises(Exception, match="signature"):
+        media.media_report(docs).collect()
