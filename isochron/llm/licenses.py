@@ -223,10 +223,12 @@ class LicenceModel:
         if found := self.windows(words):
             where = [m.span() for m in _WORD.finditer(block.lower())]
             out = [(where[i][0], where[j - 1][1], *rest) for i, j, *rest in found]
-        at = 0
+        taken, k, at = list(out), 0, 0
         for line in block.split(b"\n"):
             end = at + len(line)
-            if not any(x[0] < end and at < x[1] for x in out) and self.within_reach(line):
+            while k < len(taken) and taken[k][1] <= at:
+                k += 1
+            if not (k < len(taken) and taken[k][0] < end) and self.within_reach(line):
                 got = self.score([w.decode() for w in _words(line)])
                 if got[0] != UNKNOWN:
                     out.append((at, end, *got))

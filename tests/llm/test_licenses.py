@@ -160,3 +160,9 @@ PROSE = ("Das Kind ging mit der Mutter mit dem Hund", "All rights of the people
 @pytest.mark.parametrize("text", PROSE)
 def test_prose_stays_unknown(model, text):
     assert model.classify(text)[0] == "unknown" and not model.notices(f"words before it\n{text}\nwords behind it".encode())
+
+
+def test_many_notices_in_a_block_take_linear_time(model):
+    line = b"Released under the MIT License.\n"
+    found = model.notices((line + b"plain words of prose\n") * 20_000)
+    assert len(found) == 20_000 and {x[2] for x in found} == {"mit"} and found[-1][0] == 19_999 * (len(line) + 21)
