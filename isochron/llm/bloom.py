@@ -69,9 +69,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"segment": [segment], **{k: [pack.compress(v.tobytes())] for k, v in zip(("once", "twice"), pair, strict=True)}}, schema=_PACKED)
 
 
+def sized(n: int, most: int = SLOTS) -> int:
+    """Slots for n values, eight for each, within bounds; n is a count of what goes into the filter."""
+    return min(most, max(_SEGMENT, 1 << (8 * max(1, n) - 1).bit_length()))
+
+
 def merged(parts: DataFrame, n_slots: int = SLOTS) -> DataFrame:
-    """Filters of tasks (rows of ``Counter2.rows``) summed up segment by segment."""
-    return parts.repartition(max(1, min(16, n_slots // _SEGMENT)), "segment").mapInArrow(_merge, SCHEMA)
+    """Filters of tasks (rows of ``Counter2.rows``) summed up segment by segment.
+
+    In two levels: each segment is first dealt to several tasks by where a row comes from, so that no task merges the
+    filters of all input tasks however many there are.
+    """
+    segments = max(1, n_slots // _SEGMENT)
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks > segments:
+        salted = parts.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(tasks // segments)))
+        parts = salted.repartition(tasks, "segment", "__salt").drop("__salt").mapInArrow(_merge, SCHEMA)
+    return parts.repartition(max(1, min(16, segments)), "segment").mapInArrow(_merge, SCHEMA)
 
 
 def collected(parts: DataFrame, level: str, n_slots: int = SLOTS) -> bytes:

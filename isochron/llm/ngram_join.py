@@ -10,12 +10,14 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of distinct
    coordinate minima with a node's upper corner bounds every overlap below it. Points are a small part of the sets' size;
    only documents that some bound lets pass go on, with those they are joined to by such bounds as their new block;
 4. verification in leaves of bounded size: surviving pairs are tested on the sets unless they are connected already, so
-   a block of near copies costs about one test for each member;
+   a block of near copies costs about one test for each member. Sets hold 128-bit keyed names of shingles
+   (``textkernel.WordNames``), which are the same only for the same words;
 5. blocks of several leaves: members outside the block's largest component are searched in its other leaves.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,26 @@ FREQUENT = 1 << 17
 _FLUSH = 1 << 22
 
 
-def _sets(b: pa.RecordBatch, keep: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) for the rows of a batch, or the chosen ones."""
+#: A document's set: both halves of its shingles' names, distinct and sorted by the first.
+Names = tuple[np.ndarray, np.ndarray]
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> Names:
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    if len(a) > 1:
+        same = a[1:] == a[:-1]
+        if (b[1:] != b[:-1])[same].any():  # two shingles share a first half
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            same = a[1:] == a[:-1]
+        new = np.append(True, ~(same & (b[1:] == b[:-1])))
+        a, b = a[new], b[new]
+    return a, b
+
+
+def _sets(b: pa.RecordBatch, names: textkernel.WordNames, keep: np.ndarray | None = None) -> Iterator[tuple[int, Names]]:
+    """(row, set) for the rows of a batch, or the chosen ones."""
     column = b["text"]
     chosen = np.arange(len(column)) if keep is None else keep
     if keep is not None:
@@ -48,24 +68,24 @@ def _sets(b: pa.RecordBatch, keep: np.ndarray | None = None) -> Iterator[tuple[i
     for i, j, part, at in textkernel.blocks(data, offsets):
         low = textkernel.lower_ascii(part)
         starts, ends, rows = textkernel.words(low, at, textkernel.WHITE)
-        hashes = textkernel.mix(textkernel.span_hashes(textkernel.prefix_sums(low), starts, ends))
-        shingles, owner = textkernel.shingle_hashes(hashes, rows, j - i, SHINGLE)
+        first, second, owner = names.shingles(names.words(low, starts, ends), rows, j - i, SHINGLE)
         edges = np.searchsorted(owner, np.arange(j - i + 1))
         for k in range(j - i):
-            yield int(chosen[i + k]), np.unique(shingles[edges[k] : edges[k + 1]])
+            own = slice(edges[k], edges[k + 1])
+            yield int(chosen[i + k]), distinct(first[own], second[own])
 
 
-def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed longs."""
-    a = textkernel.mix(shingles + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)
-    b = np.bitwise_xor.reduce(textkernel.mix(shingles * np.uint64(0x9E3779B97F4A7C15) + a)) if len(shingles) else np.uint64(0)
-    return int(np.int64(a.astype(np.int64))), int(np.int64(b.astype(np.int64)))
+def fingerprint(names: Names) -> tuple[int, int]:
+    """128 bits of a set, as two signed longs: sums over both halves."""
+    a, b = (textkernel.mix(x).sum(dtype=np.uint64) for x in names)
+    return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
 _SIGNATURE = "doc bigint, n bigint, print bigint, second bigint, point binary, token bigint, times bigint"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], secret: bytes) -> Iterator[pa.RecordBatch]:
+    named = textkernel.WordNames(secret)
     names = ["doc", "n", "print", "second", "point", "token", "times"]
     pack = zstandard.ZstdCompressor(level=1, write_checksum=False)
     held: list[np.ndarray] = []
@@ -79,11 +99,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         rows, points = [], []
-        for i, s in _sets(b):
-            rows.append((i, len(s), *fingerprint(s)))
-            points.append(pack.compress(point_of(s).tobytes()))
-            held.append(s)
-            size += len(s)
+        for i, s in _sets(b, named):
+            rows.append((i, len(s[0]), *fingerprint(s)))
+            points.append(pack.compress(point_of(s[0]).tobytes()))
+            held.append(s[0])
+            size += len(s[0])
             if size > _FLUSH:
                 yield flush()
                 held.clear()
@@ -162,7 +182,7 @@ def counts_of(shingles: np.ndarray) -> np.ndarray:
 def point_of(shingles: np.ndarray) -> np.ndarray:
     """The count vector at a resolution by the set's size; sizes that can link differ by one step at most."""
     bits = max(LEAST_BITS, min(MOST_BITS, len(shingles).bit_length() - 2))
-    return np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+    return np.bincount((shingles & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +193,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (x for b in batches for x in zip(*(b[c].to_pylist() for c in ("hub", "doc", "point")), strict=True))
     out: list[tuple[int, int]] = []
     for _, own in groupby(rows, key=lambda x: x[0]):
-        block = [(doc, np.frombuffer(unpack.decompress(point), np.uint16).astype(np.int32)) for _, doc, point in own]
+        block = [(doc, np.frombuffer(unpack.decompress(point), np.uint32).astype(np.int64)) for _, doc, point in own]
         owner = list(range(len(block)))
 
         def find(i: int, owner: list[int]) -> int:
@@ -206,14 +226,16 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["hub", "doc"])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """The exact test on two sorted sets."""
-    if len(a) > len(b):
+def linked(a: Names, b: Names) -> bool:
+    """The exact test on two sets: a shingle is shared if both halves of its name are."""
+    if len(a[0]) > len(b[0]):
         a, b = b, a
-    if not len(a) or 4 * len(a) < 3 * len(b):
+    n, m = len(a[0]), len(b[0])
+    if not n or 4 * n < 3 * m:
         return False
-    same = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return 7 * same >= 3 * (len(a) + len(b))
+    at = np.minimum(np.searchsorted(b[0], a[0]), m - 1)
+    same = int(((b[0][at] == a[0]) & (b[1][at] == a[1])).sum())
+    return 7 * same >= 3 * (n + m)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[tuple]]]:
@@ -223,7 +245,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int]
     def rows():
         for b in batches:
             for hub, leaf, doc, root, query, body in zip(*(b[c].to_pylist() for c in ("hub", "leaf", "doc", "root", "query", "body")), strict=True):
-                yield (hub, leaf), (doc, root, query, np.frombuffer(body, np.uint64))
+                yield (hub, leaf), (doc, root, query, tuple(np.frombuffer(body, np.uint64).reshape(2, -1)))
 
     for key, own in groupby(rows(), key=lambda x: x[0]):
         yield key, (x[1] for x in own)
@@ -244,11 +266,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return i
 
         def build() -> CountTree:
-            tree = CountTree(np.stack([counts_of(s) for s in sets]), np.array([len(s) for s in sets]))
+            tree = CountTree(np.stack([counts_of(s[0]) for s in sets]), np.array([len(s[0]) for s in sets]))
             owner.extend(range(len(sets)))
             if roots[0] is None:  # not searched yet
                 for i, s in enumerate(sets):
-                    for j in tree.search(counts_of(s), len(s)):
+                    for j in tree.search(counts_of(s[0]), len(s[0])):
                         if j < i and find(i) != find(int(j)) and linked(s, sets[j]):
                             owner[find(i)] = find(int(j))
                             out.append((docs[i], docs[j]))
@@ -265,7 +287,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 tree = build()
             done = set()
-            for j in tree.search(counts_of(s), len(s)):
+            for j in tree.search(counts_of(s[0]), len(s[0])):
                 if roots[j] != root and roots[j] not in done and linked(s, sets[j]):
                     done.add(roots[j])
                     out.append((doc, docs[j]))
@@ -293,8 +315,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and their least ids are the same for any order.
     """
     spark = docs.sparkSession
+    secret = os.urandom(64)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    scanned = stored(rows.mapInArrow(_signatures, _SIGNATURE), "signatures")
+    scanned = stored(rows.mapInArrow(lambda batches: _signatures(batches, secret), _SIGNATURE), "signatures")
     sizes = scanned.where(F.col("n").isNotNull()).select("doc", "n", "print", "second")
     known = sizes.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = cut(known.groupBy("print", "second").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n"))
@@ -308,39 +331,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rarity = spark.sparkContext.broadcast(Rarity(np.array([r[0] for r in frequent] or [0], np.int64).view(np.uint64), np.array([r[1] for r in frequent] or [0], np.int64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = rarity.value, set()
+        order, seen, named = rarity.value, set(), textkernel.WordNames(secret)
         for b in batches:
             doc = b["doc"].to_numpy(zero_copy_only=False)
             tokens, owners = [], []
-            for i, s in _sets(b):
-                if not len(s) or (mark := fingerprint(s)) in seen:
+            for i, s in _sets(b, named):
+                if not len(s[0]) or (mark := fingerprint(s)) in seen:
                     continue  # this task has sent an equal set's tokens already
                 if len(seen) < 1 << 18:
                     seen.add(mark)
-                p = order.prefix(s)
+                p = order.prefix(s[0])
                 tokens.append(p)
                 owners.append(np.full(len(p), doc[i]))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))], names=["token", "doc"])
 
-    tokens = rows.where(F.col("doc").isNotNull()).mapInArrow(prefixes, "token bigint, doc bigint")
+    tokens = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(prefixes, "token bigint, doc bigint"), "tokens")
+    # The hub of a token is its least document. Hubs are aggregated in part before they shuffle and written once, and only
+    # tokens of several documents are joined with them, so that the join can be split on a token that very many hold.
+    hubs = cut(tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("__most")).where(F.col("hub") != F.col("__most")).select("token", "hub"))
+    slots = bloom.sized(hubs.count(), n_slots)
+    met = spark.sparkContext.broadcast(bloom.of_longs(hubs, "token", slots))
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hub, doc) of rows sorted by token and document: the hub is a token's first document."""
-        last, hub = None, 0
+    def several_hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = bloom.Members(met.value, slots)
         for b in batches:
-            token, doc = b["token"].to_numpy(), b["doc"].to_numpy()
-            if not len(token):
-                continue
-            begins = np.append(token[0] != last, token[1:] != token[:-1]) if last is not None else np.append(True, token[1:] != token[:-1])
-            place = np.maximum.accumulate(np.where(begins, np.arange(len(token)), -1))
-            hubs = np.where(place < 0, hub, doc[place])
-            last, hub = token[-1], hubs[-1]
-            differ = hubs != doc
-            pairs = np.unique(np.column_stack([hubs[differ], doc[differ]]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "doc"])
-
-    pairs = tokens.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(around, "hub bigint, doc bigint").distinct()
+            keep = seen(b["token"].to_numpy().view(np.uint64))
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    pairs = tokens.mapInArrow(several_hold, "token bigint, doc bigint").join(hubs, "token").where(F.col("hub") != F.col("doc")).select("hub", "doc").distinct()
     as_rep = lambda df, c: df.join(copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep")), F.col(c) == F.col("__doc"), "left").withColumn(c, F.coalesce("__rep", c)).drop("__doc", "__rep")
     pairs = as_rep(as_rep(pairs, "hub"), "doc").where(F.col("hub") != F.col("doc")).distinct()
     members = cut(pairs.unionByName(pairs.select("hub", F.col("hub").alias("doc")).distinct()))
@@ -350,8 +370,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def in_leaves(blocks: DataFrame) -> DataFrame:
         """(hub, doc, leaves, leaf): how many leaves a block takes, and which is the document's."""
         shape = blocks.join(widths, "doc").groupBy("hub").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__size"))
-        leaves = F.greatest(F.ceil(F.col("__n") / LEAF_DOCS), F.ceil(F.col("__size") / LEAF_SHINGLES))
-        return blocks.join(shape.select("hub", leaves.cast("int").alias("leaves")), "hub").withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
+        leaves = F.greatest(F.ceil(F.col("__n") / LEAF_DOCS), F.ceil(F.col("__size") / LEAF_SHINGLES)).cast("int")
+        # Few blocks take several leaves; theirs are written once, so that the join can be split on a hub of many members.
+        large = cut(shape.select("hub", leaves.alias("leaves")).where(F.col("leaves") > 1))
+        return blocks.join(large, "hub", "left").withColumn("leaves", F.coalesce("leaves", F.lit(1))).withColumn("leaf", F.pmod(F.xxhash64("doc"), F.col("leaves")).cast("int"))
 
     rough = cut(in_leaves(members))
     points = scanned.where(F.col("n") > 0).groupBy("doc", "print", "second").agg(F.min("point").alias("point")).drop("print", "second")
@@ -359,19 +381,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = cut(near.unionByName(rough.where(F.col("leaves") > 1).select("hub", "doc")).distinct())
     leafed = cut(in_leaves(blocks))
 
-    wanted = spark.sparkContext.broadcast(bloom.of_longs(blocks.select("doc").distinct(), "doc", n_slots))
+    wanted_slots = bloom.sized(blocks.count(), n_slots)
+    wanted = spark.sparkContext.broadcast(bloom.of_longs(blocks, "doc", wanted_slots))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sent = bloom.Members(wanted.value, n_slots), set()
+        seen, sent, named = bloom.Members(wanted.value, wanted_slots), set(), textkernel.WordNames(secret)
         for b in batches:
             doc = b["doc"].to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.flatnonzero(seen(doc.view(np.uint64)))
             got = []
-            for i, s in _sets(b, keep):
+            for i, s in _sets(b, named, keep):
                 key = (int(doc[i]), *fingerprint(s))
                 if key not in sent:
                     sent.add(key)
-                    got.append((*key, s.tobytes()))
+                    got.append((*key, s[0].tobytes() + s[1].tobytes()))
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "print", "second", "body"])
 

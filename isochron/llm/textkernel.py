@@ -6,6 +6,7 @@ Everything here works on one Arrow batch inside a task: a text column's own buff
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,11 +79,6 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of bytes[start:end] for each pair, the same wherever the bytes lie."""
-    return (sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(sums))[starts]
-
-
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row of each word) of the maximal runs of non-separators that cross no row's edge."""
     inside = ~separators[data]
@@ -108,29 +104,83 @@ def separator_table(spans: list[tuple[int, int]]) -> np.ndarray:
 WHITE = separator_table([(0x20, 0x20), (0x09, 0x0D)])
 
 
-def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every run of ``size`` words; a row with fewer words, but some, gives its whole sequence as one."""
-    counts = np.bincount(rows, minlength=n_rows)
-    total = len(hashes)
-    acc = np.zeros(max(total - size + 1, 0), np.uint64)
-    factors = powers(np.uint64(0xD6E8FEB86659FD93), size + 1)
-    for k in range(size):
-        acc += hashes[k : total - size + 1 + k] * factors[k + 1]
-    whole = rows[: len(acc)] == rows[size - 1 :] if total >= size else np.zeros(0, bool)
-    out, at = mix(acc[whole]), rows[: len(acc)][whole]
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    if len(short):
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        extra = np.zeros(len(short), np.uint64)
-        for k in range(size - 1):
-            has = counts[short] > k
-            extra[has] += hashes[first[short[has]] + k] * factors[k + 1]
-        extra = mix(extra + counts[short].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        out, at = np.concatenate([out, extra]), np.concatenate([at, short])
-        order = np.argsort(at, kind="stable")
-        out, at = out[order], at[order]
-    return out, at
+class WordNames:
+    """128-bit names of words and of runs of words, under a secret that is drawn anew for each run.
+
+    A word of at most 16 bytes goes through a keyed permutation of 128 bits, so two such words never share a name;
+    longer ones, and words that hold a zero byte, take a keyed BLAKE2b digest. A run's name is a sum of its words' names
+    times secret odd factors, mixed, once for each half. Nobody who writes texts can know the secret.
+    """
 
+    def __init__(self, secret: bytes):
+        stream = b"".join(hashlib.blake2b(bytes([i]), key=secret[:64]).digest() for i in range(8))
+        self.key, values = stream[:32], np.frombuffer(stream[32:], np.uint64)
+        self.rounds, self.factors, self.salt = values[:4], values[4:44].reshape(2, 20) | np.uint64(1), values[44:48]
+        self.long: dict[bytes, bytes] = {}
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the name of bytes[start:end], for each word."""
+        padded = np.zeros(len(data) + 16, np.uint8)
+        padded[: len(data)] = data
+        lanes = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+        n = ends - starts
+        a = lanes[starts] & _LANE[np.minimum(n, 8)]
+        b = lanes[np.minimum(starts + 8, len(data) + 8)] & _LANE[np.clip(n - 8, 0, 8)]
+        for k in self.rounds:
+            a, b = b, a ^ mix(b ^ k)
+        odd = n > 16
+        zeros = data == 0
+        if zeros.any():
+            before = np.concatenate([[0], np.cumsum(zeros)])
+            odd |= before[ends] > before[starts]
+        at = np.flatnonzero(odd)
+        if len(at):
+            raw, names = data.tobytes(), []
+            for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
+                word = raw[i:j]
+                name = self.long.get(word)
+                if name is None:
+                    name = hashlib.blake2b(word, digest_size=16, key=self.key).digest()
+                    if len(self.long) < 1 << 16:
+                        self.long[word] = name
+                names.append(name)
+            told = np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
+            a[at], b[at] = told[:, 0], told[:, 1]
+        return a, b
+
+    def shingles(self, names: tuple[np.ndarray, np.ndarray], rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first half, second half, row) of every run of ``size`` words, in the order of the rows.
+
+        A row with fewer words, but some, gives its whole sequence as one run.
+        """
+        counts = np.bincount(rows, minlength=n_rows)
+        total = len(rows)
+        whole = rows[: total - size + 1] == rows[size - 1 :] if total >= size else np.zeros(0, bool)
+        short = np.flatnonzero((counts > 0) & (counts < size))
+        first = np.cumsum(counts) - counts
+        at = rows[: len(whole)][whole]
+        out = []
+        for half, factors, salt in zip(names, self.factors, self.salt, strict=False):
+            acc = np.zeros(len(whole), np.uint64)
+            for k in range(size):
+                acc += half[k : k + len(whole)] * factors[k]
+            runs = mix(acc[whole] ^ salt)
+            if len(short):
+                extra = counts[short].astype(np.uint64) * factors[-1]
+                for k in range(size - 1):
+                    has = counts[short] > k
+                    extra[has] += half[first[short[has]] + k] * factors[k]
+                runs = np.concatenate([runs, mix(extra ^ salt)])
+            out.append(runs)
+        if len(short):
+            at = np.concatenate([at, short])
+            order = np.argsort(at, kind="stable")
+            out, at = [x[order] for x in out], at[order]
+        return out[0], out[1], at
+
+
+#: Masks of the low n bytes of a 64-bit lane.
+_LANE = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Low bits of a minimizer key that hold a position; a block of windows has to be shorter.
 POSITION_BITS = np.uint64(21)
@@ -154,20 +204,19 @@ def window_blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterato
 class Anchors:
     """The anchors of one block: each window of ``length`` bytes is led by the leftmost least hash of its ``gram``-byte strings.
 
-    ``lo``..``hi`` are the starts of the windows that one anchor leads, ``gram_hash`` hashes the anchor's bytes, and
-    ``context_hash`` all bytes that those windows cover. Equal windows have equal anchors at equal places, wherever
-    they lie, so repeats can be searched anchor by anchor.
+    ``lo``..``hi`` are the starts of the windows that one anchor leads, and ``gram_hash`` hashes the anchor's bytes. Equal
+    windows have equal anchors at equal places, wherever they lie, so repeats can be searched anchor by anchor. The hash
+    chooses anchors and deals them to buckets; it never decides that two strings are equal.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-        self.length, n = length, len(data)
+        self.data, self.length, n = data, length, len(data)
         self.rows = self.lo = self.hi = np.zeros(0, np.int64)
-        self.gram_hash = self.context_hash = np.zeros(0, np.uint64)
+        self.gram_hash = np.zeros(0, np.uint64)
         if n < length:
             return
-        self.sums = prefix_sums(data)
-        self.inverse = powers(BASE_INVERSE, n + 1)
-        hashes = mix((self.sums[gram:] - self.sums[:-gram]) * self.inverse[: n - gram + 1])
+        sums = prefix_sums(data)
+        hashes = mix((sums[gram:] - sums[:-gram]) * powers(BASE_INVERSE, n + 1)[: n - gram + 1])
         key = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
         width, span = length - gram + 1, 1
         while span * 2 <= width:
@@ -182,15 +231,10 @@ class Anchors:
         hi = np.append(lo[1:], len(leader)) - 1
         keep = leader[lo] >= 0
         self.lo, self.hi = lo[keep], hi[keep]
-        at = leader[self.lo]
-        self.gram_hash = hashes[at]
-        shape = (at - self.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (self.hi - self.lo).astype(np.uint64)
-        self.context_hash = mix((self.sums[self.hi + length] - self.sums[self.lo]) * self.inverse[self.lo] + shape)
+        self.gram_hash = hashes[leader[self.lo]]
         self.rows = np.searchsorted(offsets, self.lo, "right") - 1
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor number, start, hash) of every window that the chosen anchors lead."""
-        counts = (self.hi - self.lo + 1)[chosen]
-        which = np.repeat(chosen, counts)
-        starts = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + self.lo[which]
-        return which, starts, mix((self.sums[starts + self.length] - self.sums[starts]) * self.inverse[starts])
+    def contexts(self, chosen: np.ndarray) -> list[bytes]:
+        """All bytes that the windows of each chosen anchor cover."""
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.lo[chosen].tolist(), (self.hi[chosen] + self.length).tolist(), strict=True)]

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from isochron.llm import ngram_join
+from isochron.llm import ngram_join, textkernel
 from tests.llm import brute
 
 
@@ -85,4 +85,23 @@ def test_tree_bounds_lose_no_link(seed):
     tree = ngram_join.CountTree(np.stack([ngram_join.counts_of(s) for s in sets]), np.array([len(s) for s in sets]))
     for s in sets:
         found = set(tree.search(ngram_join.counts_of(s), len(s)).tolist())
-        assert {i for i, x in enumerate(sets) if ngram_join.linked(s, x)} <= found
+        assert {i for i, x in enumerate(sets) if ngram_join.linked((s, s), (x, x))} <= found
+
+
+def test_words_that_collide_under_any_polynomial_modulo_a_power_of_two(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    assert sorted(result(spark, [(1, one), (2, two)])) == [(1, 1, 1), (2, 1, 2)]
+
+
+@pytest.mark.parametrize("length", [1, 7, 8, 9, 15, 16, 17, 40])
+def test_names_of_words_are_distinct_and_depend_on_their_bytes_alone(length):
+    rng = random.Random(length)
+    words = sorted({bytes(rng.choice(b"\0ab\xff") for _ in range(n)) for n in range(1, length + 1) for _ in range(300)})
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    named = textkernel.WordNames(b"s" * 64)
+    a, b = named.words(data, ends - [len(w) for w in words], ends)
+    assert len({*zip(a.tolist(), b.tolist(), strict=True)}) == len(words)
+    for i in (0, len(words) // 2, len(words) - 1):
+        alone = named.words(np.frombuffer(words[i], np.uint8), np.array([0]), np.array([len(words[i])]))
+        assert (alone[0][0], alone[1][0]) == (a[i], b[i])
