@@ -50,3 +50,32 @@ def test_passages_across_the_edges_of_blocks(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_strings_of_equal_rolling_hash_are_told_apart(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    rows = [(flip, "".join("ab"[b ^ flip] for b in bits)) for flip in (0, 1)]
+    assert run(spark, rows, length=1024, gram=1024) == wanted(rows, 1024)
+    assert wanted(rows, 1024)[0][3] == 0
+
+
+def test_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET", 1)
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(25))
+    rows = [(i, "".join(rng.choice("ijkl") for _ in range(rng.randint(0, 9))) + passage + "".join(rng.choice("ijkl") for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    assert run(spark, rows, length=20, gram=12) == wanted(rows, 20)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_suffixes_in_buckets(seed):
+    rng = random.Random(seed)
+    length = rng.choice([3, 8, 9, 13, 20, 24])
+    bodies = list({bytes(rng.choice(b"ab\0") for _ in range(rng.randint(length, length + 15))) for _ in range(rng.randint(1, 9))})
+    buckets = [rng.randint(0, 2) for _ in bodies]
+    seen = {}
+    for x, k in zip(bodies, buckets, strict=True):
+        for i in range(len(x) - length + 1):
+            seen[k, x[i : i + length]] = seen.get((k, x[i : i + length]), 0) + 1
+    told = [[i for i in range(len(x) - length + 1) if seen[k, x[i : i + length]] > 1] for x, k in zip(bodies, buckets, strict=True)]
+    assert [x.tolist() for x in substrings.repeated_suffixes(bodies, buckets, length)] == told
