@@ -6,6 +6,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,10 @@ class CharacterMap:
                 found = i + 1 - at, self.pool[value : self.pool.index(b"\0", value)]
         return found
 
-    def normalise(self, data: bytes) -> tuple[bytes, list[int]]:
+    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """(normalised bytes, for each of them and the end the source offset): a byte's own, or where its mapped prefix began."""
+        if not self.units:
+            return data, np.arange(len(data) + 1)
         out, source, at = bytearray(), [], 0
         while at < len(data):
             hit = self.longest(data, at)
@@ -66,7 +69,7 @@ class CharacterMap:
             out += hit[1]
             at += hit[0]
         source.append(at)
-        return bytes(out), source
+        return bytes(out), np.array(source, np.int64)
 
 
 class Codec:
@@ -97,30 +100,30 @@ class Codec:
             and all(p.type != 4 for p in model.pieces) and not any(SPACE in x.lstrip(SPACE) for x in names)
         )
         self.end = self.library.eos_id()
-        self.bytes_of = [1 if p.type == 6 else len(p.piece.encode()) - 2 * p.piece.count(SPACE) for p in model.pieces]
+        # Bytes of the normalised text, its spaces as marks, that a piece lies over. Pieces for unknown characters have no
+        # length of their own, and dropped spaces leave no trace, so such models have ids but no spans.
+        self.lengths = np.array([1 if p.type == 6 else 0 if p.type == 3 else len(p.piece.encode()) for p in model.pieces], np.int64)
+        self.aligned = model.trainer_spec.byte_fallback and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not model.trainer_spec.treat_whitespace_as_suffix
         self.text_of = [bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
         self.begins = [x.startswith(SPACE) for x in names]
-        self.cache: dict[bytes, tuple[str, int, bytes]] = {}
+        self.cache: dict[bytes, list[int]] = {}
 
     #: A unit of the text with its dummy prefix, spaces being either mark or blank.
     UNIT = re.compile(b"(?: |\xe2\x96\x81)+(?:[^ \xe2]|\xe2(?!\x96\x81))*")
 
-    def _keep(self, unit: bytes, ids: list[int]) -> tuple[str, int, bytes]:
-        """Entry of a unit: its ids as text, their number, and what they decode to."""
-        body = b"".join([self.text_of[i] for i in ids])
-        got = " ".join(map(str, ids)), len(ids), unit if body == unit else body.decode("utf-8", "replace").encode()
+    def _keep(self, unit: bytes, ids: list[int]) -> list[int]:
         if len(self.cache) >= self.CACHE:  # units learned early are the frequent ones
             for k in list(self.cache)[self.CACHE // 2 :]:
                 del self.cache[k]
-        self.cache[unit] = got
-        return got
+        self.cache[unit] = ids
+        return ids
 
-    def _learn_odd(self, unit: bytes) -> tuple[str, int, bytes]:
+    def _learn_odd(self, unit: bytes) -> list[int]:
         """A unit with several spaces or spaces alone: the library would put its own mark before it."""
         text = unit.decode("utf-8", "replace")
         return self._keep(unit, self.library.encode(text[1:]) if text.strip(" " + SPACE) else self.library.encode("x" + text)[1:])
 
-    def _learn(self, new: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
+    def _learn(self, new: list[bytes]) -> dict[bytes, list[int]]:
         """Encode units in one call; each begins at a piece that begins with a space mark, and only there."""
         got, plain = {}, []
         for u in new:
@@ -139,7 +142,8 @@ class Codec:
                 got[u] = self._keep(u, ids[a:b])
         return got
 
-    def units(self, data: bytes) -> list[tuple[str, int, bytes]]:
+    def units(self, data: bytes) -> list[list[int]]:
+        """The ids of each unit of the text."""
         if b"\xe2\x96\x81" in data or b"  " in data or data[:1] == b" " or data[-1:] == b" ":
             found = self.UNIT.findall(b" " + data)
         else:
@@ -156,43 +160,31 @@ class Codec:
         if not data:
             return [self.end]
         if self.by_unit:
-            return [int(i) for u in self.units(data) for i in u[0].split()] + [self.end]
+            return [*chain.from_iterable(self.units(data)), self.end]
         return [*self.library.encode(data.decode("utf-8", "replace")), self.end]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
-    def spans(self, data: bytes) -> tuple[list[int], list[int], list[int]]:
+    def spans(self, data: bytes) -> tuple[list[int], np.ndarray, np.ndarray]:
         """(ids, starts, ends): for each id the original bytes [start, end) that it came from; the end id spans none.
 
-        The text is normalised by longest prefixes, which records where each byte came from; pieces are laid over the
-        normalised bytes in order, and their edges read through that record. The mark put before the text spans none.
+        The text is normalised by longest prefixes, which records where each byte came from; spaces become marks, one is
+        put before the text, and pieces are laid over the result in order. Their edges are read through the record: a
+        piece spans what its bytes came from, the mark before the text nothing.
         """
         ids = self.encode(data)
-        if self.map.units or not self.by_unit:
-            return self._spans_aligned(data, ids)
-        ends = np.cumsum([0] + [self.bytes_of[i] for i in ids[:-1]])
-        ends = np.maximum(ends - 1, 0) if data else ends
-        if len(ids) > 1 and ends[-1] != len(data):
-            return self._spans_aligned(data, ids)
-        edges = ends.tolist()
-        return ids, [*edges[:-1], len(data)], [*edges[1:], len(data)]
-
-    def _spans_aligned(self, data: bytes, ids: list[int]) -> tuple[list[int], list[int], list[int]]:
+        if not self.aligned:
+            raise ValueError("a model that drops spaces or has no pieces for single bytes can't be aligned")
         plain, source = self.map.normalise(data)
-        escaped, back = bytearray(_SPACE if self.dummy else b""), [0] * (3 if self.dummy else 0)
-        for b, at in zip(plain, source, strict=False):
-            escaped += _SPACE if b == 32 else bytes([b])
-            back += [at] * (3 if b == 32 else 1)
-        back.append(source[-1])
-        starts, ends, at = [], [], 0
-        for i in ids[:-1]:
-            piece = self.library.id_to_piece(i)
-            n = 1 if self.library.is_byte(i) else len(piece.encode())
-            starts.append(back[min(at, len(back) - 1)])
-            at += n
-            ends.append(back[min(at, len(back) - 1)])
-        return ids, [*starts, len(data)], [*ends, len(data)]
+        back = np.repeat(source[:-1], np.where(np.frombuffer(plain, np.uint8) == 32, len(_SPACE), 1))
+        mark = len(_SPACE) if self.dummy and data else 0
+        back = np.concatenate([np.zeros(mark, np.int64), back, source[-1:]])
+        edges = np.concatenate([[0], np.cumsum(self.lengths[ids[:-1]])]) if len(ids) > 1 else np.zeros(1, np.int64)
+        if edges[-1] != len(back) - 1:
+            raise ValueError("the pieces don't cover the normalised text")
+        edges = back[edges]
+        return ids, np.append(edges[:-1], len(data)), np.append(edges[1:], len(data))
 
 
 _codecs: dict[str, Codec] = {}
@@ -237,20 +229,20 @@ def decode_ids(df: DataFrame, model_path: str, ids_col: str = "__ids") -> DataFr
 
 def _report(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = codec(path)
-    tail = str(model.end)
+    names = {}
     for b in batches:
         rows = []
         for data in texts(b["text"]):
-            if model.by_unit and data:
-                units = model.units(data)
-                ids = " ".join([u[0] for u in units])
-                decoded = b"".join([u[2] for u in units])[1:]
-                rows.append((sum([u[1] for u in units]) + 1, hashlib.sha256(f"{ids} {tail}".encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            else:
-                got = model.encode(data)
-                rows.append((len(got), hashlib.sha256(" ".join(map(str, got)).encode()).hexdigest(), hashlib.sha256(model.decode(got).encode()).hexdigest()))
-        columns = list(zip(*rows, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, starts, ends = model.spans(data)
+            for i in ids:
+                if i not in names:
+                    names[i] = str(i)
+            told = " ".join([names[i] for i in ids])
+            edges = hashlib.sha256(starts.astype("<i8").tobytes() + ends.astype("<i8").tobytes())
+            rows.append((len(ids), hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest(), int((ends - starts).sum()), edges.hexdigest()))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_spanned", "spans_sha256"])
 
 
 def model_file() -> str:
@@ -261,6 +253,11 @@ def model_file() -> str:
 
 
 def pieces_report(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """The columns of op10, from the same units and cache as ``encode_texts``."""
+    """The columns of op10 and of the alignment: bytes that pieces span, and a digest of all their starts and ends.
+
+    Every text is encoded, normalised, aligned and decoded as by ``encode_texts`` and ``decode_ids``; of a null or empty
+    text there is the end id alone. Repeated rows give equal rows, null ids stay null, an empty table gives no rows, and
+    columns other than doc_id and text are not read.
+    """
     path = model_path or model_file()
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _report(batches, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _report(batches, path), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_spanned bigint, spans_sha256 string")
