@@ -14,7 +14,9 @@ from isochron.llm.common import texts
 
 #: Bounds of what is fitted on: labelled documents drawn for each label, characters of each (from its middle), bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 4000, 110_000
-LEVEL = 3
+#: Compression level, bytes that are compressed at a time, and bytes of the pieces that dictionaries are trained on. Parts are
+#: short so that a text's likeness to the dictionaries counts and not its likeness to itself.
+LEVEL, PART, PIECE = 3, 120, 300
 
 
 def _excerpt(column, n: int):
@@ -32,70 +34,82 @@ def draw(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_chars: int
 
 
 class CompressionModel:
-    """Two raw-content dictionaries and the logistic curve that turns the size difference into a probability.
+    """A trained dictionary of good and one of bad text, and the curve that turns the size difference into a probability.
 
-    ``features`` of a text: the normalised difference (bad minus good compressed size over their sum, so positive for
-    good text), the share of its bytes that the better dictionary leaves, and the logarithm of its length.
+    The difference of a text is (bad - good) / (bad + good), where good and bad are the sizes that the dictionaries
+    compress it to, summed over its parts: positive for text like the good. The score is a logistic curve over it, so it
+    rises with the difference and depends on nothing else.
     """
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, centre: np.ndarray | None = None, scale: np.ndarray | None = None):
-        self.good, self.bad, self.weights, self.centre, self.scale = good, bad, weights, centre, scale
+    def __init__(self, good: bytes, bad: bytes):
+        self.good, self.bad = good, bad
+        self.slope, self.offset = 0.0, 0.0
         self._packers: list | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"_packers": None}
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
+    def difference(self, text: bytes) -> float:
+        """Whole text, part by part; an empty one is one empty part."""
         if self._packers is None:
-            self._packers = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (self.good, self.bad)]
-        g, b = (len(p.compress(text)) for p in self._packers)
-        return (b - g) / (b + g), min(b, g) / (len(text) + 16), float(np.log(len(text) + 1))
-
-    def _columns(self, found: np.ndarray) -> np.ndarray:
-        x = np.clip((found - self.centre) / self.scale, -4, 4)
-        return np.column_stack([np.ones(len(x)), x, x[:, 0] * x[:, 1], x[:, 0] * x[:, 2], x[:, 1] * x[:, 2], x**2])
-
-    def calibrate(self, found: np.ndarray, good: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> None:
-        """Ridge logistic regression by Newton steps over the three features, their products and squares."""
-        self.centre, self.scale = found.mean(axis=0), found.std(axis=0) + 1e-9
-        x = self._columns(found)
-        w = np.zeros(x.shape[1])
+            kinds = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_AUTO) for d in (self.good, self.bad)]
+            for k in kinds:
+                k.precompute_compress(level=LEVEL)
+            self._packers = [zstandard.ZstdCompressor(level=LEVEL, dict_data=k, write_content_size=False, write_checksum=False, write_dict_id=False).compress for k in kinds]
+        by_good, by_bad = self._packers
+        good = bad = 0
+        for at in range(0, max(1, len(text)), PART):
+            part = text[at : at + PART]
+            good += len(by_good(part))
+            bad += len(by_bad(part))
+        return (bad - good) / (bad + good)
+
+    def calibrate(self, differences: np.ndarray, good: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> None:
+        """Fit the curve by Newton steps on texts that the dictionaries haven't seen; a falling one is made flat."""
+        spread = float(differences.std()) or 1.0
+        x = np.column_stack([np.ones(len(differences)), differences / spread])
+        w = np.zeros(2)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (good - p) - ridge * w)
-            w += step
+            step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(2), x.T @ (good - p) - ridge * w)
+            w += np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-8:
                 break
-        self.weights = w
+        if w[1] < 0:
+            share = (good.sum() + 1) / (len(good) + 2)
+            w = np.array([np.log(share / (1 - share)), 0.0])
+        self.offset, self.slope = float(w[0]), float(w[1] / spread)
 
-    def scores(self, found: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._columns(found) @ self.weights, -30, 30)))
+    def scores(self, differences: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * differences, -30, 30)))
 
 
 def dictionary(bodies: list[bytes], limit: int) -> bytes:
-    """An equal share of each body, in a fixed order, up to ``limit`` bytes in all."""
-    share = max(64, limit // max(1, len(bodies)))
-    return b"\n".join(x[:share] for x in bodies)[:limit] or b"        "
+    """The library's dictionary training over pieces of the bodies; where they are too few for it, their bytes as they are."""
+    pieces = [x[i : i + PIECE] for x in bodies for i in range(0, len(x), PIECE)]
+    try:
+        return zstandard.train_dictionary(limit, pieces).as_bytes() if len(pieces) > 7 else b"\n".join(pieces)[:limit] or b" " * 8
+    except zstandard.ZstdError:  # it refuses small or uniform input
+        return b"\n".join(pieces)[:limit] or b" " * 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> CompressionModel:
-    """Fit on the bounded draw: a third of it fills the dictionaries, the others calibrate the curve.
+    """Fit on the bounded draw: a third of it trains the dictionaries, the others calibrate the curve.
 
-    With no usable label, or one label only, the curve is flat at the smoothed share of good labels.
+    With no usable label, or one label only, the curve is flat or nearly so.
     """
     rows = [(r["quality"], r["text"].encode("utf-8", "surrogatepass")) for r in draw(docs, labels, sample_docs, sample_chars)]
     bodies = {q: [t for k, t in rows if k == q] for q in (0, 1)}
     model = CompressionModel(*(dictionary(bodies[q][::3], DICTIONARY_BYTES) for q in (1, 0)))
     rest = [(q, t) for q in (0, 1) for i, t in enumerate(bodies[q]) if i % 3]
-    found = np.array([model.features(t) for _, t in rest] or [(0.0, 0.0, 0.0)])
-    good = np.array([q for q, _ in rest] or [0.5], float)
-    model.calibrate(found, good)
+    found = np.array([model.difference(t) for _, t in rest] or [0.0])
+    model.calibrate(found, np.array([q for q, _ in rest] or [0.5], float))
     return model
 
 
 def score_batches(model, batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = np.array([model.features(t) for t in texts(b[text_col])]).reshape(-1, 3)
+        found = np.array([model.difference(t) for t in texts(b[text_col])], float)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(found), pa.float64())], names=[*b.schema.names, "__score"])
 
 
@@ -114,7 +128,11 @@ THRESHOLD = 0.7
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The columns of op6."""
+    """The columns of op6: one row for each row of ``docs``, whatever its id; equal texts score alike.
+
+    Null texts score as empty ones. Labels are used as ``draw`` says: once for each id, not at all where an id has both or
+    a null; an empty table of documents gives no rows.
+    """
     model = fit(docs, labels)
     return score(docs.select("doc_id", "text"), model).select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 

@@ -11,7 +11,7 @@ def test_run_equals_plain_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-    rows = [(i, t) for i, t in rows if model.scores(quality.np.array([model.features((t or "").encode())]))[0] >= quality.THRESHOLD]
+    rows = [(i, t) for i, t in rows if model.scores(quality.np.array([model.difference((t or "").encode())]))[0] >= quality.THRESHOLD]
     rows = [(i, t) for i, t, _, _ in brute.dedup_lines(rows)]
     rows = [(i, t) for i, t in rows if brute.jaccard_components(rows)[i, t][1] == i] if len(rows) < 50 else one_each(rows)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
