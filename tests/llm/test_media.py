@@ -103,3 +103,25 @@ def test_report_reads_a_written_binary_column(spark, monkeypatch):
     monkeypatch.setattr(media, "stored", lambda df, label: df.withColumn("__image", media.F.lit(b"no image")))
     with pytest.raises(Exception, match="signature"):
         media.media_report(docs).collect()
+
+
+@pytest.mark.parametrize("head", [(0, 1, 8, 2, 0, 0, 0), (1, 0, 8, 2, 0, 0, 0), (1, 1, 16, 2, 0, 0, 0), (1, 1, 8, 3, 0, 0, 0), (1, 1, 8, 2, 1, 0, 0), (1, 1, 8, 2, 0, 1, 0), (1, 1, 8, 2, 0, 0, 1), (2**31, 2**31, 8, 2, 0, 0, 0), (2, 1, 8, 2, 0, 0, 0)])
+def test_every_odd_header_is_told_and_fails_no_job(spark, head):
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    data = [zlib.compress(b"\0abc"), b"no stream", zlib.compress(b"\0" * 1000)[:-5]]
+    images = [media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", *head)) + chunk(b"IDAT", d) + chunk(b"IEND", b"") for d in data]
+    images += [media.SIGNATURE + chunk(b"IHDR", b"short") + chunk(b"IEND", b""), media.SIGNATURE + chunk(b"IEND", b"")]
+    got = media.read_images(spark.createDataFrame([(x,) for x in images], "__image binary")).collect()
+    assert all(r["__error"] and r["__payload"] is None and r["__hash"] is None for r in got)
+
+
+def test_the_feature_is_a_plain_cosine_transform():
+    rng = np.random.default_rng(3)
+    pixels = rng.integers(0, 256, (64, 64, 3), dtype=np.uint8)
+    small = pixels.mean(axis=2).reshape(32, 2, 32, 2).mean(axis=(1, 3))
+    low = []
+    for u in range(8):
+        for v in range(8):
+            low.append(round(sum(small[y][x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)), 5))
+    middle = sorted(low[1:])[31]
+    assert media.cosine_hash(pixels) == bytes(sum((low[8 * k + i] > middle) << (7 - i) for i in range(8)) for k in range(8))
