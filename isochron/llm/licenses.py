@@ -17,6 +17,12 @@ from isochron.llm.common import texts
 #: Phrases in which public licences name or grant themselves, by family. Templates of the comparison and
 #: seeds of the training paragraphs. A family's order is by its usual name.
 TEMPLATES = {
+    "agpl": (
+        "GNU Affero General Public License Version 3",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -38,6 +44,11 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ),
+    "epl": (
+        "Eclipse Public License Version 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
@@ -46,6 +57,17 @@ TEMPLATES = {
         "GNU General Public License Version 2",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
+    "isc": (
+        "ISC License",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "lgpl": (
+        "GNU Lesser General Public License Version 3",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
@@ -65,8 +87,8 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)
-#: Bounds: hashed features, documents from which unlabelled paragraphs are drawn, paragraphs of each of them.
-FEATURES, SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 1 << 14, 400, 4
+#: Bounds: hashed features, documents from which background runs of words are drawn, runs of each of them, words of a run.
+FEATURES, SAMPLE_DOCS, SAMPLE_RUNS, SAMPLE_WORDS = 1 << 14, 400, 4, 40
 #: Least probability of a family, and least similarity with one of its templates, for a paragraph to be reported as it.
 LEAST_PROBABILITY, LEAST_SIMILARITY = 0.5, 0.5
 #: What parts two blocks: a line of white space only.
@@ -88,7 +110,8 @@ def features(words: list[str]) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(g.encode()) % FEATURES for g in grams), np.int64, len(grams)))
 
 
-#: Words and phrases that licences share: background lines with one of them aren't taken for the unknown class.
+#: Words and phrases that licences share: background runs with one of them aren't taken for the unknown class in training,
+#: and lines with one that no family claims are counted as unknown. No text is skipped for want of them.
 _HINT = re.compile(rb"(?i)licen[sc]e|copyright|rights reserved|spdx|redistribut|permission is|free software|creative commons|confidential")
 
 
@@ -301,13 +324,30 @@ def train(background: list[str], rounds: int = 80) -> LicenceModel:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
     """Draw background paragraphs from the ``sample_docs`` texts with the least hashes of their ids, and train on them."""
     ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    cut_up = F.slice(F.split(F.substring("text", 1, 20_000), "\n"), 1, SAMPLE_PARAGRAPHS).alias("p")
-    drawn = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", cut_up).groupBy("doc_id").agg(F.min("p").alias("p")).collect()
-    return train([p[:240] for r in sorted(drawn, key=lambda r: r["doc_id"]) for p in r["p"] or []])
+    word = F.split(F.trim("text"), r"\s+")
+    n = F.size("words")
+    # Runs begin at places spread over the whole text by hashes of the id, not at its head.
+    runs = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_RUNS - 1)), lambda k: F.array_join(F.slice("words", F.pmod(F.xxhash64("doc_id", k), F.greatest(n - SAMPLE_WORDS + 1, F.lit(1))).cast("int") + 1, SAMPLE_WORDS), " "))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", word.alias("words")).select("doc_id", runs.alias("p")).groupBy("doc_id").agg(F.min("p").alias("p")).collect()
+    return train([p for r in sorted(drawn, key=lambda r: r["doc_id"]) for p in r["p"]])
+
+
+_OUT = [("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_hits", pa.int64()), ("n_unknown", pa.int64()), ("families", pa.list_(pa.string())), ("best_probability", pa.float64()), ("best_similarity", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string())])))]
+SCHEMA = "doc_id bigint, n_paragraphs bigint, n_hits bigint, n_unknown bigint, families array<string>, best_probability double, best_similarity double, spans array<struct<start: bigint, end: bigint, family: string>>"
 
 
-_OUT = [("doc_id", pa.int64()), ("n_paragraphs", pa.int64()), ("n_hits", pa.int64()), ("families", pa.list_(pa.string())), ("best_probability", pa.float64()), ("best_similarity", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string())])))]
-SCHEMA = "doc_id bigint, n_paragraphs bigint, n_hits bigint, families array<string>, best_probability double, best_similarity double, spans array<struct<start: bigint, end: bigint, family: string>>"
+def unknown_lines(text: bytes, spans: list[dict]) -> int:
+    """Lines that speak of a licence or of rights where no family was found: the unknown class, for a look by eye."""
+    lines = {(text.rfind(b"\n", 0, m.start()) + 1) for m in _HINT.finditer(text)}
+    edges = sorted((x["start"], x["end"]) for x in spans)
+    count, k = 0, 0
+    for at in sorted(lines):
+        end = text.find(b"\n", at)
+        end = len(text) if end < 0 else end
+        while k < len(edges) and edges[k][1] <= at:
+            k += 1
+        count += not (k < len(edges) and edges[k][0] < end)
+    return count
 
 
 def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa.RecordBatch]:
@@ -320,7 +360,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: LicenceModel) -> Iterator[pa
                 for first, end, family, probability, near in model.notices(block):
                     spans.append({"start": start + first, "end": start + end, "family": family})
                     p, s = max(p, probability), max(s, near)
-            rows.append((doc, n, len(spans), sorted({x["family"] for x in spans}), p, s, spans))
+            rows.append((doc, n, len(spans), unknown_lines(text, spans), sorted({x["family"] for x in spans}), p, s, spans))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(_OUT), _OUT, strict=True)], names=[k for k, _ in _OUT])
 
 
@@ -329,8 +369,8 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
 
     A paragraph counts as a line, but notices are sought in whole blocks, the lines between blank ones, as they may be
     wrapped. Templates are laid on every word of a block: the classifier tells the family of the window under one or
-    unknown, and the template has to confirm it. A hit is a notice, of which a block can have several.
-    Null and empty texts have no paragraphs and no hits; equal
+    unknown, and the template has to confirm it. A hit is a notice, of which a block can have several; ``n_unknown`` counts
+    the lines with words of licences that are in no hit. Null and empty texts have no paragraphs and no hits; equal
     texts give equal rows; null ids stay null; an empty table gives no rows.
     """
     model = model or fit(docs)
@@ -339,5 +379,5 @@ def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
 
 
 def licence_report(docs: DataFrame) -> DataFrame:
-    """op3: the families of each document as one string, with counts and the best scores."""
-    return scan(docs).select("doc_id", "n_paragraphs", "n_hits", F.concat_ws(",", "families").alias("families"), F.round("best_probability", 6).alias("best_probability"), F.round("best_similarity", 6).alias("best_similarity"))
+    """op3: the families of each document as one string, with counts and the best scores; rows are as in ``scan``."""
+    return scan(docs).select("doc_id", "n_paragraphs", "n_hits", "n_unknown", F.concat_ws(",", "families").alias("families"), F.round("best_probability", 6).alias("best_probability"), F.round("best_similarity", 6).alias("best_similarity"))

@@ -37,6 +37,15 @@ def test_scan(spark, model):
     assert licenses.scan(docs.limit(0), model).count() == 0
 
 
+def plain_unknown(text, spans):
+    at, n = 0, 0
+    for line in text.split("\n"):
+        end = at + len(line.encode())
+        n += bool(licenses._HINT.search(line.encode())) and not any(s["start"] < end and at < s["end"] for s in spans)
+        at = end + 1
+    return n
+
+
 def test_whole_table_equals_line_by_line(spark, sf, model):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r for r in licenses.scan(docs, model).collect()}
@@ -44,6 +53,7 @@ def test_whole_table_equals_line_by_line(spark, sf, model):
         lines = [x for x in (r["text"] or "").split("\n") if x.strip()]
         found = [f for f in (model.classify(x)[0] for x in lines if licenses._HINT.search(x.encode())) if f != "unknown"]
         assert got[r["doc_id"]]["families"] == sorted(set(found)) and got[r["doc_id"]]["n_hits"] == len(found)
+        assert got[r["doc_id"]]["n_unknown"] == plain_unknown(r["text"] or "", got[r["doc_id"]]["spans"])
 
 
 UNHINTED = {
@@ -135,7 +145,23 @@ modification, are permitted provided that the following conditions are met:
  * License, v. 2.0. If a copy of the MPL was not distributed with this
  * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
 }
-TITLES = {"mit": "MIT License", "gpl": "GNU GENERAL PUBLIC LICENSE", "apache": "Apache License\nVersion 2.0, January 2004", "bsd": "BSD 3-Clause License", "mpl": "Mozilla Public License Version 2.0"}
+WRAPPED |= {
+    "lgpl": """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version. */""",
+    "agpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "epl": """This program and the accompanying materials are made available
+under the terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/""",
+}
+TITLES = {"mit": "MIT License", "gpl": "GNU GENERAL PUBLIC LICENSE", "apache": "Apache License\nVersion 2.0, January 2004", "bsd": "BSD 3-Clause License", "mpl": "Mozilla Public License Version 2.0", "isc": "ISC License", "epl": "Eclipse Public License - v 2.0", "lgpl": "GNU LESSER GENERAL PUBLIC LICENSE", "agpl": "GNU AFFERO GENERAL PUBLIC LICENSE"}
 
 
 @pytest.mark.parametrize("text", [WRAPPED, TITLES, {k: v.replace("\n", "\r\n") for k, v in WRAPPED.items()}], ids=["wrapped", "titles", "crlf"])
