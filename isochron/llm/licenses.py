@@ -268,6 +268,7 @@ def training_set(background: list[str], copies: int = 60, seed: int = 7) -> list
     """Templates in disguise (words lost, changed, put among background words) against background paragraphs."""
     rng = np.random.default_rng(seed)
     plain = [w for p in background if not _HINT.search(p.encode()) for w in tokens(p)] or ["the", "of", "and"]
+    plain = np.array(plain)  # once: each choice from a list would turn the whole list into an array
     out = [(tokens(p), 0) for p in background if not _HINT.search(p.encode())]
     for label, family in enumerate(FAMILIES[1:], 1):
         for t in TEMPLATES[family]:
@@ -291,33 +292,34 @@ def train(background: list[str], rounds: int = 80) -> LicenceModel:
     labels = np.array([k for _, k in data])
     test = np.arange(len(data)) % 5 == 4
     use = np.array([i for i in np.flatnonzero(~test) if len(rows[i])])
-    flat = np.concatenate([rows[i] for i in use])
-    lengths = np.array([len(rows[i]) for i in use])
-    row = np.repeat(np.arange(len(use)), lengths)
-    row_starts = np.cumsum(lengths) - lengths
-    scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(use))))
-    seen, column = np.unique(flat, return_inverse=True)
-    by_column = np.argsort(column, kind="stable")
-    column_starts = np.searchsorted(column[by_column], np.arange(len(seen)))
+    seen, column = np.unique(np.concatenate([rows[i] for i in use]), return_inverse=True)
+    sizes = np.array([len(rows[i]) for i in use])
+    # As the draw and the templates are bounded, so is this table of paragraphs by n-grams.
+    x = np.zeros((len(use), len(seen)), np.float32)
+    x[np.repeat(np.arange(len(use)), sizes), column] = np.repeat(1 / np.sqrt(sizes), sizes)
     goal = np.eye(len(FAMILIES))[labels[use]]
     share = 1 / np.bincount(labels[use], minlength=len(FAMILIES)).clip(1)
     weight = share[labels[use]][:, None] / len(FAMILIES)
-    w, bias = np.zeros((len(seen), len(FAMILIES))), np.zeros(len(FAMILIES))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    mb, vb = np.zeros_like(bias), np.zeros_like(bias)
+    w, bias = np.zeros((len(seen), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
+    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, bias)]
     for k in range(1, rounds + 1):
-        z = np.add.reduceat(w[column], row_starts, axis=0) * scale[:, None] + bias
+        z = x @ w + bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (z / z.sum(axis=1, keepdims=True) - goal) * weight
-        g = np.add.reduceat((error * scale[:, None])[row[by_column]], column_starts, axis=0) + 1e-5 * w
-        gb = error.sum(axis=0)
-        for x, grad, first, second in ((w, g, m, v), (bias, gb, mb, vb)):
+        error = ((z / z.sum(axis=1, keepdims=True) - goal) * weight).astype(np.float32)
+        for p, grad, (first, second) in zip((w, bias), (x.T @ error + np.float32(1e-5) * w, error.sum(axis=0)), moments, strict=True):
             first += 0.1 * (grad - first)
             second += 0.01 * (grad * grad - second)
-            x -= 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
+            p -= 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
     weights = np.zeros((FEATURES + 1, len(FAMILIES)))
     weights[seen], weights[FEATURES] = w, bias
-    best = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: -sum(np.log(LicenceModel(weights, t).probabilities(data[i][0])[labels[i]] + 1e-12) for i in np.flatnonzero(test)))
+    held = np.flatnonzero(test)
+    logits = np.array([weights[rows[i]].sum(axis=0) / np.sqrt(max(1, len(rows[i]))) + weights[FEATURES] for i in held]).reshape(-1, len(FAMILIES))
+
+    def loss(temperature: float) -> float:
+        z = logits / temperature
+        return float((np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) + z.max(axis=1) - z[np.arange(len(held)), labels[held]]).sum())
+
+    best = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss)
     return LicenceModel(weights, best)
 
 
