@@ -96,6 +96,16 @@ def as_of_date(text: Column) -> Column:
     return F.coalesce(part(iso, 1), join(spoken), join(slashed), F.concat(part(year, 1), F.lit("-12-31")))
 
 
+def vector_literal(vector: Column) -> Column:
+    """A vector as the bracketed list that a database takes; null stays null."""
+    return F.when(vector.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: x.cast("string")), ","), F.lit("]")))
+
+
+def parse_vector(literal: Column) -> Column:
+    """The inverse; anything but a bracketed list of numbers is null."""
+    return F.when(literal.rlike(r"^\[[-+0-9.eE, ]*\]$"), F.from_json(literal, "array<float>"))
+
+
 def collapse(text: Column) -> Column:
     """White space runs to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

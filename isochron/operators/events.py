@@ -104,9 +104,18 @@ def origin_in(message: Column) -> Column:
     return F.coalesce(F.try_element_at(codes, F.nullif(found, F.lit(""))), out)
 
 
-def keyword_in(message: Column) -> Column:
-    """What is left of a message as a product's name: without dates, fillers and punctuation."""
+def keyword_in(message: Column, origin: Column | None = None) -> Column:
+    """What is left of a message as a product's name: without dates, fillers, punctuation and the names of ``origin``.
+
+    Names go as whole words only, so that one inside another word stays.
+    """
     left = F.regexp_replace(F.lower(message), r"\d{4}-\d{2}-\d{2}", " ")
+    if origin is not None:
+        named: dict[str, list[str]] = {}
+        for name, code in (*ORIGIN_NAMES, *((k.lower(), v) for k, v in ORIGIN_CODES.items())):
+            named.setdefault(code, []).append(name)
+        of = F.create_map(*[F.lit(x) for code, names in named.items() for x in (code, rf"(?u)(?<![\p{{L}}\d])({'|'.join(names)})(?![\p{{L}}\d])")])
+        left = F.regexp_replace(left, F.coalesce(F.try_element_at(of, origin), F.lit("(?!)")), F.lit(" "))
     for filler in FILLERS:
         left = F.replace(left, F.lit(filler), F.lit(" "))
     return text.collapse(F.regexp_replace(left, "[?.,!:]", " "))
@@ -120,6 +129,28 @@ def corrections(messages: DataFrame, prior_code: str, prior_day: str, message: s
     return found.select(F.col(prior_code).alias("hs"), F.coalesce(F.col(prior_day), F.lit(today)).alias("day"), verdict.alias("verdict"), F.col(sender).alias("staff"), F.substring(message, 1, 1000).alias("note"), F.when(fix.isNotNull() & ~fix.eqNullSafe(F.col(prior_code)), fix).alias("next_code"))
 
 
+def answerable(messages: DataFrame, me: str, allowed: list[str] | None = None) -> DataFrame:
+    """Messages to answer, from (sender, thread, is_group, message, mentions array of (uid, pos, len), has_image).
+
+    Own messages go, and those of other threads where ``allowed`` names some. In groups only messages that mention ``me``
+    count, and their mentions are cut out. What then has neither text nor image goes.
+    """
+    found = messages.where(F.col("sender") != me)
+    if allowed:
+        found = found.where(F.col("thread").isin(*allowed))
+    mentions = F.coalesce("mentions", F.array().cast(messages.schema["mentions"].dataType))
+    found = found.where(~F.col("is_group") | F.exists(mentions, lambda m: m["uid"] == me))
+    spans = F.transform(mentions, lambda m: F.struct(m["pos"].alias("pos"), m["len"].alias("len")))
+    left = F.when(F.col("is_group"), without_mentions(F.col("message"), spans)).otherwise(F.col("message"))
+    return found.withColumn("message", F.coalesce(left, F.lit(""))).where(F.col("has_image") | (F.trim("message") != ""))
+
+
+def first_finding(lists: DataFrame, keyword: str, tried: str) -> DataFrame:
+    """Of several tries for a keyword (the phrase, then its words in order) the rows of the first that found any."""
+    best = lists.groupBy(keyword).agg(F.min(tried).alias("__best"))
+    return lists.join(best.withColumnRenamed(keyword, "__keyword"), (F.col(keyword) == F.col("__keyword")) & (F.col(tried) == F.col("__best"))).drop("__keyword", "__best")
+
+
 def without_mentions(message: Column, mentions: Column) -> Column:
     """Cut the spans (pos, len) of mentions out of a message, the last first; spans outside the text are left alone."""
     order = F.reverse(F.array_sort(F.filter(mentions, lambda m: (m["pos"] >= 0) & (m["pos"] + m["len"] <= F.length(message)))))

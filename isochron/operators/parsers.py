@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isochron.functions.text import dash_depth, undashed
+from isochron.functions.text import dash_depth, undashed, word_list
 
 #: Forms of cells and of structural lines.
 HS8, RATE = r"^\d{4}\.\d{2}\.\d{2}$", r"^(\d{1,3}(,\d+)?|\*)$"
@@ -243,6 +243,30 @@ def with_parents(nodes: DataFrame, key: str = "key", parent_key: str = "parent_k
     return nodes.join(parents, F.col(parent_key) == F.col("__k"), "left").drop("__k")
 
 
+def chunk_rows(made: DataFrame, provisions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks with the ids of their provision, article and document instead of natural keys, and tokens for word search.
+
+    ``provisions`` has id and key, ``documents`` id and number. A key without a row stays null, to be told by a check.
+    """
+    key = lambda df, natural, name: df.select(F.col(natural).alias(f"__{name}"), F.col("id").alias(name))
+    out = made
+    for df, natural, column, name in ((provisions, "key", "provision_key", "provision_id"), (provisions, "key", "article_key", "article_provision_id"), (documents, "number", "document_number", "document_id")):
+        out = out.join(key(df, natural, name), F.col(column) == F.col(f"__{name}"), "left").drop(f"__{name}")
+    return out.withColumn("tokens", word_list(F.col("embed_text"))).drop("provision_key", "article_key", "document_number")
+
+
+def walk(nodes: DataFrame, key: str = "key", parent_key: str = "parent_key", name: str = "name") -> DataFrame:
+    """(key, path, depth) of every node that a root reaches, to any depth: a recursive query. Roots have no parent."""
+    return nodes.sparkSession.sql(
+        f"""WITH RECURSIVE walked(key, path, depth) AS (
+              SELECT {key}, {name}, 0 FROM {{nodes}} WHERE {parent_key} IS NULL
+              UNION ALL
+              SELECT n.{key}, concat(w.path, '{CRUMB}', n.{name}), w.depth + 1 FROM walked w JOIN {{nodes}} n ON n.{parent_key} = w.key)
+            SELECT key, path, depth FROM walked""",
+        nodes=nodes,
+    )
+
+
 def structural_counts(nodes: DataFrame) -> DataFrame:
     """(document, ptype, n): nodes of each kind, to be held against the expected numbers."""
     return nodes.groupBy("document", "ptype").agg(F.count(F.lit(1)).alias("n"))

@@ -44,6 +44,36 @@ def keyword_branch(chunks: DataFrame, terms: list[str], limit: int = BRANCH_ROWS
     return ranked(scored, [F.desc("score"), F.asc("pid")], limit).select("aid", "pid", "rk", F.lit(None).cast("double").alias("dist"))
 
 
+def write_postings(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write the inverted table of chunks with tokens, once at load: a row for each term of a chunk, with its count.
+
+    Rows lie in folders by a bucket of the term, sorted by it, so a question reads the few row groups of its own terms.
+    What the hard filter needs is kept with each row.
+    """
+    rows = chunks.select("aid", "pid", "effective_from", "effective_to", "effectiveness", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    counted = rows.groupBy("term", "aid", "pid", "effective_from", "effective_to", "effectiveness", "length").agg(F.count(F.lit(1)).alias("n"))
+    bucketed = counted.withColumn("bucket", _bucket(F.col("term"), buckets))
+    bucketed.repartition("bucket", F.pmod(F.xxhash64("pid"), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def keyword_branch_of(postings: DataFrame, terms: list[str], limit: int = BRANCH_ROWS, buckets: int = 64) -> DataFrame:
+    """``keyword_branch`` from the inverted table: the same rows and ranks, without a look at any chunk."""
+    if not terms:
+        return ranked(postings.where(F.lit(False)).select("aid", "pid", F.lit(0.0).alias("score")), [F.desc("score"), F.asc("pid")], limit).select("aid", "pid", "rk", F.lit(None).cast("double").alias("dist"))
+    wanted = postings.where(F.col("bucket").isin(*{r[0] for r in _buckets_of(postings, terms, buckets)}) & F.col("term").isin(*terms))
+    scored = wanted.groupBy("aid", "pid", "length").agg(F.sum("n").alias("__n")).select("aid", "pid", F.round(F.col("__n") / (1 + F.log(F.col("length").cast("double"))), 9).alias("score"))
+    return ranked(scored, [F.desc("score"), F.asc("pid")], limit).select("aid", "pid", "rk", F.lit(None).cast("double").alias("dist"))
+
+
+def _buckets_of(postings: DataFrame, terms: list[str], buckets: int) -> list:
+    """Buckets of a question's terms as plain numbers, so that folders can be pruned when the query is planned."""
+    return postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), buckets)).collect()
+
+
 def vector_branch(chunks: DataFrame, query: list[float], limit: int = BRANCH_ROWS) -> DataFrame:
     """(aid, pid, rk, dist) of the nearest chunks, by exact distances."""
     scored = chunks.where(F.col("embedding").isNotNull()).select("aid", "pid", F.round(cosine_distance(F.col("embedding"), query), 9).alias("dist"))

@@ -171,6 +171,23 @@ def search(goods: DataFrame, mfn: DataFrame, words: str, prefix: str | None = No
     return search_prefix(goods, mfn, prefix, limit) if 4 <= len(re.sub(r"\D", "", prefix or "")) <= 8 else search_words(goods, mfn, words, limit)
 
 
+def tally(cases: DataFrame, key: str, declared: Column, loaded: Column, tolerance: float = 0.001) -> DataFrame:
+    """(key, matched, mismatched, not_loaded, percent): cases by how the declared value meets the loaded one.
+
+    ``percent`` is the share of matches among cases that can be compared, to one decimal; null where none can be.
+    """
+    known = loaded.isNotNull()
+    near = F.coalesce(F.abs(loaded - declared) < tolerance, F.lit(False))
+    counted = cases.groupBy(key).agg(F.count_if(known & near).alias("matched"), F.count_if(known & ~near).alias("mismatched"), F.count_if(~known).alias("not_loaded"))
+    return counted.withColumn("percent", F.round(100.0 * F.col("matched") / F.nullif(F.col("matched") + F.col("mismatched"), F.lit(0)), 1))
+
+
+def candidate_line(code: Column, mfn: Column, path: Column) -> Column:
+    """A search result as one line: dotted code, MFN rate or a dash, and the last two crumbs of its path."""
+    rate = F.coalesce(F.concat(text.show_percent(mfn), F.lit("%")), F.lit("—"))
+    return F.concat(F.lit("• "), text.dotted_code(code), F.lit(" · MFN "), F.when(mfn.isNull(), F.lit("—")).otherwise(rate), F.lit(" · "), text.path_tail(path))
+
+
 def typed_rows(rows: DataFrame, quota: DataFrame) -> DataFrame:
     """Loader rows with a rate, typed: a star is excluded, a code with an out-of-quota rate is a quota line."""
     codes = quota.select(F.col("hs").alias("__hs")).distinct().withColumn("__quota", F.lit(True))

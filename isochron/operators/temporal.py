@@ -14,9 +14,12 @@ def _day(day: Column | str | date) -> Column:
     return day if isinstance(day, Column) else F.lit(day).cast("date")
 
 
-def valid_at(day: Column | str | date, start: str = "effective_from", end: str = "effective_to") -> Column:
-    """Whether ``day`` lies in [start, end]; both ends count, a null end never ends. A null start or day is not valid."""
-    d = _day(day)
+def valid_at(day: Column | str | date | None, start: str = "effective_from", end: str = "effective_to") -> Column:
+    """Whether ``day`` lies in [start, end]; both ends count, a null end never ends. A null start is not valid.
+
+    Without a day it is today, by the session's time zone.
+    """
+    d = F.current_date() if day is None else _day(day)
     return (F.col(start) <= d) & (F.col(end).isNull() | (F.col(end) >= d))
 
 

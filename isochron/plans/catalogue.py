@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from isochron.functions import text
 from isochron.operators import events, integrity, parsers, retrieval, tariff, temporal
+from isochron.plans import gazette, lookups
 from isochron.sources import documents as sources
-from isochron.sources.tables import ordinal, read_table, resolve, with_keys
+from isochron.sources.tables import ordinal, read_table, resolve, scratch, with_keys
 
 DAY = "1998-06-17"
 CUT = ("1998-03-09", "1998-04-30")
@@ -253,6 +254,15 @@ def keyword_topk(spark, d):
     return scored.select("aid", "pid", F.col("rk").cast("bigint"))
 
 
+def keyword_topk_indexed(spark, d):
+    """The keyword branch from an inverted table, written at load and read by the question's terms only."""
+    path = scratch(spark)
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.expr("doc_id div 4").alias("aid"), text.word_list(F.col("text")).alias("tokens"), F.lit("1990-01-01").cast("date").alias("effective_from"), F.when(F.col("doc_id") % 10 == 0, F.lit("1995-01-01").cast("date")).alias("effective_to"), F.when(F.col("source") == "src3", retrieval.REPEALED).otherwise("con_hieu_luc").alias("effectiveness"))
+    retrieval.write_postings(docs, path)
+    found = retrieval.keyword_branch_of(retrieval.in_force(spark.read.parquet(path), DAY), TERMS, 20)
+    return found.select("aid", "pid", F.col("rk").cast("bigint"))
+
+
 def cosine_topk(spark, d):
     return retrieval.vector_branch(_chunks(spark, d), QUERY, 20).select("aid", "pid", F.col("rk").cast("bigint"), F.round("dist", 6).alias("dist"))
 
@@ -305,24 +315,18 @@ _QUESTIONS = ("Thuế ngày 5 tháng 3 năm 2024?", "as of 2023-07-09 please", "
 
 
 def asof_extract(spark, d):
-    asked = read_table(spark, d, "nation").where(F.col("n_nationkey") < len(_QUESTIONS)).select("n_nationkey", F.element_at(F.array(*[F.lit(q) for q in _QUESTIONS]), F.col("n_nationkey") + 1).alias("q"))
-    return asked.select("n_nationkey", text.as_of_date(F.col("q")).alias("as_of"))
+    """The day that each turn of each conversation asks about: a question stands before what is said there."""
+    question = F.element_at(F.array(*[F.lit(q) for q in _QUESTIONS]), ((F.col("conv_id") + F.col("turn")) % len(_QUESTIONS) + 1).cast("int"))
+    asked = read_table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(" ", question, "text").alias("q"))
+    return asked.select("conv_id", "turn", text.as_of_date(F.col("q")).alias("as_of"))
 
 
 def tree_paths(spark, d):
-    """Region, nation and customer as one tree with ids, resolved by a self join and walked by a recursive query."""
+    """Region, nation and customer as one tree, walked by a recursive query."""
     r = read_table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("key"), F.lit(None).cast("string").alias("parent_key"), F.col("r_name").alias("name"))
     n = read_table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.concat(F.lit("r"), "n_regionkey").alias("parent_key"), F.col("n_name").alias("name"))
     c = read_table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.concat(F.lit("n"), "c_nationkey").alias("parent_key"), F.col("c_name").alias("name"))
-    nodes = r.unionByName(n).unionByName(c)
-    level = nodes.where(F.col("parent_key").isNull()).select("key", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out = level
-    # The depth of a provision tree is five at most, so the walk is a fixed number of joins.
-    for i in range(1, 3):
-        below = nodes.select(F.col("key").alias("__key"), F.col("parent_key").alias("key"), "name")
-        level = level.select("key", "path").join(below, "key").select(F.col("__key").alias("key"), F.concat_ws(" › ", "path", "name").alias("path"), F.lit(i).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    return parsers.walk(r.unionByName(n).unionByName(c))
 
 
 def chunk_build(spark, d):
@@ -395,8 +399,7 @@ def _show(column: str) -> str:
     return f"regexp_replace(regexp_replace(CAST({column} AS VARCHAR), '0+$', ''), '\\.$', '')"
 
 
-def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL of the queries, by name."""
+def _own_sql() -> dict[str, str]:
     verdicts = {
         "correct": "'đúng', 'dung', 'chuẩn', 'chuan', 'chính xác', 'chinh xac', 'đúng rồi', 'dung roi', 'chuẩn rồi', 'ok', 'oke', 'okie', 'okay'",
         "wrong": "'sai', 'sai rồi', 'sai roi', 'không đúng'",
@@ -461,6 +464,7 @@ def oracle_sql() -> dict[str, str]:
         "first_page_link": """SELECT page_id, min_by(href, pos) AS href FROM (SELECT page_id, generate_subscripts(l, 1) AS pos, replace(unnest(l), '&amp;', '&') AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) z) y WHERE href LIKE '/t%' GROUP BY page_id""",
         "page_levels": "SELECT level, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(h1|p|li|div|a)[ >]', 1)) AS level FROM pages) z GROUP BY level",
         "keyword_topk": f"WITH {_CHUNKS} SELECT aid, pid, rk FROM kw WHERE rk <= 20",
+        "keyword_topk_indexed": f"WITH {_CHUNKS} SELECT aid, pid, rk FROM kw WHERE rk <= 20",
         "cosine_topk": f"WITH {_CHUNKS} SELECT aid, pid, rk, round(dist, 6) AS dist FROM vec WHERE rk <= 20",
         "hybrid_rrf": f"WITH {_CHUNKS} SELECT aid, best_pid, kw_hit, round(score, 6) AS score, round(best_dist, 6) AS best_dist FROM fused ORDER BY fused.score DESC, aid LIMIT 6",
         "abstain_gate": f"WITH {_CHUNKS} SELECT aid, round(best_dist, 6) AS best_dist FROM (SELECT * FROM fused ORDER BY score DESC, aid LIMIT 50) z WHERE best_dist <= 0.75 ORDER BY score DESC, aid LIMIT 5",
@@ -475,7 +479,7 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT item_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id DESC) AS x FROM h) z WHERE x = 1)
             SELECT count(*) AS cases, count(r.rk) AS hits, round(count(r.rk) / count(*), 6) AS recall FROM e LEFT JOIN r ON r.item_id = e.item_id AND r.doc_id = e.doc_id AND r.rk <= 5""",
         "query_terms": f"SELECT item_id, array_to_string(list_filter(list_reverse(list_reduce(list_prepend([], list_transform({_WORDS.format('text')}, lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(x, a) END)), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of', 'la', 'de')), ' ') AS terms FROM benchmark",
-        "asof_extract": f"SELECT n_nationkey, v.as_of FROM nation JOIN (VALUES {questions}) v(k, as_of) ON k = n_nationkey",
+        "asof_extract": f"SELECT conv_id, turn, v.as_of FROM conversations JOIN (VALUES {questions}) v(k, as_of) ON k = (conv_id + turn) % {len(_QUESTIONS)}",
         "tree_paths": """WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS key, NULL AS parent_key, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
             w AS (SELECT key, name AS path, 0 AS depth FROM t WHERE parent_key IS NULL UNION ALL SELECT t.key, w.path || ' › ' || t.name, w.depth + 1 FROM w JOIN t ON t.parent_key = w.key) SELECT key, path, depth FROM w""",
         "chunk_build": f"""WITH l AS {_LINE}, a AS (SELECT doc_id, trim(line) AS heading FROM l WHERE ord = 0), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
@@ -495,4 +499,9 @@ def oracle_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query with its callable: those with SQL, and recall by all terms."""
-    return {name: globals()[name] for name in oracle_sql()} | {"recall_at_k_all_terms": recall_at_k_all_terms}
+    return {name: globals()[name] for name in _own_sql()} | {"recall_at_k_all_terms": recall_at_k_all_terms} | lookups.queries() | gazette.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries, by name."""
+    return _own_sql() | lookups.oracle_sql() | gazette.oracle_sql()

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import html
 import io
-import re
 import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,13 +25,13 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cells(texts: DataFrame) -> DataFrame:
-    """(part, pos, cell): converted texts cut at cell marks and newlines, trimmed, blank ones kept."""
-    return texts.select("part", F.posexplode(F.split("text", r"[\x07\n]")).alias("pos", "cell")).withColumn("cell", F.trim("cell"))
+    """(..., pos, cell): converted texts cut at cell marks and newlines, trimmed, blank ones kept; other columns stay."""
+    return texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(F.split("text", r"[\x07\n]")).alias("pos", "cell")).withColumn("cell", F.trim("cell"))
 
 
 def lines(texts: DataFrame) -> DataFrame:
-    """(part, pos, line): prose lines; rows of tables, blanks and running headers are left out."""
-    cut = texts.select("part", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(..., pos, line): prose lines; rows of tables, blanks and running headers are left out; other columns stay."""
+    cut = texts.select(*[c for c in texts.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return cut.where(~F.col("line").contains("\x07")).withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.col("line").rlike(NOISE))
 
 
@@ -43,22 +42,41 @@ def skip_preambles(prose: DataFrame, marker: str, doc: list[str]) -> DataFrame:
 
 
 def ordered(rows: DataFrame, doc: list[str]) -> DataFrame:
-    """Adds ``ord``: the place of a row in its document over all parts."""
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*doc).orderBy("part", "pos")) if doc else F.row_number().over(Window.orderBy("part", "pos")))
+    """Adds ``ord``: the place of a row in its document over all parts. A document is one sequence, so ``doc`` names at least one column."""
+    if not doc:
+        raise ValueError("rows are numbered document by document: name the columns that tell documents apart")
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*doc).orderBy("part", "pos")))
 
 
-_RUN = re.compile(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", re.S)
+#: The namespace of word-processor markup.
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def _paragraphs(content: bytes) -> list[str]:
-    """Paragraph texts of one word-processor package, whichever slash its part names use; [] if it is none."""
+    """Texts of the paragraphs of one word-processor package, in the order of their ends; what can be read of a damaged one.
+
+    The main part is parsed as XML and freed paragraph by paragraph. Some writers put backslashes into part names or leave
+    the namespace undeclared, so an element that declares it is put around the content.
+    """
+    out: list[str] = []
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            name = next((n for n in z.namelist() if n.replace("\\", "/").endswith("word/document.xml")), None)
-            xml = z.read(name).decode("utf-8", "replace") if name else ""
-    except zipfile.BadZipFile:
-        return []
-    return [html.unescape("".join(_RUN.findall(p))) for p in xml.split("</w:p>")] if xml else []
+        with zipfile.ZipFile(io.BytesIO(content)) as package:
+            parts = {p.filename.replace("\\", "/"): p for p in package.infolist()}
+            if "word/document.xml" not in parts:
+                return out
+            body = package.read(parts["word/document.xml"]).removeprefix(b"\xef\xbb\xbf").lstrip()
+            if body.startswith(b"<?xml"):
+                body = body.partition(b"?>")[2]
+            parser = ElementTree.XMLPullParser(["end"])
+            for piece in (f'<all xmlns:w="{_WORD[1:-1]}">'.encode(), body, b"</all>"):
+                parser.feed(piece)
+                for _, node in parser.read_events():
+                    if node.tag == f"{_WORD}p":
+                        out.append("".join(t.text or "" for t in node.iter(f"{_WORD}t")))
+                        node.clear()
+    except (zipfile.BadZipFile, ElementTree.ParseError):
+        pass
+    return out
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:

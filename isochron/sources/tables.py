@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +89,33 @@ def load_unless_populated(spark: SparkSession, df: DataFrame, path: str, force:
     return True
 
 
+def load(facts: DataFrame, facts_path: str, dimension: DataFrame, dimension_path: str, force: bool = False) -> bool:
+    """Facts unless they are there already, the dimension always; says whether facts were loaded."""
+    reload(dimension, dimension_path)
+    return load_unless_populated(facts.sparkSession, facts, facts_path, force)
+
+
+def emit_ndjson(df: DataFrame, path: str) -> None:
+    """One JSON object on each line, nulls written out."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def emit_lines(df: DataFrame, column: str, path: str) -> None:
+    """One column as text, a row a line."""
+    df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path for files that are read again: in the shared folder of ``spark.checkpoint.dir``, or a local
+    one where none is set and all tasks run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="isochron-")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
 def with_keys(df: DataFrame, natural: list[str], name: str = "id") -> DataFrame:
     """Surrogate keys 1, 2, ... in the order of the natural key: the same for the same rows on every load.
 

@@ -86,3 +86,15 @@ def test_records_links_payloads(spark):
     payload = spark.createDataFrame([('{"docNum":"12/2024","level":"Article","level":"Article","level":"Point"}',)], "p string")
     assert documents.payload_fields(payload, F.col("p"), ["docNum", "issueDate"]).collect()[0][1:] == ("12/2024", None)
     assert {r.level: r.n for r in documents.payload_levels(payload, "p").collect()} == {"Article": 2, "Point": 1}
+
+
+def test_paragraphs_of_a_package_with_its_own_namespaces(tmp_path):
+    body = (
+        '<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:o="urn:other"><w:body>'
+        '<w:p w:rsidR="1"><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve">Điều &lt;1&gt; </w:t></w:r><o:x><w:r><w:t>một</w:t></w:r></o:x></w:p><w:p/><w:p><w:r><o:t>no text</o:t></w:r></w:p></w:body></w:document>'
+    )
+    for name in ("word/document.xml", "word\\document.xml"):
+        with zipfile.ZipFile(tmp_path / "y.docx", "w") as z:
+            z.writestr(name, body)
+        assert documents._paragraphs((tmp_path / "y.docx").read_bytes()) == ["Điều <1> một", "", ""]
+    assert documents._paragraphs(b"no package") == []
