@@ -15,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a local one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    A local one is made where none is set and all tasks run on this machine; on a cluster that is an error, as other
+    machines could not read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="isochron-")
             spark.sparkContext.setCheckpointDir(folder)
         else:
@@ -34,17 +40,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the copy, so that lost executors don't redo its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """As ``cut``, but as a compressed Parquet table: for results of which single columns are read again."""
+    """As ``cut``, under a label: a compressed Parquet table, of which single columns can be read again."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once all that is made of it is written itself."""
+    files = table.inputFiles()
+    if files:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each row; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochron.llm import bloom, textkernel
-from isochron.llm.common import cut, stored
+from isochron.llm.common import cut, discard, stored
 from isochron.llm.components import components
 
 SHINGLE = 5
@@ -349,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(prefixes, "token bigint, doc bigint"), "tokens")
     # The hub of a token is its least document. Hubs are aggregated in part before they shuffle and written once, and only
     # tokens of several documents are joined with them, so that the join can be split on a token that very many hold.
-    hubs = cut(tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.max("doc").alias("__most")).where(F.col("hub") != F.col("__most")).select("token", "hub"))
+    hubs = cut(tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("token", "hub"))
     slots = bloom.sized(hubs.count(), n_slots)
     met = spark.sparkContext.broadcast(bloom.of_longs(hubs, "token", slots))
 
@@ -363,7 +363,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = tokens.mapInArrow(several_hold, "token bigint, doc bigint").join(hubs, "token").where(F.col("hub") != F.col("doc")).select("hub", "doc").distinct()
     as_rep = lambda df, c: df.join(copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep")), F.col(c) == F.col("__doc"), "left").withColumn(c, F.coalesce("__rep", c)).drop("__doc", "__rep")
     pairs = as_rep(as_rep(pairs, "hub"), "doc").where(F.col("hub") != F.col("doc")).distinct()
-    members = cut(pairs.unionByName(pairs.select("hub", F.col("hub").alias("doc")).distinct()))
+    pairs = cut(pairs)
+    discard(tokens)
+    members = pairs.unionByName(pairs.select("hub", F.col("hub").alias("doc")).distinct())
 
     widths = known.groupBy("doc").agg(F.max("n").alias("__size"))
 
@@ -398,9 +400,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc", "print", "second", "body"])
 
-    # A repeated id can have several sets; each is a member of its own, and met once.
+    # A repeated id can have several sets; each is a member of its own, and met once. Sets only move to be told apart from
+    # their repetitions if some are repeated.
     scans = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(bodies, "doc bigint, print bigint, second bigint, body binary"), "sets")
-    sets = scans.repartition("doc").groupBy("doc", "print", "second").agg(F.min("body").alias("body")).drop("print", "second")
+    again = scans.groupBy("doc", "print", "second").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    sets = scans if again.isEmpty() else scans.groupBy("doc", "print", "second").agg(F.min("body").alias("body"))
+    sets = sets.drop("print", "second")
     none = F.lit(None).cast("bigint").alias("root")
     first = cut(_leaf_links(leafed.join(sets, "doc").select("hub", "leaf", "doc", none, F.lit(False).alias("query"), "body")))
 
