@@ -46,7 +46,8 @@ class Flat:
 
 
 class PartVisitor:
-    """Flattens parts in their order; an attachment becomes a numbered placeholder that stands for ``tokens`` tokens.
+    """Flattens parts in their order; an attachment becomes a placeholder of its type that stands for ``tokens`` tokens;
+    references are numbered in the order of the placeholders.
 
     ``tokens`` gives the default expansion by type; a part's own count, where it has one, goes first.
     """
