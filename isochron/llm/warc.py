@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -24,8 +24,10 @@ ARC_FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
     2: ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "file", "length"),
 }
-#: Records of one archive file at most, as a file is read back whole in one task.
-ARCHIVE_RECORDS = 4096
+#: Bytes of one archive file at most, as a file is read back whole in one task; a single larger record has its own.
+ARCHIVE_BYTES = 64 << 20
+#: Bytes of rows that a task holds before it hands them on.
+_FLUSH = 8 << 20
 
 
 class BadArchive(ValueError):
@@ -37,10 +39,10 @@ def record_id(page_id: int) -> str:
     return f"<urn:uuid:{uuid.UUID(int=(_MARK << 64) | (page_id & (1 << 64) - 1))}>"
 
 
-def page_of(identifier: str) -> int:
-    """Inverse of ``record_id``."""
-    low = uuid.UUID(identifier.strip("<>").rpartition(":")[2]).int & (1 << 64) - 1
-    return low - (1 << 64) if low >> 63 else low
+def page_of(identifier: str) -> int | None:
+    """Inverse of ``record_id``; None where the identifier isn't made from a page number."""
+    high, low = divmod(uuid.UUID(identifier.strip("<>").rpartition(":")[2]).int, 1 << 64)
+    return None if high != _MARK else low - (1 << 64) if low >> 63 else low
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -112,15 +114,74 @@ def warc_date(arc_date: str) -> str:
         return "1970-01-01T00:00:00Z"
 
 
-def warc_head(arc: Arc, page_id: int, refers_to: int | None) -> str:
-    """Header lines synthesised from an ARC record; a revisit refers to another record and carries no payload."""
-    digest = base32_sha1(arc.payload)
-    kind = "response" if refers_to is None else "revisit"
-    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {arc.fields['url']}", f"WARC-Date: {warc_date(arc.fields['date'])}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(arc.payload)}"]
-    if refers_to is not None:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
-    lines += [f"Content-Type: {arc.fields['type']}", f"Content-Length: {len(arc.payload) if refers_to is None else 0}"]
-    return "\r\n".join(lines)
+def http_message(html: bytes) -> bytes:
+    """A page as the response that a server would have sent; it is what an archive keeps of it."""
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(html) + html
+
+
+def split_http(block: bytes) -> tuple[bytes, bytes] | None:
+    """(head with its blank line, payload) of an HTTP response; None for a block that isn't one."""
+    end = block.find(END + END)
+    return (block[: end + 4], block[end + 4 :]) if block.startswith(b"HTTP/") and end >= 0 else None
+
+
+def warc_record(arc: Arc, identifier: str, refers_to: str | None = None) -> bytes:
+    """The WARC record synthesised from an ARC record.
+
+    An HTTP message is a response, or a revisit of the record ``refers_to``, which keeps the message's head only; what
+    was archived without its HTTP head is a resource. The payload digest is always of the full payload.
+    """
+    message = split_http(arc.payload)
+    head, payload = message or (b"", arc.payload)
+    kind = "resource" if message is None else "response" if refers_to is None else "revisit"
+    block = head if kind == "revisit" else arc.payload
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {identifier}", f"WARC-Target-URI: {arc.fields['url']}", f"WARC-Date: {warc_date(arc.fields['date'])}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
+    if kind == "revisit":
+        lines += [f"WARC-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"]
+    lines += [f"Content-Type: {arc.fields['type'] if message is None else 'application/http; msgtype=response'}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + END + block + END + END
+
+
+def warc_info() -> bytes:
+    """The record that opens each archive and says what it holds."""
+    block = b"software: isochron\r\nformat: WARC File Format 1.0\r\n"
+    lines = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + END + block + END + END
+
+
+def member(record: bytes) -> bytes:
+    """A record as one gzip member, so that it can be read from its offset alone."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return deflate.compress(record) + deflate.flush()
+
+
+def members(archive: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member; zero bytes between members are skipped. Plain bytes are one member."""
+    if archive[:2] != b"\x1f\x8b":
+        yield 0, archive
+        return
+    view, at = memoryview(archive), 0
+    while at < len(archive):
+        if archive[at] == 0:
+            at += 1
+            continue
+        # Fed piece by piece, as what follows a member is copied when it ends.
+        inflate, start, parts = zlib.decompressobj(31), at, []
+        try:
+            while not inflate.eof and at < len(archive):
+                parts.append(inflate.decompress(view[at : at + 65_536]))
+                at += 65_536
+        except zlib.error as e:
+            raise BadArchive(f"gzip member at byte {start}: {e}") from e
+        if not inflate.eof:
+            raise BadArchive(f"gzip member at byte {start} without an end")
+        at = min(at, len(archive)) - len(inflate.unused_data)
+        yield start, b"".join(parts)
+
+
+def unpacked(archive: bytes) -> bytes:
+    """The content of all members of an archive."""
+    return b"".join(content for _, content in members(archive))
 
 
 def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -132,6 +193,8 @@ def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise BadArchive(f"no record at byte {at}")
         head = archive[at:split].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in head)}
+        if not fields.get("Content-Length", "").isdigit():
+            raise BadArchive(f"record at byte {at}: its declared length")
         size = int(fields["Content-Length"])
         block = archive[split + 4 : split + 4 + size]
         if len(block) != size or archive[split + 4 + size : split + 8 + size] != END + END:
@@ -148,69 +211,129 @@ def references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return keyed.join(winners, "digest").where(F.col("page_id") != F.col("refers_to")).distinct()
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write gzip archives of one WARC record for each row of ``pages`` (page_id, url, html).
-
-    Each page is laid out as an ARC record (version 1 or 2 in turn) and converted from it. A null html is empty, a null
-    url is "-"; rows with a null page_id are left out, as their record could not be told apart. Of equal payloads of
-    at least ``min_bytes`` bytes the largest page_id is the response; rows that repeat it are responses too. The files
-    are made by the text sink, whose line separator ends a record, so they can lie in any store that Spark writes to.
+def _archived(records: Iterator[bytes], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (archive, place, record) of gzip members dealt to archives of at most ``limit`` bytes, each opened by its warcinfo."""
+    archive, place, used, held, rows = -1, 0, limit, 0, []
+
+    def flush() -> pa.RecordBatch:
+        numbers, places, packed = zip(*rows, strict=True)
+        # The sink ends each row with a zero byte, which is the last byte of a member of less than 16 MiB anyway.
+        cut = [m[:-1] if m[-1] == 0 else m for m in packed]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(places, pa.int64()), pa.array(cut, pa.binary()).cast(pa.string(), safe=False)], names=["archive", "place", "record"])
+
+    for record in records:
+        packed = member(record)
+        if used + len(packed) + 1 > limit:
+            opening = member(warc_info())
+            archive, place, used = archive + 1, 0, len(opening)
+            rows.append((archive, place, opening))
+        place, used, held = place + 1, used + len(packed) + 1, held + len(packed)
+        rows.append((archive, place, packed))
+        if held >= _FLUSH:
+            yield flush()
+            held, rows = 0, []
+    if rows:
+        yield flush()
+
+
+def _save(rows: DataFrame, path: str) -> None:
+    """Write rows of ``_archived``: a file for each archive of a task, in the order of its places."""
+    placed = rows.sortWithinPartitions("archive", "place").select("archive", "record")
+    placed.write.partitionBy("archive").option("lineSep", "\0").text(path)
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write WARC archives of one record for each row of ``pages`` (page_id, url, html); other columns are ignored.
+
+    Each page is laid out as an ARC record of its HTTP message (version 1 or 2 in turn) and converted from it. A null
+    html is empty, a null url is "-"; rows with a null page_id are left out, as their record could not be told apart. Of
+    equal payloads of at least ``min_bytes`` bytes the largest page_id is the response; rows that repeat it are responses
+    too. An empty table gives no archives.
+
+    Each record is a gzip member of its own, and an archive ends before the record that would take it beyond
+    ``archive_bytes``. The files are made by the text sink, so they can lie in any store that Spark writes to; its line
+    separator is a zero byte, the last byte of each member, or for records of 16 MiB or more a byte of padding behind it,
+    which readers of gzip skip.
     """
     refs = references(pages, min_bytes).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
     keyed = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("__own", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     joined = keyed.join(refs, (F.col("page_id") == F.col("__page")) & (F.col("__own") == F.col("__digest")), "left").select("page_id", "url", "html", "refers_to")
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
-            out = []
             for page, url, html, ref in zip(b["page_id"].to_pylist(), b["url"].to_pylist(), texts(b["html"]), b["refers_to"].to_pylist(), strict=True):
                 version = 1 + (page & 1)
-                (arc,) = parse_arc(arc_preamble(version) + arc_record(version, url or "", html))
-                out.append(warc_head(arc, page, ref).encode() + END + END + (arc.payload if ref is None else b""))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string(), safe=False)], names=["record"])
+                (arc,) = parse_arc(arc_preamble(version) + arc_record(version, url or "", http_message(html)))
+                yield warc_record(arc, record_id(page), None if ref is None else record_id(ref))
 
-    joined.mapInArrow(convert, "record string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    _save(joined.mapInArrow(lambda batches: _archived(records(batches), archive_bytes), "archive int, place bigint, record string"), path)
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """Convert whole ARC files (plain or gzip) to WARC archives; pages are numbered by file and place.
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Convert whole ARC files (plain or gzip) to WARC archives; records are named by file and place.
 
-    Each file is read in one task, as its lengths chain its records; ARC files are about 100 MB by convention.
+    Each file is read in one task, as its lengths chain its records; ARC files are about 100 MB by convention. A damaged
+    file raises ``BadArchive`` and fails the job: what follows a wrong length can't be told from a payload. An empty file
+    gives no records. Records keep their order within an archive, equal ones are all kept, and none is a revisit.
     """
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
             for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                body = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                base = int.from_bytes(hashlib.sha1(path.encode()).digest()[:4], "big") << 31
-                for i, arc in enumerate(parse_arc(body)):
-                    yield pa.RecordBatch.from_arrays([pa.array([warc_head(arc, base + i, None).encode() + END + END + arc.payload], pa.binary()).cast(pa.string(), safe=False)], names=["record"])
+                for i, arc in enumerate(parse_arc(unpacked(content))):
+                    yield warc_record(arc, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{i}')}>")
 
-    spark.read.format("binaryFile").load(arc_path).select("path", "content").mapInArrow(convert, "record string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(warc_path)
+    files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
+    _save(files.mapInArrow(lambda batches: _archived(records(batches), archive_bytes), "archive int, place bigint, record string"), warc_path)
 
 
-READ_SCHEMA = "page_id bigint, record_type string, target_uri string, date string, payload_bytes bigint, payload_digest string, refers_to bigint, block_digest string"
+READ_SCHEMA = "page_id bigint, record_id string, record_type string, target_uri string, date string, payload_bytes bigint, payload_digest string, refers_to bigint, block_digest string, read_digest string, file string, offset bigint"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives under ``path``; ``block_digest`` is computed from the block read."""
+    """A row for each record of the archives under ``path``, but for the warcinfo records; a folder without files gives none.
+
+    ``page_id`` and ``refers_to`` are null where an identifier isn't made from a page number. ``payload_digest`` is the
+    declared one; ``block_digest`` and ``read_digest`` are computed from the block and the payload read, the latter null
+    for revisits, whose payload lies elsewhere and whose ``payload_bytes`` is what their HTTP head declares. ``file`` and
+    ``offset`` tell where the record's gzip member begins, so that the table, once written, is an index. A damaged archive
+    raises ``BadArchive`` and fails the job.
+    """
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        for offset, unit in members(content):
+            for fields, block in parse_warc(unit):
+                kind = fields["WARC-Type"]
+                if kind == "warcinfo":
+                    continue
+                head, payload = split_http(block) or (b"", block)
+                ref, size = fields.get("WARC-Refers-To"), len(payload)
+                if kind == "revisit":
+                    declared = [x.partition(b":")[2].strip() for x in head.split(END) if x.lower().startswith(b"content-length:")]
+                    size = int(declared[0]) if declared and declared[0].isdigit() else None
+                yield (page_of(fields["WARC-Record-ID"]), fields["WARC-Record-ID"], kind, fields["WARC-Target-URI"], fields["WARC-Date"], size, fields["WARC-Payload-Digest"].rpartition(":")[2],
+                       page_of(ref) if ref else None, base32_sha1(block), None if kind == "revisit" else base32_sha1(payload), path, offset)
+
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b["content"].to_pylist():
-                rows = []
-                for fields, block in parse_warc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                    ref = fields.get("WARC-Refers-To")
-                    rows.append((page_of(fields["WARC-Record-ID"]), fields["WARC-Type"], fields["WARC-Target-URI"], fields["WARC-Date"], int(fields.get("X-Payload-Length", len(block))), fields["WARC-Payload-Digest"].rpartition(":")[2], page_of(ref) if ref else None, base32_sha1(block)))
+            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+                rows = list(rows_of(path, content))
                 if rows:
-                    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "record_type", "target_uri", "date", "payload_bytes", "payload_digest", "refers_to", "block_digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(read, READ_SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInArrow(read, READ_SCHEMA)
 
 
 def warc_report(pages: DataFrame) -> DataFrame:
-    """The columns of op7, from archives written to the shared folder and read back; a response's digest is of its block."""
+    """The columns of op7, from archives written to the shared folder and read back.
+
+    A response's digest and size are of the payload that was read, a revisit's those its record declares. Nulls, ties,
+    repeated rows and empty tables are as ``write_warc`` has them.
+    """
     path = fresh_path(pages.sparkSession, "warc")
     write_warc(pages.select(F.col("page_id").cast("bigint"), "url", "html"), path)
-    return read_warc(pages.sparkSession, path).select("page_id", "payload_bytes", F.when(F.col("record_type") == "response", F.col("block_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
+    return read_warc(pages.sparkSession, path).select("page_id", "payload_bytes", F.coalesce("read_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")

@@ -1,6 +1,7 @@
 """The legacy archive converter: ARC parsing, synthesised WARC records, and reading back."""
 
 import gzip
+import os
 
 import pytest
 
@@ -16,8 +17,33 @@ def test_arc_records_by_declared_length(version):
     found = list(warc.parse_arc(archive))
     assert [a.payload.decode() for a in found] == TRICKY
     assert {a.version for a in found} == {version} and found[1].fields["url"] == "http://h/1%20x"
-    head = warc.warc_head(found[1], 7, None)
-    assert "WARC-Date: 2024-01-01T00:00:00Z" in head and f"WARC-Payload-Digest: sha1:{warc.base32_sha1(b'plain')}" in head
+    (head, block), = warc.parse_warc(warc.warc_record(found[1], warc.record_id(7)))
+    assert head["WARC-Type"] == "resource" and block == b"plain" and head["Content-Type"] == "text/html"
+    assert head["WARC-Date"] == "2024-01-01T00:00:00Z" and head["WARC-Payload-Digest"] == f"sha1:{warc.base32_sha1(b'plain')}"
+
+
+@pytest.mark.parametrize("text", TRICKY)
+def test_http_messages_are_responses_and_revisits(text):
+    body = text.encode()
+    (arc,) = warc.parse_arc(warc.arc_preamble(1) + warc.arc_record(1, "http://h/", warc.http_message(body)))
+    (response, block), = warc.parse_warc(warc.warc_record(arc, warc.record_id(7)))
+    (revisit, head), = warc.parse_warc(warc.warc_record(arc, warc.record_id(8), warc.record_id(7)))
+    assert (response["WARC-Type"], revisit["WARC-Type"]) == ("response", "revisit") and warc.page_of(revisit["WARC-Refers-To"]) == 7
+    assert block == head + body and warc.split_http(block) == (head, body) and f"Content-Length: {len(body)}".encode() in head
+    assert response["WARC-Payload-Digest"] == revisit["WARC-Payload-Digest"] == f"sha1:{warc.base32_sha1(body)}"
+    assert response["Content-Type"] == "application/http; msgtype=response" and response["WARC-Block-Digest"] == f"sha1:{warc.base32_sha1(block)}"
+
+
+def test_members_stand_alone():
+    parts = [b"", b"a" * 200_000, os.urandom(150_000), b"end"]
+    packed = [warc.member(x) for x in parts]
+    found = list(warc.members(b"".join(packed[:2]) + b"\0\0" + b"".join(packed[2:])))
+    assert [x for _, x in found] == parts and found[3][0] == sum(map(len, packed[:3])) + 2
+    assert gzip.decompress(b"".join(packed)) == warc.unpacked(b"".join(packed)) == b"".join(parts)
+    assert list(warc.members(b"plain")) == [(0, b"plain")] and list(warc.members(b"")) == [(0, b"")]
+    for bad in (packed[3][:-1], packed[3] + b"x", packed[3][:12] + b"\xff" * 8):
+        with pytest.raises(warc.BadArchive):
+            list(warc.members(bad))
 
 
 def test_damaged_archives_are_told():
@@ -27,10 +53,14 @@ def test_damaged_archives_are_told():
             list(warc.parse_arc(bad))
     with pytest.raises(warc.BadArchive):
         list(warc.parse_warc(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nab\r\n\r\n"))
+    for head in (b"WARC-Type: response", b"Content-Length: -1", b"Content-Length: x"):
+        with pytest.raises(warc.BadArchive):
+            list(warc.parse_warc(b"WARC/1.0\r\n" + head + b"\r\n\r\n\r\n\r\n"))
 
 
 def test_dates_and_identifiers():
     assert [warc.warc_date(x) for x in ("20230405060708", "20230405", "2023", "20231350", "-")] == ["2023-04-05T06:07:08Z", "2023-04-05T00:00:00Z", *["1970-01-01T00:00:00Z"] * 3]
+    assert warc.page_of("<urn:uuid:00000000-0000-0000-0000-000000000001>") is None
     assert [warc.page_of(warc.record_id(i)) for i in (0, 1, -1, 2**63 - 1, -(2**63))] == [0, 1, -1, 2**63 - 1, -(2**63)]
 
 
@@ -58,12 +88,32 @@ def test_short_payloads_are_all_responses(spark):
     assert sorted((r["page_id"], r["refers_to"]) for r in warc.read_warc(spark, path).collect() if r["refers_to"] is not None) == [(3, 4)]
 
 
+def test_archives_are_bounded_by_bytes_and_indexed(spark):
+    big = os.urandom(9_000_000).hex()
+    rows = [(i, f"http://h/{i}", os.urandom(3000).hex()) for i in range(60)] + [(100, "http://h/big", big)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    path = fresh_path(spark, "warc-test")
+    warc.write_warc(pages, path, archive_bytes=40_000)
+    read = warc.read_warc(spark, path).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["read_digest"]) for r in read) == [(i, len(t), warc.base32_sha1(t.encode())) for i, _, t in rows]
+    files = {r["path"]: bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).collect()}
+    large = {r["file"] for r in read if r["page_id"] == 100}
+    assert len(files) > 5 and len(large) == 1 and all(len(c) <= 40_000 for f, c in files.items() if f not in large)
+    for name, content in files.items():
+        kinds = [h["WARC-Type"] for h, _ in warc.parse_warc(gzip.decompress(content))]
+        assert kinds[0] == "warcinfo" and set(kinds[1:]) == {"response"}
+    for r in read:
+        (head, _), = warc.parse_warc(next(x for _, x in warc.members(files[r["file"]][r["offset"] :])))
+        assert head["WARC-Record-ID"] == r["record_id"] == warc.record_id(r["page_id"])
+
+
 def test_convert_arc_files(spark, tmp_path):
     folder = tmp_path / "arc"
     folder.mkdir()
     for version, pack in ((1, gzip.compress), (2, bytes)):
         (folder / f"v{version}.arc").write_bytes(pack(warc.arc_preamble(version) + b"".join(warc.arc_record(version, f"http://h/{i}", t.encode()) for i, t in enumerate(TRICKY))))
+    (folder / "empty.arc").write_bytes(b"")
     warc.convert_arc(spark, f"file://{folder}", f"file://{tmp_path}/warc")
     got = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
-    assert len(got) == 2 * len(TRICKY) == len({r["page_id"] for r in got})
+    assert len(got) == 2 * len(TRICKY) == len({r["record_id"] for r in got}) and {r["page_id"] for r in got} == {None}
     assert sorted(r["block_digest"] for r in got) == sorted(warc.base32_sha1(t.encode()) for t in TRICKY * 2)
