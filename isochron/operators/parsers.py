@@ -181,43 +181,54 @@ def provisions(prose: DataFrame, doc: str = "document", short: str = "short") ->
     where it comes first, as consolidated texts repeat numbers at their end. Bodies keep the lines' order; a clause's body
     keeps its points.
     """
+    d, s, line = F.col(doc), F.col(short), F.col("line")
+    is_article, is_clause, is_point = (F.col("kind") == k for k in ("article", "clause", "point"))
     rows = structured_lines(prose, [doc, short])
-    firsts = rows.where(F.col("kind") == "article").groupBy(doc, "article").agg(F.min("block").alias("__b"))
-    rows = rows.join(firsts.select(F.col(doc).alias("__d"), F.col("article").alias("__a"), "__b"), (F.col(doc) == F.col("__d")) & (F.col("article") == F.col("__a")) & (F.col("block") == F.col("__b")), "left")
-    kept = rows.where(F.col("__b").isNotNull()).drop("__d", "__a", "__b")
-    body = lambda test, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("ord", value.alias("v"))))), lambda x: x["v"]), "\n")
-    line = F.col("line")
-    keys = [doc, short, "block", "chapter", "chapter_title", "section", "section_title", "article"]
-    articles = kept.groupBy(*keys).agg(F.min("ord").alias("at"), F.min(F.when(F.col("kind") == "article", line)).alias("heading"), F.trim(body(F.col("kind") != "article", line)).alias("body"))
-    clauses = kept.where(F.col("clause_no") > 0).groupBy(*keys, "clause_no").agg(F.min("ord").alias("at"), F.min(F.when(F.col("kind") == "clause", F.regexp_extract("line", CLAUSE, 1))).alias("number"), F.trim(body(F.lit(True), F.when(F.col("kind") == "clause", F.trim(F.regexp_extract("line", CLAUSE, 2))).otherwise(line))).alias("body"))
-    numbers = clauses.select(doc, F.col("block"), "clause_no", F.col("number").alias("clause"))
-    points = kept.where(F.col("point_no") > 0).join(numbers, [doc, "block", "clause_no"]).groupBy(*keys, "clause", "clause_no", "point_no").agg(F.min("ord").alias("at"), F.min(F.when(F.col("kind") == "point", F.regexp_extract("line", POINT, 1))).alias("number"), F.trim(body(F.lit(True), F.when(F.col("kind") == "point", F.trim(F.regexp_extract("line", POINT, 2))).otherwise(line))).alias("body"))
-
-    d, s = F.col(doc), F.col(short)
-    chapter_path = F.concat_ws(CRUMB, s, F.concat(F.lit("Chương "), F.col("chapter")))
-    section_path = F.concat_ws(CRUMB, chapter_path, F.concat(F.lit("Mục "), F.col("section")))
-    article_path = F.concat(section_path, F.lit(f"{CRUMB}Điều "), F.col("article"))
-    chapter_key = F.concat(d, F.lit("::chuong-"), F.col("chapter"))
-    section_key = F.concat(d, F.lit("::chuong-"), F.coalesce("chapter", F.lit("None")), F.lit("-muc-"), F.col("section"))
-    article_key = F.concat(d, F.lit("::dieu-"), F.col("article"))
-    nothing = F.lit(None).cast("string")
-
-    def node(df: DataFrame, ptype: str, level: int, **c: Column) -> DataFrame:
-        return df.select(d.alias("document"), F.lit(ptype).alias("ptype"), F.lit(level).alias("__level"), *[c[k].alias(k) for k in ("key", "parent_key", "number", "heading", "body", "path", "citation_label", "at")])
-
-    at = F.col("at")
-    chapters = articles.where(F.col("chapter").isNotNull()).groupBy(doc, short, "chapter").agg(F.min("at").alias("at"), F.min_by("chapter_title", "at").alias("chapter_title"))
-    sections = articles.where(F.col("section").isNotNull()).groupBy(doc, short, "chapter", "section").agg(F.min("at").alias("at"), F.min_by("section_title", "at").alias("section_title"))
-    label = lambda *parts: F.concat_ws(" ", *parts)
-    n = F.col("number")
-    article_label = label(F.concat(F.lit("Điều "), F.col("article")), s)
-    clause_key = F.concat(article_key, F.lit("-khoan-"), n)
-    out = node(chapters, "chuong", 0, key=chapter_key, parent_key=nothing, number=F.col("chapter"), heading=F.concat(F.lit("Chương "), F.col("chapter"), F.lit(". "), F.col("chapter_title")), body=nothing, path=chapter_path, citation_label=label(F.concat(F.lit("Chương "), F.col("chapter")), s), at=at)
-    out = out.unionByName(node(sections, "muc", 1, key=section_key, parent_key=chapter_key, number=F.col("section"), heading=F.concat(F.lit("Mục "), F.col("section"), F.lit(". "), F.col("section_title")), body=nothing, path=section_path, citation_label=label(F.concat(F.lit("Mục "), F.col("section")), F.concat(F.lit("Chương "), F.coalesce("chapter", F.lit("None"))), s), at=at))
-    out = out.unionByName(node(articles, "dieu", 2, key=article_key, parent_key=F.coalesce(F.when(F.col("section").isNotNull(), section_key), chapter_key), number=F.col("article"), heading=F.col("heading"), body=F.col("body"), path=article_path, citation_label=article_label, at=at))
-    out = out.unionByName(node(clauses, "khoan", 3, key=clause_key, parent_key=article_key, number=n, heading=nothing, body=F.col("body"), path=F.concat(article_path, F.lit(f"{CRUMB}Khoản "), n), citation_label=label(F.concat(F.lit("Khoản "), n), article_label), at=at))
-    point_parent = F.concat(article_key, F.lit("-khoan-"), F.col("clause"))
-    out = out.unionByName(node(points, "diem", 4, key=F.concat(point_parent, F.lit("-diem-"), n), parent_key=point_parent, number=n, heading=nothing, body=F.col("body"), path=F.concat(article_path, F.lit(f"{CRUMB}Khoản "), F.col("clause"), F.lit(f"{CRUMB}Điểm "), n), citation_label=label(F.concat(F.lit("Điểm "), n), F.concat(F.lit("Khoản "), F.col("clause")), article_label), at=at))
+    first = F.min(F.when(is_article, F.col("block"))).over(Window.partitionBy(doc, short, "article"))
+    block = Window.partitionBy(doc, short, "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    clause = F.last(F.when(is_clause, F.regexp_extract("line", CLAUSE, 1)), ignorenulls=True).over(block)
+    kept = rows.withColumns({"__first": first, "clause": clause}).where(F.col("article").isNotNull() & (F.col("block") == F.col("__first")))
+
+    # A line belongs to one node of each level that it lies in, so one grouping makes the nodes of all five kinds.
+    none = F.lit(None)
+    at_level = lambda level, test, text, number, *places: F.when(test, F.struct(F.lit(level).alias("level"), text.cast("string").alias("text"), number.cast("string").alias("number"), *[(F.col(c) if c in places else none.cast(kept.schema[c].dataType)).alias(f"in_{c}") for c in ("chapter", "section", "article", "block", "clause_no", "point_no")]))
+    inner = ("chapter", "section", "article", "block")
+    nodes = F.array(
+        at_level(0, is_article & F.col("chapter").isNotNull(), none, F.col("chapter"), "chapter"),
+        at_level(1, is_article & F.col("section").isNotNull(), none, F.col("section"), "chapter", "section"),
+        at_level(2, F.lit(True), F.when(~is_article, line), F.when(is_article, F.col("article")), *inner),
+        at_level(3, F.col("clause_no") > 0, F.when(is_clause, F.trim(F.regexp_extract("line", CLAUSE, 2))).otherwise(line), F.when(is_clause, F.col("clause")), *inner, "clause_no"),
+        at_level(4, F.col("point_no") > 0, F.when(is_point, F.trim(F.regexp_extract("line", POINT, 2))).otherwise(line), F.when(is_point, F.regexp_extract("line", POINT, 1)), *inner, "clause_no", "point_no"),
+    )
+    held = kept.select(doc, short, "ord", "line", "kind", "clause", "chapter_title", "section_title", F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("n"))
+    held = held.select("*", "n.*").drop("n")
+    texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text"))))
+    made = held.groupBy(doc, short, "level", "in_chapter", "in_section", "in_article", "in_block", "in_clause_no", "in_point_no").agg(
+        F.min("ord").alias("at"), F.min("number").alias("number"), F.min("clause").alias("clause"), F.min(F.when(F.col("kind") == "article", F.col("line"))).alias("article_line"),
+        F.min_by("chapter_title", "ord").alias("chapter_title"), F.min_by("section_title", "ord").alias("section_title"), F.trim(F.array_join(F.transform(texts, lambda x: x["text"]), "\n")).alias("body"),
+    )
+
+    level, n = F.col("level"), F.col("number")
+    of = lambda *values: F.element_at(F.array(*values), level + 1)
+    word = lambda name, value: F.concat(F.lit(f"{name} "), value)
+    chapter, section, article = word("Chương", F.col("in_chapter")), word("Mục", F.col("in_section")), word("Điều", F.col("in_article"))
+    khoan, diem = word("Khoản", F.col("clause")), word("Điểm", n)
+    chapter_key = F.concat(d, F.lit("::chuong-"), F.col("in_chapter"))
+    section_key = F.concat(d, F.lit("::chuong-"), F.coalesce("in_chapter", F.lit("None")), F.lit("-muc-"), F.col("in_section"))
+    article_key = F.concat(d, F.lit("::dieu-"), F.col("in_article"))
+    clause_key = F.concat(article_key, F.lit("-khoan-"), F.col("clause"))
+    article_label = F.concat_ws(" ", article, s)
+    nothing = none.cast("string")
+    out = made.select(
+        d.alias("document"), of(*[F.lit(x) for x in ("chuong", "muc", "dieu", "khoan", "diem")]).alias("ptype"),
+        of(chapter_key, section_key, article_key, clause_key, F.concat(clause_key, F.lit("-diem-"), n)).alias("key"),
+        of(nothing, chapter_key, F.coalesce(section_key, chapter_key), article_key, clause_key).alias("parent_key"), n.alias("number"),
+        of(F.concat(chapter, F.lit(". "), F.col("chapter_title")), F.concat(section, F.lit(". "), F.col("section_title")), F.col("article_line"), nothing, nothing).alias("heading"),
+        F.when(level >= 2, F.col("body")).alias("body"),
+        F.concat_ws(CRUMB, s, chapter, F.when(level >= 1, section), F.when(level >= 2, article), F.when(level >= 3, khoan), F.when(level == 4, diem)).alias("path"),
+        of(F.concat_ws(" ", chapter, s), F.concat_ws(" ", section, word("Chương", F.coalesce("in_chapter", F.lit("None"))), s), article_label, F.concat_ws(" ", khoan, article_label), F.concat_ws(" ", diem, khoan, article_label)).alias("citation_label"),
+        "at", level.alias("__level"),
+    )
     return out.withColumn("order_index", F.row_number().over(Window.partitionBy("document").orderBy("at", "__level")) - 1).drop("at", "__level")
 
 

@@ -131,7 +131,7 @@ def outcome(answers: DataFrame) -> DataFrame:
 
 
 def recall_at_k(ranked_hits: DataFrame, expected: DataFrame, case: str, item: str, k: int) -> DataFrame:
-    """(cases, hits, recall): the share of cases of which any expected item is among the first k."""
+    """(cases, hits, recall): the share of cases of which any expected item is among the first k; null without cases."""
     hit = ranked_hits.where(F.col("rk") <= k).join(expected, [case, item], "left_semi").select(case).distinct().withColumn("__hit", F.lit(1))
     per_case = expected.select(case).distinct().join(hit, case, "left")
-    return per_case.agg(F.count(F.lit(1)).alias("cases"), F.coalesce(F.sum("__hit"), F.lit(0)).cast("bigint").alias("hits")).withColumn("recall", F.round(F.col("hits") / F.col("cases"), 6))
+    return per_case.agg(F.count(F.lit(1)).alias("cases"), F.coalesce(F.sum("__hit"), F.lit(0)).cast("bigint").alias("hits")).withColumn("recall", F.round(F.try_divide("hits", "cases"), 6))

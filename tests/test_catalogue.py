@@ -58,3 +58,13 @@ def test_recall_reads_every_term(spark, sf):
     pairs = lambda t, *c: [tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(*c).collect()]
     whole = catalogue.queries()["recall_at_k_all_terms"](spark, sf).collect()[0]
     assert (whole["cases"], whole["hits"]) == _recall(pairs("benchmark", "item_id", "text"), pairs("documents", "doc_id", "text"))
+
+
+def test_planted_recall_expects_whole_quotations(spark):
+    items = [(1, "one two three"), (2, "four five"), (3, None), (4, "...")]
+    docs = [(d, "three two one") for d in range(5)] + [(9, "so: one two three, he said"), (10, None), (11, "four five"), (11, "four five"), (12, "five four ...")]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, text string")
+    got = lambda k: tuple(catalogue.planted_recall(frame(items, "item_id"), frame(docs, "doc_id"), k).collect()[0])
+    assert got(5) == (2, 1, 0.5) and got(6) == (2, 2, 1.0)
+    empty = catalogue.planted_recall(frame(items, "item_id"), frame([], "doc_id")).collect()[0]
+    assert (empty["cases"], empty["hits"]) == (0, 0)
