@@ -20,7 +20,8 @@ def streaming_summary(log: DataFrame, keys: list[str], verdict: str = "verdict")
 def streaming_last_lookup(log: DataFrame, key: str, time: str, event_id: str, lookup: str, late: str = "10 minutes", seconds: int = EXPIRY_SECONDS) -> DataFrame:
     """(key, event_id, time, prior): as the batch form ``last_lookup``, in the order of arrival by micro-batch.
 
-    State is one value for each key, dropped when the watermark passes its expiry, so it doesn't grow with the log.
+    State is one value for each key, dropped when the watermark passes its expiry, so it doesn't grow with the log. A key's
+    rows of one micro-batch are sorted in one task: bound batches at the source. Rows without a time have no prior.
     """
     schema = log.schema
     kinds = {c: schema[c].dataType.simpleString() for c in (key, event_id, time, lookup)}
@@ -33,22 +34,28 @@ def streaming_last_lookup(log: DataFrame, key: str, time: str, event_id: str, lo
             state.remove()
             return
         value, at = (state.get[0], pd.Timestamp(state.get[1], unit="us")) if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values([time, event_id])
-        out = []
-        for row in rows.itertuples(index=False):
-            now = pd.Timestamp(getattr(row, time))
-            out.append((keys[0], getattr(row, event_id), now, value if at is not None and now - at <= span else None))
-            found = getattr(row, lookup)
-            if found is not None and not pd.isna(found):
-                value, at = plain(found), now
+        rows = pd.concat(list(frames)).sort_values([time, event_id], ignore_index=True)
+        now = rows[time].astype("datetime64[us]")
+        # Each row sees the last lookup before it: of this batch, or of the state where the batch has none yet.
+        known = rows.index.to_series().where(rows[lookup].notna()).ffill().shift().to_numpy()
+        told = ~pd.isna(known)
+        values = [plain(x) if pd.notna(x) else None for x in rows[lookup]]
+        since = pd.Series(pd.Timestamp(at) if at is not None else pd.NaT, index=rows.index, dtype="datetime64[us]")
+        since[told] = now.to_numpy()[known[told].astype(int)]
+        fresh = (now - since <= span).to_numpy()
+        prior = [None if not f else values[int(k)] if t else value for f, t, k in zip(fresh, told, known, strict=True)]
+        out = pd.DataFrame({key: keys[0], event_id: rows[event_id], time: now, "prior": pd.Series(prior, dtype=object)})
+        found = rows[lookup].last_valid_index()
+        if found is not None:
+            value, at = values[found], pd.Timestamp(now[found])
         if at is not None:
-            state.update((value, at.value // 1000))
+            state.update((value, int(at.value // 1000)))
             expires = int((at + span).value // 1_000_000)
             if expires > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(expires)
             else:
                 state.remove()
-        yield pd.DataFrame(out, columns=[key, event_id, time, "prior"])
+        yield out
 
     timed = log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     output = f"{key} {kinds[key]}, {event_id} {kinds[event_id]}, {time} timestamp, prior {kinds[lookup]}"
