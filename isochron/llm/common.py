@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked_table(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """``df`` with its places 1, 2, ... in an order over all rows, as a written table.
+
+    Rows are dealt by ranges of the order and sorted where they lie, so no task holds all; a place is the row's number
+    within its range plus the rows of the ranges before it, of which there are as many as shuffle partitions.
+    """
+    spot = F.monotonically_increasing_id()
+    written = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__spot", spot), label)
+    part, within = F.shiftright("__spot", 33), F.col("__spot").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = written.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return written.join(F.broadcast(before), part == F.col("__part")).withColumn(name, F.col("__before") + within + 1).drop("__spot", "__part", "__before")
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once all that is made of it is written itself."""
     files = table.inputFiles()

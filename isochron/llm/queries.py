@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import chat, decontaminate, licenses, lines, media, ngram_join, pieces, quality, substrings, warc
+from isochron.llm import chat, decontaminate, divergence, licenses, lines, media, ngram_join, pieces, quality, resample, substrings, warc
 from isochron.llm.common import table
 
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": lambda spark, d: chat.chat_report(table(spark, d, "conversations")),
         "op9_benchmark_decontamination": lambda spark, d: decontaminate.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_sentencepiece": lambda spark, d: pieces.pieces_report(table(spark, d, "documents")),
+        "op12_source_divergence": lambda spark, d: divergence.divergence_report(table(spark, d, "documents")),
+        "op13_importance_resampling": lambda spark, d: resample.resampling_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
 
@@ -89,4 +91,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
             FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
+        "op12_source_divergence": f"""
+            WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                              regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+                 t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+                 k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT row) >= 30),
+                 l AS (SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS total FROM k GROUP BY 1),
+                 c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+                 g AS (SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+                 p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p,
+                              1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (l.total + 5 * l.v) AS q
+                       FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+                 s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+                 r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                         LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+                       UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
     }
