@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import chat, decontaminate, divergence, licenses, lines, media, ngram_join, pieces, quality, resample, substrings, warc
+from isochron.llm import chat, decontaminate, divergence, licenses, lines, media, ngram_join, pieces, quality, resample, substrings, vector_dedup, warc
 from isochron.llm.common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": lambda spark, d: chat.chat_report(table(spark, d, "conversations")),
         "op9_benchmark_decontamination": lambda spark, d: decontaminate.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op10_sentencepiece": lambda spark, d: pieces.pieces_report(table(spark, d, "documents")),
+        "op11_embedding_neardup": lambda spark, d: vector_dedup.vector_report(table(spark, d, "embeddings")),
         "op12_source_divergence": lambda spark, d: divergence.divergence_report(table(spark, d, "documents")),
         "op13_importance_resampling": lambda spark, d: resample.resampling_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
@@ -91,6 +92,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
             FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
+        "op11_embedding_neardup": """
+            WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+                 u AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+                 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                       WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+                 r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+                 n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+            SELECT e.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.y) AS component_id, e.vec_id = min(r.y) AS kept
+            FROM embeddings e JOIN r ON r.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id GROUP BY e.vec_id""",
         "op12_source_divergence": f"""
             WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                               regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
