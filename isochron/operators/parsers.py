@@ -1,15 +1,17 @@
 """Document-to-table operators: tariff rows, nomenclature paths, provision trees and chunks from ordered cells and lines.
 
-Each document is one ordered sequence, so its state runs through windows over the document's own order; nothing leaves
-Spark's expressions but the nomenclature fold, whose state is a stack.
+Each document is one ordered sequence of any length: its state runs from segment to segment (``scan``), never through one
+window over the document. Nothing leaves Spark's expressions; the nomenclature's stack is folded heading by heading.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isochron.functions.text import dash_depth, undashed, word_list
+from isochron.operators import scan
+from isochron.sources.tables import written
 
 #: Forms of cells and of structural lines.
 HS8, RATE = r"^\d{4}\.\d{2}\.\d{2}$", r"^(\d{1,3}(,\d+)?|\*)$"
@@ -20,18 +22,14 @@ ANNEXES = (("I", "BIỂU THUẾ XUẤT KHẨU", False), ("II", "BIỂU THUẾ NH
 CRUMB = " › "
 
 
-def _running(doc: list[str], order: str = "ord"):
-    return Window.partitionBy(*doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def forward_marker(rows: DataFrame, doc: list[str], value: Column, name: str, order: str = "ord") -> DataFrame:
     """The greatest marker ordinal so far: markers only go forward, so a lesser one later changes nothing."""
-    return rows.withColumn(name, F.max(value).over(_running(doc, order)))
+    return scan.running(rows, doc, [scan.greatest(name, value)], order)
 
 
 def carry(rows: DataFrame, doc: list[str], value: Column, name: str, order: str = "ord") -> DataFrame:
     """The last marker so far; rows before the first have null."""
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(_running(doc, order)))
+    return scan.running(rows, doc, [scan.last(name, value)], order)
 
 
 def annex_ordinal(cell: Column) -> Column:
@@ -44,39 +42,45 @@ def annex_ordinal(cell: Column) -> Column:
 
 def region(rows: DataFrame, doc: list[str], start: Column, stop: Column | None = None, order: str = "ord") -> DataFrame:
     """Rows from the first ``start`` to before the next ``stop``."""
-    whole = Window.partitionBy(*doc)
-    rows = rows.withColumn("__a", F.min(F.when(start, F.col(order))).over(whole))
-    out = rows.where(F.col(order) >= F.col("__a"))
+    first = rows.where(start).groupBy(*doc).agg(F.min(order).alias("__a"))
+    out = rows.join(first, doc).where(F.col(order) >= F.col("__a"))
     if stop is not None:
-        out = out.withColumn("__b", F.min(F.when(stop & (F.col(order) > F.col("__a")), F.col(order))).over(whole)).where(F.col("__b").isNull() | (F.col(order) < F.col("__b"))).drop("__b")
+        end = out.where(stop & (F.col(order) > F.col("__a"))).groupBy(*doc).agg(F.min(order).alias("__b"))
+        out = out.join(end, doc, "left").where(F.col("__b").isNull() | (F.col(order) < F.col("__b"))).drop("__b")
     return out.drop("__a")
 
 
-def tariff_rows(cells: DataFrame, doc: list[str], reach: int = 12) -> DataFrame:
-    """(doc, annex, hs, hs_dotted, description, rates, rate): each code cell with what follows it up to the next one.
+def tariff_rows(cells: DataFrame, doc: list[str], reach: int = 12, late: bool = False, size: int = scan.SEGMENT) -> DataFrame:
+    """(doc, row_no, annex, hs, hs_dotted, description, rates, rate): each code cell with what follows it up to the next one.
+
+    The description is the first cell with text, where it is no rate. ``rates`` are the first run of rate cells, all of
+    them, which begins among the ``reach`` cells with text behind the code, or with ``late`` right after them: base
+    decrees are read the first way, the tables of agreements the second. The run ends at another cell with text or at
+    two blanks; ``rate`` is its first. ``row_no`` is the code's place. Cells before the first code belong to none.
 
-    The description is the first cell that is neither blank nor a rate; ``rates`` are the first run of rate cells among
-    the ``reach`` cells with text behind the code, blanks inside the run not counting; ``rate`` is the first of them.
-    Cells before the first code belong to none.
+    Documents may have any length: their state goes from segment to segment (``scan``), and a row's cells are summed up
+    without being gathered, but for its rates.
     """
-    marked = forward_marker(cells, doc, annex_ordinal(F.col("cell")), "annex_no")
-    code = F.col("cell").rlike(HS8)
-    marked = marked.withColumn("__row", F.count_if(code).over(_running(doc))).where(F.col("__row") > 0)
-    first = F.min(F.when(code, F.struct("ord", "annex_no", "cell")))
-    body = F.array_sort(F.collect_list(F.when(~code & (F.col("cell") != ""), F.struct("ord", "cell"))))
-    rows = marked.groupBy(*doc, "__row").agg(first.alias("__first"), body.alias("__body"))
-    cells_of = F.transform(F.slice("__body", 1, reach + 8), lambda x: x["cell"])
-    rows = rows.withColumn("__cells", cells_of)
-    # Place of the first rate, then of the first cell after it that is none.
-    at = F.array_position(F.transform("__cells", lambda c: c.rlike(RATE)), True)
-    rows = rows.withColumn("__at", F.when((at > 0) & (at <= reach), at))
-    tail = F.slice("__cells", F.coalesce(F.col("__at"), F.lit(1)).cast("int"), F.size("__cells"))
-    run = F.array_position(F.transform(tail, lambda c: ~c.rlike(RATE)), True)
-    rates = F.when(F.col("__at").isNull(), F.array().cast("array<string>")).otherwise(F.when(run > 0, F.slice(tail, F.lit(1), (run - 1).cast("int"))).otherwise(tail))
+    code, solid = F.col("cell").rlike(HS8), F.col("cell") != ""
+    text = scan.running(cells, doc, [scan.greatest("__annex", annex_ordinal(F.col("cell"))), scan.last("row_no", F.when(code, F.col("ord"))), scan.count("__solid", solid)], size=size)
+    text = written(text.where(solid & F.col("row_no").isNotNull()).select(*doc, "ord", "cell", "row_no", "__annex", "__solid"))
+    row = [*doc, "row_no"]
+    heads = text.where(F.col("ord") == F.col("row_no")).select(*row, F.col("__annex").alias("__annex_no"), F.col("cell").alias("hs_dotted"), F.col("__solid").alias("__from"))
+    behind = text.where(F.col("ord") > F.col("row_no")).select(*row, "ord", "cell", "__solid", F.col("cell").rlike(RATE).alias("__rate"))
+    behind = behind.join(heads.select(*row, "__from"), row).withColumn("__place", F.col("__solid") - F.col("__from"))
+    starts = behind.groupBy(*row).agg(F.min(F.when(F.col("__rate") & (F.col("__place") <= reach + int(late)), F.col("ord"))).alias("__at"), F.max(F.when((F.col("__place") == 1) & ~F.col("__rate"), F.col("cell"))).alias("__described"))
+    after = behind.join(starts.where(F.col("__at").isNotNull()).select(*row, "__at"), row).where(F.col("ord") >= F.col("__at"))
+    stops = after.where(~F.col("__rate")).groupBy(*row).agg(F.min("ord").alias("__stop"))
+    run = after.join(stops, row, "left").where(F.col("__stop").isNull() | (F.col("ord") < F.col("__stop")))
+    # Each blank between two cells moves a place on by one more than the count of cells with text.
+    gaps = F.array_sort(F.collect_list(F.struct("ord", "cell", (F.col("ord") - F.col("__solid")).alias("blanks"))))
+    found = run.groupBy(*row).agg(gaps.alias("__run"))
+    broken = F.array_position(F.transform("__run", lambda x, i: (i > 0) & (x["blanks"] - F.try_element_at("__run", i.cast("int"))["blanks"] > 1)), True)
+    whole = F.transform(F.when(broken > 0, F.slice("__run", F.lit(1), (broken - 1).cast("int"))).otherwise(F.col("__run")), lambda x: x["cell"])
+    found = found.select(*row, whole.alias("rates"))
     names = F.create_map(*[F.lit(x) for i, (n, _, _) in enumerate(ANNEXES, 1) for x in (i, n)])
-    before_rate = F.slice("__cells", 1, F.coalesce(F.col("__at") - 1, F.size("__cells")).cast("int"))
-    described = F.coalesce(F.try_element_at(F.filter(before_rate, lambda c: ~c.rlike(RATE)), F.lit(1)), F.lit(""))
-    return rows.withColumn("rates", rates).select(*doc, F.col("__row").alias("row_no"), F.try_element_at(names, F.col("__first.annex_no")).alias("annex"), F.replace(F.col("__first.cell"), F.lit("."), F.lit("")).alias("hs"), F.col("__first.cell").alias("hs_dotted"), described.alias("description"), "rates", F.try_element_at("rates", F.lit(1)).alias("rate"))
+    out = heads.join(starts, row, "left").join(found, row, "left").withColumn("rates", F.coalesce("rates", F.array().cast("array<string>")))
+    return out.select(*doc, "row_no", F.try_element_at(names, F.col("__annex_no")).alias("annex"), F.replace("hs_dotted", F.lit("."), F.lit("")).alias("hs"), "hs_dotted", F.coalesce("__described", F.lit("")).alias("description"), "rates", F.try_element_at("rates", F.lit(1)).alias("rate"))
 
 
 def special_rows(rows: DataFrame, doc: list[str]) -> DataFrame:
@@ -84,9 +88,8 @@ def special_rows(rows: DataFrame, doc: list[str]) -> DataFrame:
 
     That code's row holds what follows, so its description and rate pass to the special row and it is no row of its own.
     """
-    order = Window.partitionBy(*doc).orderBy("row_no")
     chapter = F.col("hs").startswith("98")
-    step = rows.withColumns({"__next": F.lead("hs").over(order), "__next_rate": F.lead("rate").over(order), "__before": F.lag("hs").over(order), "__before_rate": F.lag("rate").over(order)})
+    step = scan.running(written(rows), doc, [scan.after("__next", F.col("hs")), scan.after("__next_rate", F.col("rate")), scan.before("__before", F.col("hs")), scan.before("__before_rate", F.col("rate"))], "row_no")
     takes = chapter & F.col("rate").isNull() & F.col("__next").isNotNull() & ~F.col("__next").startswith("98")
     taken = ~chapter & F.coalesce(F.col("__before").startswith("98") & F.col("__before_rate").isNull(), F.lit(False))
     out = step.where(~taken).withColumns({"chapter98": chapter, "corresponding": F.when(takes, F.col("__next")), "rate": F.when(takes, F.col("__next_rate")).otherwise(F.col("rate"))})
@@ -94,16 +97,19 @@ def special_rows(rows: DataFrame, doc: list[str]) -> DataFrame:
 
 
 def fragmented_codes(cells: DataFrame, doc: list[str]) -> DataFrame:
-    """(doc, hs, rate): codes written over three cells of 4, 2 and 2 digits, and the first short number before the next code."""
-    order = Window.partitionBy(*doc).orderBy("ord")
-    step = cells.withColumns({"__b": F.lead("cell", 1).over(order), "__c": F.lead("cell", 2).over(order)})
-    opens = F.col("cell").rlike(r"^\d{4}$") & F.coalesce(F.col("__b").rlike(r"^\d{2}$") & F.col("__c").rlike(r"^\d{2}$"), F.lit(False))
-    step = step.withColumn("__opens", opens).withColumn("__row", F.count_if("__opens").over(_running(doc))).where(F.col("__row") > 0)
-    step = step.withColumn("__at", F.row_number().over(Window.partitionBy(*doc, "__row").orderBy("ord")))
-    head = F.min(F.when(F.col("__opens"), F.struct("ord", F.concat("cell", "__b", "__c").alias("hs"))))
-    stop = F.col("cell").rlike(r"^\d{4}$") & (F.col("__at") > 3)
-    rate = F.min(F.when((F.col("__at") > 3) & (F.col("cell").rlike(r"^\d{1,3}$") | stop), F.struct("ord", F.when(~stop, F.col("cell")).alias("rate"))))
-    return step.groupBy(*doc, "__row").agg(head.alias("h"), rate.alias("r")).select(*doc, F.col("h.hs").alias("hs"), F.col("r.rate").alias("rate"), F.col("__row").alias("row_no"))
+    """(doc, hs, rate): codes written over three cells of 4, 2 and 2 digits, and the first short number before the next code.
+
+    ``ord`` counts a document's cells without a gap; ``row_no`` is the place of a code's third cell.
+    """
+    pair, four = F.col("cell").rlike(r"^\d{2}$"), F.col("cell").rlike(r"^\d{4}$")
+    step = written(scan.running(cells, doc, [scan.last("__four", F.when(four, F.struct("ord", "cell"))), scan.before("__above", F.col("cell"))]))
+    # The third cell tells that a code is one; its place names the row.
+    ends = pair & F.coalesce(F.col("__above").rlike(r"^\d{2}$") & (F.col("__four.ord") == F.col("ord") - 2), F.lit(False))
+    step = scan.running(step.withColumn("__ends", ends), doc, [scan.last("row_no", F.when(F.col("__ends"), F.col("ord")))]).where(F.col("row_no").isNotNull())
+    head = F.max(F.when(F.col("__ends"), F.concat("__four.cell", "__above", "cell")))
+    behind = ~F.col("__ends") & (F.col("cell").rlike(r"^\d{1,3}$") | four)
+    rate = F.min(F.when(behind, F.struct("ord", F.when(~four, F.col("cell")).alias("rate"))))
+    return step.groupBy(*doc, "row_no").agg(head.alias("hs"), rate.alias("r")).select(*doc, "hs", F.col("r.rate").alias("rate"), "row_no")
 
 
 def nomenclature_paths(cells: DataFrame, doc: list[str]) -> DataFrame:
@@ -112,15 +118,14 @@ def nomenclature_paths(cells: DataFrame, doc: list[str]) -> DataFrame:
     Levels form a stack: an entry of depth d drops all of depth d or more. A heading empties it, so a heading and what
     follows fold on their own, one group for each; the first path of a code counts.
     """
-    order = Window.partitionBy(*doc).orderBy("ord")
     solid = cells.where(F.col("cell") != "")
     kind = F.when(F.col("cell").rlike(r"^\d{2}\.?\d{2}$"), "head").when(F.col("cell").rlike(HS8), "code").when(F.col("cell").rlike(r"^\d{4}\.\d{2}$"), "level").when(F.col("cell").startswith("-"), "dash")
-    step = solid.withColumn("kind", kind).withColumns({"__text": F.lead("cell").over(order), "__named": F.lag("kind").over(order).isin("head", "code", "level")})
+    step = scan.running(solid.withColumn("kind", kind), doc, [scan.after("__text", F.col("cell")), scan.before("__named", F.col("kind").isin("head", "code", "level"))])
     # A cell that names the code before it is that code's text, not an entry.
     step = step.where(F.col("kind").isNotNull() & ~(F.coalesce("__named", F.lit(False)) & (F.col("kind") == "dash")))
     raw = F.when(F.col("kind") == "dash", F.col("cell")).otherwise(F.col("__text"))
     step = step.withColumns({"depth": F.when(F.col("kind") == "dash", dash_depth(raw)).otherwise(F.greatest(dash_depth(raw), F.lit(1))), "title": undashed(raw)})
-    step = step.withColumns({"__group": F.count_if(F.col("kind") == "head").over(_running(doc)), "__heading": F.last(F.when(F.col("kind") == "head", F.col("title")), ignorenulls=True).over(_running(doc))})
+    step = scan.running(step, doc, [scan.last("__head", F.when(F.col("kind") == "head", F.struct("ord", "title")))]).withColumns({"__group": F.col("__head.ord"), "__heading": F.col("__head.title")})
     entries = F.array_sort(F.collect_list(F.struct("ord", "kind", "depth", "title", "cell")))
     grouped = step.where(F.col("kind") != "head").groupBy(*doc, "__group").agg(F.first("__heading").alias("heading"), entries.alias("__e"))
     empty = F.array().cast("array<struct<depth: int, title: string>>")
@@ -141,69 +146,85 @@ def nomenclature_paths(cells: DataFrame, doc: list[str]) -> DataFrame:
     return rows.groupBy(*doc, "hs").agg(F.min(F.struct(*names)).alias("f")).select(*doc, "hs", *[F.col(f"f.{n}").alias(n) for n in names[1:]])
 
 
-def structured_lines(prose: DataFrame, doc: list[str]) -> DataFrame:
+def _marked(prose: DataFrame, doc: list[str], size: int) -> DataFrame:
+    """Lines from the first chapter, section or article to before the signature, with ``kind`` (chapter, section, title,
+    article or null), and the lines above and below their marks; read from a table that is written once."""
+    line, at = F.col("line"), F.col("ord")
+    mark = F.when(line.rlike(CHAPTER), "chapter").when(line.rlike(SECTION), "section")
+    rows = scan.running(prose.withColumn("__mark", mark), doc, [scan.before("__above", F.col("__mark")), scan.after("__below", line)], size=size)
+    titled = F.col("__above").isNotNull() & F.col("__mark").isNull()
+    rows = rows.withColumn("kind", F.when(titled, "title").when(F.col("__mark").isNotNull(), F.col("__mark")).when(line.rlike(ARTICLE), "article"))
+    rows = rows.withColumns({"__structural": F.coalesce(F.col("kind").isin("chapter", "section", "article"), F.lit(False)), "__signed": F.col("kind").isNull() & line.rlike(TERMINATOR), "__below": F.when(F.col("__mark").isNotNull(), F.col("__below"))})
+    rows = written(rows.drop("__mark", "__above"))
+    begun = rows.join(rows.where("__structural").groupBy(*doc).agg(F.min(at).alias("__start")), doc).where(at >= F.col("__start"))
+    ends = begun.where("__signed").groupBy(*doc).agg(F.min(at).alias("__end"))
+    return begun.join(ends, doc, "left").where(F.col("__end").isNull() | (at < F.col("__end"))).drop("__signed", "__start", "__end")
+
+
+def structured_lines(prose: DataFrame, doc: list[str], size: int = scan.SEGMENT) -> DataFrame:
     """Lines of a document with their chapter, section, article, clause and point, up to the signature.
 
     ``kind`` is chapter, section, title, article, clause, point or text. The line after a chapter or section mark is its
-    title. A new chapter ends the section, an article ends clause and point.
+    title. A new chapter ends the section, an article ends clause and point. ``block``, ``clause_at`` and ``point_at``
+    are the places of the marks that a line lies under: of the last chapter, section or article, of its clause and of
+    its point. They tell what a line belongs to, so one scan over the last mark of each kind is all the state there is.
     """
-    order = Window.partitionBy(*doc).orderBy("ord")
-    run = _running(doc)
-    line = F.col("line")
-    mark = F.when(line.rlike(CHAPTER), "chapter").when(line.rlike(SECTION), "section")
-    rows = prose.withColumn("__mark", mark)
-    rows = rows.withColumn("__titled", F.lag("__mark").over(order).isNotNull() & F.col("__mark").isNull())
-    kind = F.when(F.col("__titled"), "title").when(F.col("__mark").isNotNull(), F.col("__mark")).when(line.rlike(ARTICLE), "article")
-    rows = rows.withColumn("kind", kind).withColumn("__started", F.count_if(F.col("kind").isin("chapter", "section", "article")).over(run) > 0)
-    rows = rows.withColumn("__ended", F.count_if(F.col("__started") & line.rlike(TERMINATOR) & F.col("kind").isNull()).over(run) > 0).where(F.col("__started") & ~F.col("__ended"))
-    rows = rows.withColumns({"chapter_no": F.count_if(F.col("kind") == "chapter").over(run), "__block": F.count_if(F.col("kind").isin("chapter", "section", "article")).over(run)})
-    rows = rows.withColumn("chapter", F.last(F.when(F.col("kind") == "chapter", F.upper(F.regexp_extract("line", CHAPTER, 1))), ignorenulls=True).over(run))
-    inside = Window.partitionBy(*doc, "chapter_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.last(F.when(F.col("kind") == "section", F.regexp_extract("line", SECTION, 1)), ignorenulls=True).over(inside))
-    follows = F.lead("line").over(order)
-    rows = rows.withColumn("__title", F.when(F.col("kind").isin("chapter", "section"), F.coalesce(follows, F.lit(""))))
-    rows = rows.withColumns({"chapter_title": F.last(F.when(F.col("kind") == "chapter", F.col("__title")), ignorenulls=True).over(run), "section_title": F.last(F.when(F.col("kind") == "section", F.col("__title")), ignorenulls=True).over(inside)})
-    block = Window.partitionBy(*doc, "__block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("article", F.last(F.when(F.col("kind") == "article", F.regexp_extract("line", ARTICLE, 1)), ignorenulls=True).over(block))
-    clause = F.col("kind").isNull() & F.col("article").isNotNull() & line.rlike(CLAUSE)
-    rows = rows.withColumn("kind", F.when(clause, "clause").otherwise(F.col("kind"))).withColumn("clause_no", F.count_if(F.col("kind") == "clause").over(block))
-    point = F.col("kind").isNull() & (F.col("clause_no") > 0) & line.rlike(POINT)
-    rows = rows.withColumn("kind", F.coalesce(F.when(point, "point").otherwise(F.col("kind")), F.lit("text")))
-    in_clause = Window.partitionBy(*doc, "__block", "clause_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("point_no", F.count_if(F.col("kind") == "point").over(in_clause))
-    return rows.withColumnRenamed("__block", "block").drop("__mark", "__titled", "__started", "__ended", "__title")
-
-
-def provisions(prose: DataFrame, doc: str = "document", short: str = "short") -> DataFrame:
+    return _structured(_marked(prose, doc, size), doc, size)
+
+
+def _structured(rows: DataFrame, doc: list[str], size: int) -> DataFrame:
+    line, at = F.col("line"), F.col("ord")
+    title = F.coalesce("__below", F.lit("")).alias("title")
+    of = lambda kind, *parts: F.when(F.col("kind") == kind, F.struct(at.alias("at"), *parts))
+    plain = F.col("kind").isNull()
+    rows = scan.running(rows, doc, [
+        scan.last("__block", F.when(F.col("__structural"), F.struct(at.alias("at"), F.when(F.col("kind") == "article", F.regexp_extract("line", ARTICLE, 1)).alias("article")))),
+        scan.last("__chapter", of("chapter", F.upper(F.regexp_extract("line", CHAPTER, 1)).alias("number"), title)),
+        scan.last("__section", of("section", F.regexp_extract("line", SECTION, 1).alias("number"), title)),
+        scan.last("__clause", F.when(plain & line.rlike(CLAUSE), F.struct(at.alias("at"), F.regexp_extract("line", CLAUSE, 1).alias("number")))),
+        scan.last("__point", F.when(plain & line.rlike(POINT), at)),
+    ], size=size)
+    block = F.col("__block.at")
+    in_section = F.col("__section.at") > F.coalesce(F.col("__chapter.at"), F.lit(-1))
+    in_clause = F.col("__block.article").isNotNull() & (F.col("__clause.at") > block)
+    in_point = in_clause & (F.col("__point") > F.col("__clause.at"))
+    rows = rows.withColumns({
+        "chapter": F.col("__chapter.number"), "chapter_title": F.col("__chapter.title"), "section": F.when(in_section, F.col("__section.number")), "section_title": F.when(in_section, F.col("__section.title")),
+        "article": F.col("__block.article"), "block": block, "clause": F.when(in_clause, F.col("__clause.number")), "clause_at": F.when(in_clause, F.col("__clause.at")), "point_at": F.when(in_point, F.col("__point")),
+    })
+    kind = F.when(F.col("clause_at") == at, "clause").when(F.col("point_at") == at, "point").otherwise(F.coalesce("kind", F.lit("text")))
+    return rows.withColumn("kind", kind).drop("__below", "__structural", "__block", "__chapter", "__section", "__clause", "__point")
+
+
+def provisions(prose: DataFrame, doc: str = "document", short: str = "short", size: int = scan.SEGMENT) -> DataFrame:
     """Rows (document, key, parent_key, ptype, number, order_index, heading, body, path, citation_label) of provision trees.
 
     ``prose`` has document, short, ord and line. Five kinds of node, each from its own lines; an article number counts
     where it comes first, as consolidated texts repeat numbers at their end. Bodies keep the lines' order; a clause's body
-    keeps its points.
+    keeps its points. A document may have any length; what a task holds of it is a node's own text.
     """
     d, s, line = F.col(doc), F.col(short), F.col("line")
     is_article, is_clause, is_point = (F.col("kind") == k for k in ("article", "clause", "point"))
-    rows = structured_lines(prose, [doc, short])
-    first = F.min(F.when(is_article, F.col("block"))).over(Window.partitionBy(doc, short, "article"))
-    block = Window.partitionBy(doc, short, "block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    clause = F.last(F.when(is_clause, F.regexp_extract("line", CLAUSE, 1)), ignorenulls=True).over(block)
-    kept = rows.withColumns({"__first": first, "clause": clause}).where(F.col("article").isNotNull() & (F.col("block") == F.col("__first")))
+    marked = _marked(prose.select(doc, short, "ord", "line"), [doc], size)
+    first = marked.where(is_article).groupBy(doc, F.regexp_extract("line", ARTICLE, 1).alias("article")).agg(F.min("ord").alias("__first"))
+    rows = _structured(marked, [doc], size).where(F.col("article").isNotNull())
+    kept = rows.join(first, [doc, "article"]).where(F.col("block") == F.col("__first"))
 
     # A line belongs to one node of each level that it lies in, so one grouping makes the nodes of all five kinds.
     none = F.lit(None)
-    at_level = lambda level, test, text, number, *places: F.when(test, F.struct(F.lit(level).alias("level"), text.cast("string").alias("text"), number.cast("string").alias("number"), *[(F.col(c) if c in places else none.cast(kept.schema[c].dataType)).alias(f"in_{c}") for c in ("chapter", "section", "article", "block", "clause_no", "point_no")]))
+    at_level = lambda level, test, text, number, *places: F.when(test, F.struct(F.lit(level).alias("level"), text.cast("string").alias("text"), number.cast("string").alias("number"), *[(F.col(c) if c in places else none.cast(kept.schema[c].dataType)).alias(f"in_{c}") for c in ("chapter", "section", "article", "block", "clause_at", "point_at")]))
     inner = ("chapter", "section", "article", "block")
     nodes = F.array(
         at_level(0, is_article & F.col("chapter").isNotNull(), none, F.col("chapter"), "chapter"),
         at_level(1, is_article & F.col("section").isNotNull(), none, F.col("section"), "chapter", "section"),
         at_level(2, F.lit(True), F.when(~is_article, line), F.when(is_article, F.col("article")), *inner),
-        at_level(3, F.col("clause_no") > 0, F.when(is_clause, F.trim(F.regexp_extract("line", CLAUSE, 2))).otherwise(line), F.when(is_clause, F.col("clause")), *inner, "clause_no"),
-        at_level(4, F.col("point_no") > 0, F.when(is_point, F.trim(F.regexp_extract("line", POINT, 2))).otherwise(line), F.when(is_point, F.regexp_extract("line", POINT, 1)), *inner, "clause_no", "point_no"),
+        at_level(3, F.col("clause_at").isNotNull(), F.when(is_clause, F.trim(F.regexp_extract("line", CLAUSE, 2))).otherwise(line), F.when(is_clause, F.col("clause")), *inner, "clause_at"),
+        at_level(4, F.col("point_at").isNotNull(), F.when(is_point, F.trim(F.regexp_extract("line", POINT, 2))).otherwise(line), F.when(is_point, F.regexp_extract("line", POINT, 1)), *inner, "clause_at", "point_at"),
     )
     held = kept.select(doc, short, "ord", "line", "kind", "clause", "chapter_title", "section_title", F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("n"))
     held = held.select("*", "n.*").drop("n")
     texts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ord", "text"))))
-    made = held.groupBy(doc, short, "level", "in_chapter", "in_section", "in_article", "in_block", "in_clause_no", "in_point_no").agg(
+    made = held.groupBy(doc, short, "level", "in_chapter", "in_section", "in_article", "in_block", "in_clause_at", "in_point_at").agg(
         F.min("ord").alias("at"), F.min("number").alias("number"), F.min("clause").alias("clause"), F.min(F.when(F.col("kind") == "article", F.col("line"))).alias("article_line"),
         F.min_by("chapter_title", "ord").alias("chapter_title"), F.min_by("section_title", "ord").alias("section_title"), F.trim(F.array_join(F.transform(texts, lambda x: x["text"]), "\n")).alias("body"),
     )
@@ -229,7 +250,9 @@ def provisions(prose: DataFrame, doc: str = "document", short: str = "short") ->
         of(F.concat_ws(" ", chapter, s), F.concat_ws(" ", section, word("Chương", F.coalesce("in_chapter", F.lit("None"))), s), article_label, F.concat_ws(" ", khoan, article_label), F.concat_ws(" ", diem, khoan, article_label)).alias("citation_label"),
         "at", level.alias("__level"),
     )
-    return out.withColumn("order_index", F.row_number().over(Window.partitionBy("document").orderBy("at", "__level")) - 1).drop("at", "__level")
+    # Five levels at most open at one place, so that place and level are one order.
+    placed = written(out.withColumn("__at", F.col("at") * 8 + F.col("__level")).drop("at", "__level"))
+    return scan.running(placed, ["document"], [scan.count("order_index", F.lit(True))], "__at", size).withColumn("order_index", (F.col("order_index") - 1).cast("int")).drop("__at")
 
 
 def chunks(nodes: DataFrame, documents: DataFrame, summary_cap: int = 200, embed_cap: int = 1600) -> DataFrame:
@@ -267,15 +290,39 @@ def chunk_rows(made: DataFrame, provisions: DataFrame, documents: DataFrame) ->
 
 
 def walk(nodes: DataFrame, key: str = "key", parent_key: str = "parent_key", name: str = "name") -> DataFrame:
-    """(key, path, depth) of every node that a root reaches, to any depth: a recursive query. Roots have no parent."""
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walked(key, path, depth) AS (
-              SELECT {key}, {name}, 0 FROM {{nodes}} WHERE {parent_key} IS NULL
-              UNION ALL
-              SELECT n.{key}, concat(w.path, '{CRUMB}', n.{name}), w.depth + 1 FROM walked w JOIN {{nodes}} n ON n.{parent_key} = w.key)
-            SELECT key, path, depth FROM walked""",
-        nodes=nodes,
-    )
+    """(key, path, depth) of every node that a root reaches, to any depth and in a tree of any size. Roots have no parent.
+
+    Pointers double: each node holds an ancestor and the names from below it down to itself, and in each round takes over
+    its ancestor's ancestor and names, so a tree of depth d needs log2(d) rounds. A round is a written table, and it ends
+    when no pointer moves. Nodes below a missing parent or on a cycle end without a root and are left out (``unrooted``
+    tells them). Keys are unique and not null.
+    """
+    return _doubled(nodes, key, parent_key, name).where(F.col("up").isNull()).select("key", "path", "depth")
+
+
+def unrooted(nodes: DataFrame, key: str = "key", parent_key: str = "parent_key") -> DataFrame:
+    """(key, problem): nodes that no root reaches, as a ``parent`` is missing above them or they hang on a ``cycle``."""
+    left = _doubled(nodes.withColumn("__name", F.lit("")), key, parent_key, "__name").where(F.col("up").isNotNull())
+    return left.select("key", F.when(F.col("ends"), "parent").otherwise("cycle").alias("problem"))
+
+
+def _doubled(nodes: DataFrame, key: str, parent_key: str, name: str) -> DataFrame:
+    """(key, up, path, depth, ends): ``up`` is null where the root was reached, else the last ancestor found; ``ends`` where that one is missing.
+
+    Depths double with each round as long as pointers move, so a depth beyond the number of nodes tells a cycle.
+    """
+    now = written(nodes.select(F.col(key).alias("key"), F.col(parent_key).alias("up"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("path"), F.col(parent_key).isNotNull().cast("bigint").alias("depth"), F.lit(False).alias("ends")))
+    most = now.count()
+    while not now.where(F.col("up").isNotNull() & ~F.col("ends") & (F.col("depth") <= most)).isEmpty():
+        above = now.select(F.col("key").alias("__key"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("depth").alias("__depth"), F.col("ends").alias("__ends"))
+        moved = now.where(F.col("up").isNotNull() & ~F.col("ends")).join(above, F.col("up") == F.col("__key"), "left")
+        found = F.col("__key").isNotNull()
+        stepped = moved.select(
+            "key", F.when(found, F.col("__up")).otherwise(F.col("up")).alias("up"), F.when(found & (F.col("depth") <= most), F.concat("__path", F.lit(CRUMB), "path")).otherwise(F.col("path")).alias("path"),
+            (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"), (~found | F.col("__ends")).alias("ends"),
+        )
+        now = written(now.where(F.col("up").isNull() | F.col("ends")).unionByName(stepped))
+    return now.withColumn("depth", F.col("depth").cast("int"))
 
 
 def structural_counts(nodes: DataFrame) -> DataFrame:

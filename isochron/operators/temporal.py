@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isochron.operators import scan
+
 FAR = "9999-12-31"
 
 
@@ -41,6 +43,39 @@ def asof_join(events: DataFrame, rates: DataFrame, keys: list[str], day: str, st
     return events.join(rates, condition & inside, how).drop(*[rates[k] for k in keys])
 
 
+def asof_disjoint(events: DataFrame, rates: DataFrame, keys: list[str], day: str, start: str, end: str, size: int = 4096) -> DataFrame:
+    """``asof_join`` for rates that don't overlap within a key, in linear work however many rows share a key.
+
+    Rates and events of a key are one sequence by day, a rate before the events of its first day; each event takes the
+    last rate begun, if that has not ended by then. The sequence runs from segment to segment of ``size`` days
+    (``scan.carried``), so a hot key is spread over tasks and never makes events times rates. Rates that overlap break
+    the rule that one is in force at a time (``overlap_flags`` finds them); then only the one begun last is told, and of
+    several begun on a day the one that orders last. Events without a rate, a day or a key are left out.
+    """
+    values = [c for c in rates.columns if c not in keys]
+    days = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    rate = rates.where(F.col(start).isNotNull()).select(*keys, days(start).cast("bigint").alias("__day"), F.struct(*[F.col(c) for c in values]).alias("__rate"), F.lit(None).cast(events.select(F.struct("*")).schema[0].dataType).alias("__event"))
+    event = events.where(F.col(day).isNotNull()).select(*keys, days(day).cast("bigint").alias("__day"), F.lit(None).cast(rate.schema["__rate"].dataType).alias("__rate"), F.struct("*").alias("__event"))
+    told = scan.carried(rate.unionByName(event), keys, "__day", [F.col("__event").isNotNull(), F.col("__rate")], F.col("__rate"), "__last", size)
+    inside = F.col(f"__last.{end}").isNull() | (F.col(f"__last.{end}") >= F.col(f"__event.{day}"))
+    found = told.where(F.col("__event").isNotNull() & F.col("__last").isNotNull() & inside)
+    return found.select(*[F.col(f"__event.{c}").alias(c) for c in events.columns], *[F.col(f"__last.{c}").alias(c) for c in values])
+
+
+def asof_spread(events: DataFrame, rates: DataFrame, keys: list[str], day: str, start: str, end: str, span: int = 64) -> DataFrame:
+    """``asof_join`` for rates that may overlap: both sides are dealt by key and stretch of ``span`` days.
+
+    An event lies in one stretch. A rate goes to each that it touches within its key's events, so an open end doesn't
+    reach beyond them. A hot key so becomes many keys, each with the rates in force around its days alone.
+    """
+    stretch = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / F.lit(span)).cast("int")
+    placed = events.withColumn("__stretch", stretch(F.col(day)))
+    reach = placed.groupBy(*keys).agg(F.min("__stretch").alias("__lo"), F.max("__stretch").alias("__hi"))
+    first, last = F.greatest(stretch(F.col(start)), "__lo"), F.least(F.coalesce(stretch(F.col(end)), F.col("__hi")), F.col("__hi"))
+    dealt = rates.join(reach, keys).where(first <= last).withColumn("__stretch", F.explode(F.sequence(first, last))).drop("__lo", "__hi")
+    return asof_join(placed, dealt, [*keys, "__stretch"], day, start, end).drop("__stretch")
+
+
 def split_around(base: DataFrame, cuts: DataFrame, keys: list[str], start: str, end: str, value: str, cut_start: str, cut_end: str, cut_value: str) -> DataFrame:
     """Replace each interval that a cut falls into by its pieces before, during and after the cut.
 

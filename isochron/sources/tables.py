@@ -116,6 +116,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table of a new folder, for what is read several times over."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_keys(df: DataFrame, natural: list[str], name: str = "id") -> DataFrame:
     """Surrogate keys 1, 2, ... in the order of the natural key: the same for the same rows on every load.
 
