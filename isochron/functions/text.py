@@ -49,6 +49,21 @@ def show_percent(value: Column) -> Column:
     return F.coalesce(F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text), F.lit("0"))
 
 
+@F.pandas_udf(T.StringType())
+def _composed(texts):
+    """Unicode NFC of a column; Spark has no such function."""
+    import pandas as pd
+
+    return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in texts], dtype=object)
+
+
+def composed(text: Column) -> Column:
+    """Unicode NFC: letters and their marks, as phones and some converters write them apart, put together. Only texts with
+    such marks go through Python."""
+    apart = text.rlike(r"\p{M}")
+    return F.coalesce(_composed(F.when(apart, text)), text)
+
+
 def search_terms(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int = 2) -> Column:
     """Distinct lower-case words of letters and digits, in order, without short ones and stop words."""
     found = word_list(text)
@@ -56,24 +71,17 @@ def search_terms(text: Column, stop: tuple[str, ...] = STOP_WORDS, least: int =
 
 
 def word_list(text: Column) -> Column:
-    """All lower-case words of letters and digits, in order and with repeats; diacritics stay."""
-    return F.array_remove(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+"), "")
+    """All lower-case words of letters and digits, in order and with repeats, composed; diacritics stay, also those that no
+    composed letter has."""
+    return F.array_remove(F.split(F.regexp_replace(composed(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{M}\p{N}\s]", " "), r"\s+"), "")
 
 
 def query_terms(text: str, stop: tuple[str, ...] = STOP_WORDS, least: int = 2) -> list[str]:
-    """``search_terms`` of one query, composed first (NFC)."""
-    plain = re.sub(r"[^\w\s]|_", " ", unicodedata.normalize("NFC", text.lower()))
+    """``search_terms`` of one query."""
+    plain = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in unicodedata.normalize("NFC", text.lower()))
     return list(dict.fromkeys(w for w in plain.split() if len(w) >= least and w not in stop))
 
 
-@F.pandas_udf(T.StringType())
-def composed(texts):
-    """Unicode NFC of a column; Spark has no such function."""
-    import pandas as pd
-
-    return pd.Series([None if t is None else unicodedata.normalize("NFC", t) for t in texts], dtype=object)
-
-
 def whole_word(text: Column, words: str) -> Column:
     """Whether ``words`` stand in the text between word edges, whatever the case; Unicode letters and digits are words."""
     return text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){re.escape(words)}(?![\p{{L}}\p{{N}}_])")

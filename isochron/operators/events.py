@@ -27,6 +27,13 @@ ORIGIN_NAMES = (
     ("australia", "AU"), ("new zealand", "NZ"), ("thái lan", "TH"), ("thailand", "TH"), ("malaysia", "MY"), ("mã lai", "MY"), ("singapore", "SG"),
     ("indonesia", "ID"), ("philippines", "PH"), ("germany", "DE"), ("châu âu", "EU"), ("ấn độ", "IN"), ("india", "IN"), ("anh quốc", "GB"),
 )
+#: Words for an origin that a product's name is freed of once the origin is known, ambiguous ones too.
+ORIGIN_WORDS = {
+    "CN": ("trung quoc", "trung quốc", "tq", "tàu", "china", "cn"), "JP": ("nhat", "nhật", "nhật bản", "japan", "jp"), "KR": ("han", "hàn", "hàn quốc", "korea", "kr"),
+    "AU": ("uc", "úc", "australia", "au"), "NZ": ("new zealand", "nz"), "TH": ("thai", "thái", "thái lan", "thailand", "th"), "MY": ("malaysia", "mã lai", "my"),
+    "SG": ("singapore", "sg"), "ID": ("indonesia", "id"), "PH": ("phi", "philippines", "ph"), "DE": ("duc", "đức", "germany", "de"), "EU": ("châu âu", "eu"),
+    "GB": ("anh", "gb"), "IN": ("ấn", "ấn độ", "india", "in"),
+}
 #: Words that are no part of a product's name.
 FILLERS = ("nhập khẩu", "thuế suất", "hôm nay", "xuất xứ", "bao nhiêu", "là gì", "từ ", "nhập ", "thuế", "cái ", "con ", "chiếc ", "ngày", "giá", "mã hs", " hs ")
 EXPIRY_SECONDS = 30 * 60
@@ -72,7 +79,7 @@ def last_lookup(log: DataFrame, key: str, time: str, event_id: str, lookup: Colu
 
 
 def _clean_message(message: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(message), r"[.!,?…\s]+$", ""))
+    return F.trim(F.regexp_replace(text.composed(F.lower(message)), r"[.!,?…\s]+$", ""))
 
 
 def verdict_of(message: Column) -> Column:
@@ -85,7 +92,7 @@ def verdict_of(message: Column) -> Column:
 
 def is_correction(message: Column) -> Column:
     """Whether a correcting word stands in a message as a whole word."""
-    return F.lower(message).rlike(r"(?u)(?<!\p{L})(" + "|".join(CORRECTION_CUES) + r")(?!\p{L})")
+    return text.composed(F.lower(message)).rlike(r"(?u)(?<!\p{L})(" + "|".join(CORRECTION_CUES) + r")(?!\p{L})")
 
 
 def code_in(message: Column) -> Column:
@@ -96,9 +103,9 @@ def code_in(message: Column) -> Column:
 
 def origin_in(message: Column) -> Column:
     """The country a message names for sure: a capital code on its own, or an unambiguous name as whole words."""
-    out = F.lit(None).cast("string")
+    out, plain = F.lit(None).cast("string"), text.composed(F.lower(message))
     for name, code in reversed(ORIGIN_NAMES):
-        out = F.when(F.lower(message).rlike(rf"(?u)(?<![\p{{L}}\d]){name}(?![\p{{L}}\d])"), code).otherwise(out)
+        out = F.when(plain.rlike(rf"(?u)(?<![\p{{L}}\d]){name}(?![\p{{L}}\d])"), code).otherwise(out)
     found = F.regexp_extract(message, "(?<![A-Za-z0-9])(" + "|".join(ORIGIN_CODES) + ")(?![A-Za-z0-9])", 1)
     codes = F.create_map(*[F.lit(x) for pair in ORIGIN_CODES.items() for x in pair])
     return F.coalesce(F.try_element_at(codes, F.nullif(found, F.lit(""))), out)
@@ -107,15 +114,16 @@ def origin_in(message: Column) -> Column:
 def keyword_in(message: Column, origin: Column | None = None) -> Column:
     """What is left of a message as a product's name: without dates, fillers, punctuation and the names of ``origin``.
 
-    Names go as whole words only, so that one inside another word stays.
+    Names go as whole words only, so that one inside another word stays. They go one after the other in their listed
+    order, so of a longer name whose first word is listed before it the rest stays, as in "nhật bản".
     """
-    left = F.regexp_replace(F.lower(message), r"\d{4}-\d{2}-\d{2}", " ")
+    dateless = left = F.regexp_replace(text.composed(F.lower(message)), r"\d{4}-\d{2}-\d{2}", " ")
     if origin is not None:
-        named: dict[str, list[str]] = {}
-        for name, code in (*ORIGIN_NAMES, *((k.lower(), v) for k, v in ORIGIN_CODES.items())):
-            named.setdefault(code, []).append(name)
-        of = F.create_map(*[F.lit(x) for code, names in named.items() for x in (code, rf"(?u)(?<![\p{{L}}\d])({'|'.join(names)})(?![\p{{L}}\d])")])
-        left = F.regexp_replace(left, F.coalesce(F.try_element_at(of, origin), F.lit("(?!)")), F.lit(" "))
+        for code, names in ORIGIN_WORDS.items():
+            freed = dateless
+            for name in names:
+                freed = F.regexp_replace(freed, rf"(?u)(?<![\p{{L}}\d]){name}(?![\p{{L}}\d])", " ")
+            left = F.when(origin == code, freed).otherwise(left)
     for filler in FILLERS:
         left = F.replace(left, F.lit(filler), F.lit(" "))
     return text.collapse(F.regexp_replace(left, "[?.,!:]", " "))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isochron.operators.temporal import valid_at
+from isochron.operators.vector_index import Index
 
 #: The fusion constant, rows of a branch, rows of the result, citations, greatest relevant distance.
 FUSION, BRANCH_ROWS, TOP, CITATIONS, GREATEST_DISTANCE = 12, 50, 6, 5, 0.58
@@ -32,9 +33,14 @@ def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit).withColumn("rk", F.row_number().over(Window.orderBy(*order)))
 
 
-def in_force(chunks: DataFrame, day: str) -> DataFrame:
+def passes(day: str) -> Column:
     """The hard filter of both branches: valid on the day and not repealed."""
-    return chunks.where(valid_at(day) & (F.col("effectiveness") != REPEALED))
+    return valid_at(day) & (F.col("effectiveness") != REPEALED)
+
+
+def in_force(chunks: DataFrame, day: str) -> DataFrame:
+    """Chunks that pass the hard filter."""
+    return chunks.where(passes(day))
 
 
 def keyword_branch(chunks: DataFrame, terms: list[str], limit: int = BRANCH_ROWS) -> DataFrame:
@@ -80,6 +86,12 @@ def vector_branch(chunks: DataFrame, query: list[float], limit: int = BRANCH_ROW
     return ranked(scored, [F.asc_nulls_last("dist"), F.asc("pid")], limit).select("aid", "pid", "rk", "dist")
 
 
+def vector_branch_of(index: Index, spark: SparkSession, query: list[float], keep: Column, limit: int = BRANCH_ROWS, probes: int | None = None) -> DataFrame:
+    """``vector_branch`` from an inverted-file index: the nearest of the rows that pass ``keep`` in the cells that lie nearest
+    to the question, by exact distances. With as many probes as there are cells the rows and ranks are those of a full scan."""
+    return vector_branch(index.rows(spark, index.nearest_cells(query, probes)).where(keep), query, limit)
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, top: int = TOP) -> DataFrame:
     """One row for each article: each branch counts once, by its best chunk, as 1 / (12 + rank)."""
     both = keyword.unionByName(vector)

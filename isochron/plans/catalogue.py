@@ -8,16 +8,17 @@ the questions.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isochron.functions import text
-from isochron.operators import events, integrity, parsers, retrieval, tariff, temporal
+from isochron.operators import events, integrity, parsers, postings, retrieval, tariff, temporal, vector_index
 from isochron.plans import gazette, lookups
 from isochron.sources import documents as sources
-from isochron.sources.tables import ordinal, read_table, resolve, scratch, with_keys
+from isochron.sources.tables import ordinal, read_table, resolve, scratch, with_keys, written
 
 DAY = "1998-06-17"
 CUT = ("1998-03-09", "1998-04-30")
@@ -48,6 +49,32 @@ def asof_join(spark, d):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", F.col("day").cast("string").alias("day"), F.col("pct").cast("double").alias("pct"))
 
 
+def _hot_declared(spark, d):
+    """Declarations of which half have one code."""
+    line = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("day"))
+    order = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_custkey") % 2 == 0, 0).otherwise(F.col("o_custkey")).cast("bigint").alias("k"), F.col("o_orderpriority").alias("sch"))
+    return line.join(order, "l_orderkey")
+
+
+def _hot_rates(spark, d):
+    """Rates of which half have one code; each ends the day before the next."""
+    r = rates(spark, d).groupBy(F.when(F.col("k") % 2 == 0, 0).otherwise(F.col("k")).cast("bigint").alias("k"), "sch", "f").agg(F.max("pct").alias("pct"))
+    return r.withColumn("t", F.date_sub(F.lead("f").over(Window.partitionBy("k", "sch").orderBy("f")), 1))
+
+
+def asof_join_hot(spark, d):
+    """As ``asof_join`` where one code holds half of all rows: one sorted sequence by code, cut into segments."""
+    found = temporal.asof_disjoint(_hot_declared(spark, d), _hot_rates(spark, d), ["k", "sch"], "day", "f", "t", 256)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.col("day").cast("string").alias("day"), F.col("pct").cast("double").alias("pct"))
+
+
+def asof_join_overlapping(spark, d):
+    """Rates that overlap by a month, of which half have one code: both sides dealt by stretches of days; how many are in force."""
+    late = _hot_rates(spark, d).withColumn("t", F.date_add("t", 30))
+    found = temporal.asof_spread(_hot_declared(spark, d), late, ["k", "sch"], "day", "f", "t")
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("pct").cast("double")).alias("most"))
+
+
 def carve_out_split(spark, d):
     base = rates(spark, d).where(F.col("sch") == "1-URGENT")
     cuts = base.select("k", "sch").distinct().where(F.col("k") % 3 == 0).select("k", "sch", F.lit(CUT[0]).cast("date").alias("cf"), F.lit(CUT[1]).cast("date").alias("ct"), F.lit(0).cast("decimal(18,2)").alias("cv"))
@@ -239,43 +266,118 @@ def page_levels(spark, d):
     return found.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _chunks(spark, d):
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.expr("doc_id div 4").alias("aid"), text.word_list(F.col("text")).alias("tokens"), F.lit("1990-01-01").cast("date").alias("effective_from"), F.when(F.col("doc_id") % 10 == 0, F.lit("1995-01-01").cast("date")).alias("effective_to"), F.when(F.col("source") == "src3", retrieval.REPEALED).otherwise("con_hieu_luc").alias("effectiveness"))
+#: A word as some phones send it, letters and marks apart; every seventh chunk has it.
+APART = unicodedata.normalize("NFD", "thuế")
+
+
+def _all_chunks(spark, d):
+    said = F.concat_ws(" ", "text", F.when(F.col("doc_id") % 7 == 0, F.lit(APART)))
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.expr("doc_id div 4").alias("aid"), text.word_list(said).alias("tokens"), F.lit("1990-01-01").cast("date").alias("effective_from"), F.when(F.col("doc_id") % 10 == 0, F.lit("1995-01-01").cast("date")).alias("effective_to"), F.when(F.col("source") == "src3", retrieval.REPEALED).otherwise("con_hieu_luc").alias("effectiveness"))
     vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), "embedding")
-    return retrieval.in_force(docs.join(vectors, "pid", "left"), DAY)
+    return docs.join(vectors, "pid", "left")
+
+
+def _chunks(spark, d):
+    return retrieval.in_force(_all_chunks(spark, d), DAY)
+
+
+_LOADED: dict[tuple[str, str], str] = {}
+
+
+def loaded(spark, d) -> str:
+    """The folder of the search tables over the chunks of ``d``: posting blocks in ``words``, the vector index in ``vectors``.
+
+    They are made at the first question of an application, as a load would make them, and only read from then on.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LOADED:
+        path = scratch(spark)
+        chunks = _all_chunks(spark, d)
+        postings.create(chunks.drop("embedding"), f"{path}/words")
+        vector_index.write_index(chunks.drop("tokens"), f"{path}/vectors")
+        _LOADED[key] = path
+    return _LOADED[key]
 
 
-TERMS = ["onanha", "ingsh", "thea", "hein"]
+def _keyword_hits(spark, d, limit=retrieval.BRANCH_ROWS):
+    return postings.keyword_branch(spark, f"{loaded(spark, d)}/words", TERMS, retrieval.passes(DAY), limit)
+
+
+def _vector_hits(spark, d, limit=retrieval.BRANCH_ROWS):
+    """The nearest chunks, all cells read, so that they are those of a full scan."""
+    index = vector_index.read_index(spark, f"{loaded(spark, d)}/vectors")
+    return retrieval.vector_branch_of(index, spark, QUERY, retrieval.passes(DAY), limit, len(index.centroids))
+
+
+TERMS = ["onanha", "ingsh", "thea", "hein", *text.query_terms(APART)]
 QUERY = [((i * 37) % 64 - 32) / 64 for i in range(64)]
 
 
 def keyword_topk(spark, d):
-    scored = retrieval.keyword_branch(_chunks(spark, d), TERMS, 20)
-    return scored.select("aid", "pid", F.col("rk").cast("bigint"))
+    """The keyword branch from posting blocks made at load."""
+    return _keyword_hits(spark, d, 20).select("aid", "pid", F.col("rk").cast("bigint"))
+
+
+def keyword_topk_scanned(spark, d):
+    """The same from the chunks' own words."""
+    return retrieval.keyword_branch(_chunks(spark, d), TERMS, 20).select("aid", "pid", F.col("rk").cast("bigint"))
 
 
 def keyword_topk_indexed(spark, d):
     """The keyword branch from an inverted table, written at load and read by the question's terms only."""
     path = scratch(spark)
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.expr("doc_id div 4").alias("aid"), text.word_list(F.col("text")).alias("tokens"), F.lit("1990-01-01").cast("date").alias("effective_from"), F.when(F.col("doc_id") % 10 == 0, F.lit("1995-01-01").cast("date")).alias("effective_to"), F.when(F.col("source") == "src3", retrieval.REPEALED).otherwise("con_hieu_luc").alias("effectiveness"))
-    retrieval.write_postings(docs, path)
+    retrieval.write_postings(_all_chunks(spark, d), path)
     found = retrieval.keyword_branch_of(retrieval.in_force(spark.read.parquet(path), DAY), TERMS, 20)
     return found.select("aid", "pid", F.col("rk").cast("bigint"))
 
 
+def keyword_topk_changed(spark, d):
+    """The keyword branch after chunks were taken out, put back in other words, and added: every fifth, eleventh and third."""
+    path = scratch(spark)
+    chunks = _all_chunks(spark, d).drop("embedding")
+    pid = F.col("pid")
+    postings.create(chunks.where(pid % 3 != 0), path, 64)
+    postings.add(chunks.where(pid % 3 == 0), path)
+    postings.remove(chunks.where(pid % 5 == 0), path)
+    postings.replace(chunks.where(pid % 11 == 0).withColumn("tokens", F.array(F.lit(TERMS[0]), F.lit("other"))), path)
+    return postings.keyword_branch(spark, path, TERMS, retrieval.passes(DAY), 20).select("aid", "pid", F.col("rk").cast("bigint"))
+
+
 def cosine_topk(spark, d):
     return retrieval.vector_branch(_chunks(spark, d), QUERY, 20).select("aid", "pid", F.col("rk").cast("bigint"), F.round("dist", 6).alias("dist"))
 
 
+def cosine_topk_indexed(spark, d):
+    """The nearest chunks from the vector index, all of its cells read."""
+    return _vector_hits(spark, d, 20).select("aid", "pid", F.col("rk").cast("bigint"), F.round("dist", 6).alias("dist"))
+
+
+def vector_search_all(spark, d):
+    """For each vector whose number 20 divides its nearest ten of all, all cells read."""
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), "embedding")
+    path = scratch(spark)
+    index = vector_index.write_index(vectors, path)
+    asked = vectors.where(F.col("pid") % 20 == 0).select(F.col("pid").alias("question"), F.col("embedding").alias("asked"))
+    found = vector_index.search_many(index, asked, "question", "asked", probes=len(index.centroids), limit=10)
+    return found.select("question", "pid", F.col("rk").cast("bigint").alias("rk"))
+
+
+def vector_recall(spark, d):
+    """How many of the 50 nearest vectors a search of the default number of cells finds; compared with brute force in tests."""
+    vectors = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), "embedding")
+    index = vector_index.write_index(vectors, scratch(spark))
+    asked = vectors.where(F.col("pid") % 20 == 0).select(F.col("pid").alias("question"), F.col("embedding").alias("asked"))
+    return vector_index.recall(index, asked, "question", "asked")
+
+
 def hybrid_rrf(spark, d):
-    chunks = _chunks(spark, d)
-    fused = retrieval.fuse(retrieval.keyword_branch(chunks, TERMS), retrieval.vector_branch(chunks, QUERY))
+    """Both branches from the tables made at load; no text is read."""
+    fused = retrieval.fuse(_keyword_hits(spark, d), _vector_hits(spark, d))
     return fused.select("aid", F.col("best_pid"), "kw_hit", F.round("score", 6).alias("score"), F.round("best_dist", 6).alias("best_dist"))
 
 
 def abstain_gate(spark, d):
-    chunks = _chunks(spark, d)
-    fused = retrieval.fuse(retrieval.keyword_branch(chunks, TERMS), retrieval.vector_branch(chunks, QUERY), 50)
+    fused = retrieval.fuse(_keyword_hits(spark, d), _vector_hits(spark, d), 50)
     return retrieval.relevant(fused, 0.75, 5).select("aid", F.round("best_dist", 6).alias("best_dist"))
 
 
@@ -309,13 +411,23 @@ def recall_of(items: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
 def planted_recall(items: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """(cases, hits, recall) of items that documents quote in whole: those documents are expected among the first k by words.
 
-    A document that quotes an item shares all of its terms, so only such pairs are read for the quotation. Null and
-    wordless items are no cases.
+    A document that quotes an item shares all of its terms, and none shares more. So the first k are the least ids of the
+    documents that hold every term, and those are found by the item's rarest term, not by frequent ones. Null and
+    wordless items are no cases. Rows of one doc_id count together for words, and each alone for the quotation.
     """
-    hits = _common_words(items, documents)
-    sized = items.select("item_id", F.size(text.search_terms(F.col("text"), ())).alias("terms"), F.col("text").alias("quoted"))
-    full = hits.join(sized, "item_id").where(F.col("n") >= F.col("terms")).join(documents.select("doc_id", "text"), "doc_id")
-    return _recall(hits, full.where(F.col("text").contains(F.col("quoted"))).select("item_id", "doc_id").distinct(), k)
+    asked = items.select("item_id", F.col("text").alias("quoted"), text.search_terms(F.col("text"), ()).alias("terms")).where(F.size("terms") > 0)
+    words = documents.select("doc_id", F.explode(F.array_distinct(text.word_list(F.col("text")))).alias("word"))
+    wanted = asked.select("item_id", F.explode("terms").alias("word"))
+    held = words.join(wanted.select("word").distinct(), "word").distinct()
+    held = written(held)
+    often = held.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    # A term that no document has makes its item no case.
+    rarest = wanted.join(often, "word", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word")).alias("r")).where(F.col("r.often") > 0)
+    near = rarest.select("item_id", F.col("r.word").alias("word")).join(held, "word").select("item_id", "doc_id")
+    shared = near.join(wanted, "item_id").join(held, ["doc_id", "word"]).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    full = shared.join(asked.select("item_id", F.size("terms").alias("of"), "quoted"), "item_id").where(F.col("n") == F.col("of"))
+    quoting = full.join(documents.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quoted"))).select("item_id", "doc_id").distinct()
+    return _recall(full.select("item_id", "doc_id", "n"), quoting, k)
 
 
 def recall_at_k(spark, d):
@@ -329,7 +441,9 @@ def recall_at_k_all_terms(spark, d):
 
 
 def query_terms(spark, d):
-    return read_table(spark, d, "benchmark").select("item_id", F.array_join(text.search_terms(F.col("text"), ("the", "of", "la", "de")), " ").alias("terms"))
+    """Terms of questions, every second with words as phones send them, letters and marks apart."""
+    said = F.concat_ws(" ", "text", F.when(F.col("item_id") % 2 == 0, F.lit(unicodedata.normalize("NFD", "Thuế suất của hàng"))))
+    return read_table(spark, d, "benchmark").select("item_id", F.array_join(text.search_terms(said, ("the", "of", "la", "de")), " ").alias("terms"))
 
 
 _QUESTIONS = ("Thuế ngày 5 tháng 3 năm 2024?", "as of 2023-07-09 please", "hạn 1/2/2022", "luật năm 2019 quy định", "NĂM 2020 thì sao", "không có gì", "ngày 15 tháng 11 năm 2021 và 2022-01-01")
@@ -367,9 +481,11 @@ def chat_codes(spark, d):
     return said.select("conv_id", "turn", events.code_in(F.col("message")).alias("code"), events.origin_in(F.col("message")).alias("origin"), events.is_correction(F.col("message")).alias("correction"))
 
 
+_SAID = ("Đúng rồi!", "sai", "không chắc...", "ok", "Chuẩn", "why", "SAI RỒI", *[unicodedata.normalize("NFD", w) for w in ("Đúng rồi!", "sai rồi", "không chắc", "Chính xác")])
+
+
 def chat_verdicts(spark, d):
-    words = ["Đúng rồi!", "sai", "không chắc...", "ok", "Chuẩn", "why", "SAI RỒI"]
-    log = read_table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % len(words) + 1).cast("int")).alias("message"))
+    log = read_table(spark, d, "events").select("event_id", F.element_at(F.array(*[F.lit(w) for w in _SAID]), (F.col("event_id") % len(_SAID) + 1).cast("int")).alias("message"))
     return log.groupBy(F.coalesce(events.verdict_of(F.col("message")), F.lit("none")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -396,8 +512,8 @@ def candidate_merge(spark, d):
     return events.merged_candidates(lists, "p_partkey", "source", "place")
 
 
-_WORDS = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
-_CHUNKS = f"""c0 AS (SELECT doc_id AS pid, doc_id // 4 AS aid, {_WORDS.format("coalesce(text, '')")} AS tokens, embedding
+_WORDS = r"list_filter(string_split_regex(regexp_replace(nfc_normalize(lower({0})), '[^\p{{L}}\p{{M}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+_CHUNKS = f"""c0 AS (SELECT doc_id AS pid, doc_id // 4 AS aid, {_WORDS.format(f"concat_ws(' ', text, CASE WHEN doc_id % 7 = 0 THEN '{APART}' END)")} AS tokens, embedding
        FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE source <> 'src3' AND doc_id % 10 <> 0),
      q AS (SELECT [{", ".join(f"CAST({x} AS DOUBLE)" for x in QUERY)}] AS qv),
      kw AS (SELECT aid, pid, row_number() OVER (ORDER BY score DESC, pid) AS rk, CAST(NULL AS DOUBLE) AS dist FROM (
@@ -409,9 +525,11 @@ _CHUNKS = f"""c0 AS (SELECT doc_id AS pid, doc_id // 4 AS aid, {_WORDS.format("c
      agg AS (SELECT aid, min(rk) FILTER (WHERE dist IS NULL) AS kw_rk, min(rk) FILTER (WHERE dist IS NOT NULL) AS vec_rk, min(dist) AS best_dist,
                     bool_or(dist IS NULL) AS kw_hit, min(rk * 10000000 + pid) % 10000000 AS best_pid FROM u GROUP BY aid),
      fused AS (SELECT *, round(coalesce(1e0 / (12 + kw_rk), 0) + coalesce(1e0 / (12 + vec_rk), 0), 9) AS score FROM agg)"""
+_ASKED = f"concat_ws(' ', text, CASE WHEN item_id % 2 = 0 THEN '{unicodedata.normalize('NFD', 'Thuế suất của hàng')}' END)"
 _GOODS = "g AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS hs_code, p_name AS heading, p_type || ' › ' || p_brand || ' › ' || p_name AS path, p_partkey FROM part)"
 _MFN = f"m AS (SELECT lpad(CAST(k AS VARCHAR), 8, '0') AS hs_code, CAST(pct AS DOUBLE) AS mfn FROM rate WHERE {_VALID} AND sch = '1-URGENT')"
 _DIRTY = "dirty AS (SELECT k, sch, f, CASE WHEN k % 7 = 0 THEN t + 30 ELSE t END AS t, CAST(k AS VARCHAR) || '/' || sch || '/' || CAST(f AS VARCHAR) AS id FROM rate)"
+_HOT = "hot AS (SELECT k, sch, f, lead(f) OVER (PARTITION BY k, sch ORDER BY f) - 1 AS t, pct FROM (SELECT CASE WHEN k % 2 = 0 THEN 0 ELSE k END AS k, sch, f, max(pct) AS pct FROM rate GROUP BY 1, 2, 3) z)"
 _FLAG = "SELECT k, sch, CAST(f AS VARCHAR) AS f FROM (SELECT *, max(coalesce(t, DATE '9999-12-31')) OVER (PARTITION BY k, sch ORDER BY f, {1} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {0}) z WHERE reach >= f"
 _LINE = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents)"
 
@@ -432,6 +550,8 @@ def _own_sql() -> dict[str, str]:
     return {
         "asof_point": f"WITH {_RATE} SELECT k, sch, CAST(f AS VARCHAR) AS f, CAST(t AS VARCHAR) AS t, CAST(pct AS DOUBLE) AS pct FROM rate WHERE {_VALID}",
         "asof_join": f"WITH {_RATE}, e AS ({declared}) SELECT l_orderkey, l_linenumber, l_partkey, CAST(day AS VARCHAR) AS day, CAST(pct AS DOUBLE) AS pct FROM e JOIN rate USING (k, sch) WHERE f <= day AND (t IS NULL OR day <= t)",
+        "asof_join_hot": f"WITH {_RATE}, {_HOT}, e AS ({declared}) SELECT l_orderkey, l_linenumber, l_partkey, CAST(day AS VARCHAR) AS day, CAST(pct AS DOUBLE) AS pct FROM (SELECT * REPLACE (CASE WHEN k % 2 = 0 THEN 0 ELSE k END AS k) FROM e) e JOIN hot USING (k, sch) WHERE f <= day AND (t IS NULL OR day <= t)",
+        "asof_join_overlapping": f"WITH {_RATE}, {_HOT}, e AS ({declared}) SELECT l_orderkey, l_linenumber, count(*) AS n, max(CAST(pct AS DOUBLE)) AS most FROM (SELECT * REPLACE (CASE WHEN k % 2 = 0 THEN 0 ELSE k END AS k) FROM e) e JOIN hot USING (k, sch) WHERE f <= day AND (t IS NULL OR day <= t + 30) GROUP BY ALL",
         "carve_out_split": f"""WITH {_RATE}, b AS (SELECT *, k % 3 = 0 AND DATE '{CUT[0]}' <= coalesce(t, DATE '9999-12-31') AND DATE '{CUT[1]}' >= f AS hit FROM rate WHERE sch = '1-URGENT')
             SELECT k, sch, CAST(f AS VARCHAR) AS f, CAST(t AS VARCHAR) AS t, CAST(pct AS DOUBLE) AS pct, piece FROM (
               SELECT k, sch, f, t, pct, 'whole' AS piece FROM b WHERE NOT hit
@@ -485,8 +605,16 @@ def _own_sql() -> dict[str, str]:
         "first_page_link": """SELECT page_id, min_by(href, pos) AS href FROM (SELECT page_id, generate_subscripts(l, 1) AS pos, replace(unnest(l), '&amp;', '&') AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) z) y WHERE href LIKE '/t%' GROUP BY page_id""",
         "page_levels": "SELECT level, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(h1|p|li|div|a)[ >]', 1)) AS level FROM pages) z GROUP BY level",
         "keyword_topk": f"WITH {_CHUNKS} SELECT aid, pid, rk FROM kw WHERE rk <= 20",
+        "keyword_topk_scanned": f"WITH {_CHUNKS} SELECT aid, pid, rk FROM kw WHERE rk <= 20",
+        "keyword_topk_changed": f"""WITH {_CHUNKS}, c1 AS (SELECT aid, pid, CASE WHEN pid % 11 = 0 THEN ['{TERMS[0]}', 'other'] ELSE tokens END AS tokens FROM c0 WHERE pid % 5 <> 0 OR pid % 11 = 0),
+            s1 AS (SELECT aid, pid, round(len(list_filter(tokens, lambda x: x IN ({", ".join(f"'{t}'" for t in TERMS)}))) / (1 + ln(len(tokens))), 9) AS score FROM c1)
+            SELECT aid, pid, row_number() OVER (ORDER BY score DESC, pid) AS rk FROM s1 WHERE score > 0 ORDER BY score DESC, pid LIMIT 20""",
         "keyword_topk_indexed": f"WITH {_CHUNKS} SELECT aid, pid, rk FROM kw WHERE rk <= 20",
         "cosine_topk": f"WITH {_CHUNKS} SELECT aid, pid, rk, round(dist, 6) AS dist FROM vec WHERE rk <= 20",
+        "cosine_topk_indexed": f"WITH {_CHUNKS} SELECT aid, pid, rk, round(dist, 6) AS dist FROM vec WHERE rk <= 20",
+        "vector_search_all": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), u AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM v),
+            p AS (SELECT a.vec_id AS question, b.vec_id AS pid, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_dot_product(a.e, b.e) / (a.n * b.n), 9), b.vec_id) AS rk FROM u a, u b WHERE a.vec_id % 20 = 0)
+            SELECT question, pid, rk FROM p WHERE rk <= 10""",
         "hybrid_rrf": f"WITH {_CHUNKS} SELECT aid, best_pid, kw_hit, round(score, 6) AS score, round(best_dist, 6) AS best_dist FROM fused ORDER BY fused.score DESC, aid LIMIT 6",
         "abstain_gate": f"WITH {_CHUNKS} SELECT aid, round(best_dist, 6) AS best_dist FROM (SELECT * FROM fused ORDER BY score DESC, aid LIMIT 50) z WHERE best_dist <= 0.75 ORDER BY score DESC, aid LIMIT 5",
         "citation_check": """WITH k AS (SELECT conv_id, CASE WHEN conv_id % 5 <> 0 THEN list(turn ORDER BY turn) FILTER (WHERE turn % 2 = 0) ELSE [] END AS kept FROM conversations GROUP BY conv_id),
@@ -500,7 +628,7 @@ def _own_sql() -> dict[str, str]:
             r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rk FROM h),
             e AS (SELECT DISTINCT item_id, doc_id FROM r JOIN i USING (item_id) JOIN documents USING (doc_id) WHERE contains(documents.text, i.text) AND len(terms) > 0)
             SELECT count(DISTINCT e.item_id) AS cases, count(DISTINCT r.item_id) AS hits, round(count(DISTINCT r.item_id) / count(DISTINCT e.item_id), 6) AS recall FROM e LEFT JOIN r ON r.item_id = e.item_id AND r.doc_id = e.doc_id AND r.rk <= 5""",
-        "query_terms": f"SELECT item_id, array_to_string(list_filter(list_reverse(list_reduce(list_prepend([], list_transform({_WORDS.format('text')}, lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(x, a) END)), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of', 'la', 'de')), ' ') AS terms FROM benchmark",
+        "query_terms": f"SELECT item_id, array_to_string(list_filter(list_reverse(list_reduce(list_prepend([], list_transform({_WORDS.format(_ASKED)}, lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(x, a) END)), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of', 'la', 'de')), ' ') AS terms FROM benchmark",
         "asof_extract": f"SELECT conv_id, turn, v.as_of FROM conversations JOIN (VALUES {questions}) v(k, as_of) ON k = (conv_id + turn) % {len(_QUESTIONS)}",
         "tree_paths": """WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS key, NULL AS parent_key, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
             w AS (SELECT key, name AS path, 0 AS depth FROM t WHERE parent_key IS NULL UNION ALL SELECT t.key, w.path || ' › ' || t.name, w.depth + 1 FROM w JOIN t ON t.parent_key = w.key) SELECT key, path, depth FROM w""",
@@ -510,7 +638,7 @@ def _own_sql() -> dict[str, str]:
             SELECT provision_key, CAST(doc_id AS VARCHAR) AS article_key, md5(body) AS body_md5, least(1600, length(source) + 1 + length(body)) AS embed_chars, 'con_hieu_luc' AS effectiveness FROM b""",
         "chat_codes": """SELECT conv_id, turn, CASE WHEN turn = 0 THEN lpad(CAST(conv_id + 1000 AS VARCHAR), 4, '0') || '1020' END AS code, CASE WHEN turn = 0 THEN 'CN' END AS origin, false AS correction FROM conversations""",
         "chat_verdicts": f"""SELECT CASE WHEN m IN ({verdicts['correct']}) THEN 'correct' WHEN m IN ({verdicts['wrong']}) THEN 'wrong' WHEN m IN ({verdicts['unsure']}) THEN 'unsure' ELSE 'none' END AS verdict, count(*) AS n
-            FROM (SELECT trim(regexp_replace(lower(['Đúng rồi!', 'sai', 'không chắc...', 'ok', 'Chuẩn', 'why', 'SAI RỒI'][event_id % 7 + 1]), '[.!,?…\\s]+$', '')) AS m FROM events) z GROUP BY 1""",
+            FROM (SELECT trim(regexp_replace(lower(nfc_normalize([{", ".join(f"'{w}'" for w in _SAID)}][event_id % {len(_SAID)} + 1])), '[.!,?…\\s]+$', '')) AS m FROM events) z GROUP BY 1""",
         "quota_typing": """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'excluded' WHEN p_size < 10 THEN 'trq' ELSE 'ad_valorem' END AS rate_type, CASE WHEN p_partkey % 9 <> 0 THEN p_size + 0.5e0 END AS rate_percent FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 8 <> 0""",
         "enum_sort": "SELECT o_orderkey, o_orderstatus, rk FROM (SELECT *, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS rk FROM orders) z ORDER BY rk, o_totalprice, o_orderkey, o_custkey LIMIT 25",
         "candidate_merge": """SELECT p_partkey, source, place FROM (SELECT p_partkey, min(source) AS source, p_partkey AS place FROM (
@@ -520,8 +648,8 @@ def _own_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Every query with its callable: those with SQL, and recall by all terms."""
-    return {name: globals()[name] for name in _own_sql()} | {"recall_at_k_all_terms": recall_at_k_all_terms} | lookups.queries() | gazette.queries()
+    """Every query with its callable: those with SQL, and two recalls without."""
+    return {name: globals()[name] for name in _own_sql()} | {"recall_at_k_all_terms": recall_at_k_all_terms, "vector_recall": vector_recall} | lookups.queries() | gazette.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from isochron.functions import text
 from isochron.operators import events, parsers
 from isochron.sources import documents as sources
-from isochron.sources.tables import emit_lines, emit_ndjson, load, read_json_array, read_ndjson, read_table, scratch
+from isochron.sources.tables import emit_arrays, emit_lines, emit_ndjson, load, read_json_array, read_ndjson, read_table, scratch
 
 MARK = "\x07"
 
@@ -30,22 +30,40 @@ def _part(spark, d):
     return p.withColumns({"code": code, "dotted": text.dotted_code(code), "late": F.col("p_size") > 25})
 
 
-def gazette_rows(spark, d):
-    """Converted tariff tables, five documents: annex, code, description and a run of rates for each row."""
-    kind = F.col("p_partkey") % 4
-    rates = F.when(kind == 0, "5").when(kind == 1, "7,5").when(kind == 2, "*").otherwise(MARK.join(("5", "4", "3", "2", "1", "0")))
+#: Goods of one document, so that the number of documents grows with the table.
+_GOODS = 400
+
+
+def _of_document() -> Column:
+    return F.expr(f"p_partkey div {_GOODS}")
+
+
+def _table_cells(spark, d) -> DataFrame:
+    """Converted tariff tables: annex, code, description and a run of rates for each row; runs may be long, or begin late."""
+    kind = F.col("p_partkey") % 6
+    rates = F.when(kind == 0, "5").when(kind == 1, "7,5").when(kind == 2, "*").when(kind == 3, MARK.join(("5", "4", "3", "2", "1", "0"))).when(kind == 4, MARK.join(str(i) for i in range(30, 0, -1))).otherwise(MARK.join((*["word"] * 11, "8", "", "6")))
     annex = F.when(F.col("late"), "BIỂU THUẾ NHẬP KHẨU").otherwise("BIỂU THUẾ XUẤT KHẨU")
-    texts = _document(_part(spark, d), F.col("p_partkey") % 5, ["late", "p_partkey"], [annex, F.col("dotted"), F.col("p_name"), F.lit(" "), rates])
-    cells = sources.cells(texts).withColumnRenamed("pos", "ord")
-    rows = parsers.tariff_rows(cells, ["part"])
+    texts = _document(_part(spark, d), _of_document(), ["late", "p_partkey"], [annex, F.col("dotted"), F.col("p_name"), F.lit(" "), rates])
+    return sources.cells(texts).withColumnRenamed("pos", "ord")
+
+
+def gazette_rows(spark, d):
+    """Rows of the base decree: a rate is looked for among the first twelve cells."""
+    rows = parsers.tariff_rows(_table_cells(spark, d), ["part"])
     return rows.select("part", "annex", "hs", "hs_dotted", "description", "rate", F.array_join("rates", " ").alias("rates"))
 
 
+def agreement_rows(spark, d):
+    """Rows of an agreement's table: rates may also begin right behind the first twelve cells."""
+    rows = parsers.tariff_rows(_table_cells(spark, d), ["part"], late=True)
+    return rows.select("part", "hs", "description", F.array_join("rates", " ").alias("rates"), F.size("rates").cast("bigint").alias("n_rates"))
+
+
 def special_chapter(spark, d):
     """Rows of the special chapter; every second has a code that it corresponds to."""
     p = _part(spark, d).withColumn("special", text.dotted_code(F.concat(F.lit("98"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))))
     other = F.when(F.col("p_partkey") % 2 == 0, F.col("dotted"))
-    texts = _document(p, F.col("p_partkey") % 5, ["p_partkey"], [F.col("special"), other, F.col("p_name"), F.col("p_size").cast("string")])
+    texts = _document(p, _of_document(), ["p_partkey"], [F.col("special"), other, F.col("p_name"), F.col("p_size").cast("string")])
     rows = parsers.special_rows(parsers.tariff_rows(sources.cells(texts).withColumnRenamed("pos", "ord"), ["part"]), ["part"])
     return rows.select("part", "hs", "chapter98", "corresponding", "rate")
 
@@ -54,7 +72,7 @@ def fragmented_codes(spark, d):
     """Codes over three cells between two headings; what stands before and after is none of the table."""
     p = _part(spark, d)
     cut = [F.substring("code", a, n) for a, n in ((1, 4), (5, 2), (7, 2))]
-    body = _document(p, F.col("p_partkey") % 5, ["p_partkey"], [*cut, F.col("p_name"), F.col("p_size").cast("string")])
+    body = _document(p, _of_document(), ["p_partkey"], [*cut, F.col("p_name"), F.col("p_size").cast("string")])
     texts = body.select("part", F.concat(F.lit(MARK.join(("1111", "22", "33", "x", "4", "Phụ lục IV", ""))), "text", F.lit(MARK.join(("", "Hết", "1234", "56", "78", "9")))).alias("text"))
     cells = sources.cells(texts).withColumnRenamed("pos", "ord")
     inside = parsers.region(cells, ["part"], F.col("cell").startswith("Phụ lục IV"), F.col("cell") == "Hết")
@@ -65,7 +83,7 @@ def nomenclature(spark, d):
     """Headings, dashed levels and codes folded to paths."""
     p = _part(spark, d)
     head = F.concat(F.lpad((F.col("p_partkey") % 90 + 10).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("p_size") + 10).cast("string"), 2, "0"))
-    texts = _document(p, F.col("p_partkey") % 5, ["p_partkey"], [head, F.col("p_type"), F.concat(F.lit("- "), F.col("p_brand"), F.lit(":")), F.col("dotted"), F.concat(F.lit("- - "), F.col("p_name"))])
+    texts = _document(p, _of_document(), ["p_partkey"], [head, F.col("p_type"), F.concat(F.lit("- "), F.col("p_brand"), F.lit(":")), F.col("dotted"), F.concat(F.lit("- - "), F.col("p_name"))])
     paths = parsers.nomenclature_paths(sources.cells(texts).withColumnRenamed("pos", "ord"), ["part"])
     return paths.select("part", "hs", "heading", "description", "path")
 
@@ -106,10 +124,10 @@ def tree_parents(spark, d):
 
 
 def record_fields(spark, d):
-    """Blocks of fields, one for each supplier, from one text for each nation; some lack a field."""
+    """Blocks of fields, one for each supplier, a hundred to a text; some lack a field."""
     s = read_table(spark, d, "supplier")
     lines = [F.concat(F.lit("- id: "), F.col("s_suppkey").cast("string")), F.concat(F.lit("  name: '"), F.col("s_name"), F.lit("'")), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("  nation:  "), F.col("s_nationkey").cast("string"), F.lit(" ")))]
-    texts = _document(s, F.col("s_nationkey"), ["s_suppkey"], lines, "\n")
+    texts = _document(s, F.expr("s_suppkey div 100"), ["s_suppkey"], lines, "\n")
     return sources.record_blocks(texts, ["name", "nation"])
 
 
@@ -182,7 +200,7 @@ def mention_strip(spark, d):
 def keyword_residue(spark, d):
     """What is left of questions as a good's name, without the words for their origin."""
     p = read_table(spark, d, "part")
-    asked = F.concat(F.lit("Thuế nhập khẩu "), "p_name", F.lit(" "), "p_brand", F.when(F.col("p_partkey") % 2 == 0, F.lit(" từ Trung Quốc")).otherwise(F.lit(" china")), F.lit(" 2024-01-01 bao nhiêu?"))
+    asked = F.concat(F.lit("Thuế nhập khẩu "), "p_name", F.lit(" "), "p_brand", F.element_at(F.array(*[F.lit(x) for x in (" từ Trung Quốc", " china", " từ tàu")]), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit(" 2024-01-01 bao nhiêu?"))
     return p.select("p_partkey", events.keyword_in(asked, F.lit("CN")).alias("named"), events.keyword_in(asked).alias("plain"))
 
 
@@ -192,7 +210,7 @@ def written_files(spark, d):
     folder = scratch(spark)
     emit_ndjson(s, f"{folder}/rows")
     emit_lines(s, "s_suppkey", f"{folder}/lines")
-    emit_lines(s.agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("all")), "all", f"{folder}/array")
+    emit_arrays(s, f"{folder}/array", 400)
     kind = "s_suppkey bigint, s_name string"
     loaded = [load(s, f"{folder}/facts", s, f"{folder}/names") for _ in range(2)]
     told = lambda df, form: df.agg(F.lit(form).alias("form"), F.count(F.lit(1)).alias("n"), F.sum("s_suppkey").alias("total"), F.count("s_name").alias("named"))
@@ -212,6 +230,7 @@ _LAW = """c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS n, c_name,
       UNION ALL SELECT d, 'diem', key || '-khoan-1-diem-a', key || '-khoan-1', 'a', NULL, 'Point of ' || n || chr(10) || '12 PAGE 3', p || ' › Khoản 1 › Điểm a', 'Điểm a Khoản 1 ' || l FROM a
       UNION ALL SELECT d, 'diem', key || '-khoan-1-diem-b', key || '-khoan-1', 'b', NULL, 'Other of ' || n, p || ' › Khoản 1 › Điểm b', 'Điểm b Khoản 1 ' || l FROM a)"""
 _CODE = "lpad(CAST(p_partkey + 1000000 AS VARCHAR), 8, '0')"
+_RATES = "['5', '7,5', '*', '5 4 3 2 1 0', array_to_string(list_reverse(range(1, 31)), ' '), {}][p_partkey % 6 + 1]"
 _MENTION = """m AS (SELECT event_id, user_id, event_id % 11 = 0 AS bare, event_id % 4 AS r, 'van ' || event_id AS body FROM events),
     w AS (SELECT *, CASE WHEN bare THEN CASE r WHEN 0 THEN '' WHEN 1 THEN '' ELSE '@bot' END ELSE CASE r WHEN 0 THEN '@an ' || body WHEN 1 THEN body WHEN 2 THEN '@bot ' || body ELSE '@bot @an ' || body END END AS stripped,
             CASE WHEN bare THEN '@bot' ELSE '@bot @an ' || body END AS whole FROM m)"""
@@ -224,11 +243,12 @@ def _picked(*values: str | None) -> str:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries, by name."""
     return {
-        "gazette_rows": f"""SELECT p_partkey % 5 AS part, CASE WHEN p_size > 25 THEN 'II' ELSE 'I' END AS annex, c AS hs, substr(c, 1, 4) || '.' || substr(c, 5, 2) || '.' || substr(c, 7, 2) AS hs_dotted, p_name AS description,
-            ['5', '7,5', '*', '5'][p_partkey % 4 + 1] AS rate, ['5', '7,5', '*', '5 4 3 2 1 0'][p_partkey % 4 + 1] AS rates FROM (SELECT *, {_CODE} AS c FROM part) z""",
-        "special_chapter": f"SELECT p_partkey % 5 AS part, '98' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS hs, true AS chapter98, CASE WHEN p_partkey % 2 = 0 THEN {_CODE} END AS corresponding, CAST(p_size AS VARCHAR) AS rate FROM part",
-        "fragmented_codes": f"SELECT p_partkey % 5 AS part, {_CODE} AS hs, CAST(p_size AS VARCHAR) AS rate FROM part",
-        "nomenclature": f"SELECT p_partkey % 5 AS part, {_CODE} AS hs, p_type AS heading, p_name AS description, p_type || ' › ' || p_brand || ' › ' || p_name AS path FROM part",
+        "gazette_rows": f"""SELECT p_partkey // {_GOODS} AS part, CASE WHEN p_size > 25 THEN 'II' ELSE 'I' END AS annex, c AS hs, substr(c, 1, 4) || '.' || substr(c, 5, 2) || '.' || substr(c, 7, 2) AS hs_dotted, p_name AS description,
+            ['5', '7,5', '*', '5', '30', NULL][p_partkey % 6 + 1] AS rate, {_RATES.format("''")} AS rates FROM (SELECT *, {_CODE} AS c FROM part) z""",
+        "agreement_rows": f"SELECT p_partkey // {_GOODS} AS part, {_CODE} AS hs, p_name AS description, {_RATES.format("'8 6'")} AS rates, [1, 1, 1, 6, 30, 2][p_partkey % 6 + 1] AS n_rates FROM part",
+        "special_chapter": f"SELECT p_partkey // {_GOODS} AS part, '98' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS hs, true AS chapter98, CASE WHEN p_partkey % 2 = 0 THEN {_CODE} END AS corresponding, CAST(p_size AS VARCHAR) AS rate FROM part",
+        "fragmented_codes": f"SELECT p_partkey // {_GOODS} AS part, {_CODE} AS hs, CAST(p_size AS VARCHAR) AS rate FROM part",
+        "nomenclature": f"SELECT p_partkey // {_GOODS} AS part, {_CODE} AS hs, p_type AS heading, p_name AS description, p_type || ' › ' || p_brand || ' › ' || p_name AS path FROM part",
         "provision_tree": f"WITH {_LAW} SELECT document, ptype, key, parent_key, number, heading, md5(body) AS body_md5, path, citation_label FROM nodes",
         "provision_counts": f"WITH {_LAW} SELECT document, ptype, count(*) AS n, max(lines) AS n_lines FROM nodes JOIN (SELECT d AS document, 6 * count(*) + 2 * max(CAST(e AS INT)) + 4 * max(CAST(o AS INT)) AS lines FROM c GROUP BY 1) x USING (document) GROUP BY 1, 2",
         "tree_parents": "SELECT c_custkey + 1000 AS id, 'c' || c_custkey AS key, c_nationkey + 1 AS parent_id FROM customer UNION ALL SELECT n_nationkey + 1, 'n' || n_nationkey, NULL FROM nation",
@@ -247,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "message_filter": f"""WITH {_MENTION} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN stripped ELSE whole END AS message FROM w
             WHERE event_id % 7 <> 0 AND user_id % 3 < 2 AND (event_id % 2 = 1 OR r = 0) AND (event_id % 5 = 0 OR CASE WHEN event_id % 2 = 0 THEN stripped ELSE whole END <> '')""",
         "mention_strip": f"WITH {_MENTION} SELECT event_id, stripped AS message FROM w",
-        "keyword_residue": "SELECT p_partkey, lower(p_name || ' ' || p_brand) AS named, lower(p_name || ' ' || p_brand) || CASE WHEN p_partkey % 2 = 0 THEN ' trung quốc' ELSE ' china' END AS plain FROM part",
+        "keyword_residue": "SELECT p_partkey, lower(p_name || ' ' || p_brand) AS named, lower(p_name || ' ' || p_brand) || [' trung quốc', ' china', ' tàu'][p_partkey % 3 + 1] AS plain FROM part",
         "written_files": """WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS v FROM supplier), t AS (SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS total, count(v) AS named FROM s)
             SELECT form, n, total, CASE WHEN form = 'lines' THEN 0 ELSE named END AS named FROM t, (VALUES ('ndjson'), ('array'), ('lines'), ('facts [True, False]'), ('dimension')) f(form)""",
     }

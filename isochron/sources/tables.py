@@ -105,6 +105,14 @@ def emit_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
 
 
+def emit_arrays(df: DataFrame, path: str, rows: int = 10_000) -> None:
+    """Files that are one JSON array each, of about ``rows`` rows, dealt by their hash; nulls written out."""
+    files = F.lit(max(1, -(-df.count() // rows)))
+    dealt = df.select(F.struct("*").alias("__row")).withColumn("file", F.pmod(F.xxhash64("__row"), files))
+    arrays = dealt.groupBy("file").agg(F.to_json(F.collect_list("__row"), {"ignoreNullFields": "false"}).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("file").text(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder's path for files that are read again: in the shared folder of ``spark.checkpoint.dir``, or a local
     one where none is set and all tasks run on this machine."""
