@@ -38,11 +38,31 @@ def unescape(text: str) -> str:
 
 @dataclass
 class Flat:
-    """What a visit of one turn's parts gives: its marked text, attachment references in order, and expanded tokens."""
+    """What a visit of one turn's parts gives: its escaped text, attachment references in order, and expanded tokens.
+
+    Texts that follow each other are one run and escaped together, as a control string may be cut over several parts.
+    """
 
     pieces: list[str] = field(default_factory=list)
     references: list[tuple[int, str, str]] = field(default_factory=list)
     expanded: int = 0
+    run: list[str] = field(default_factory=list)
+
+    def add_text(self, text: str) -> None:
+        self.run.append(text)
+
+    def add_placeholder(self, mark: str) -> None:
+        self.close_run()
+        self.pieces.append(mark)
+
+    def close_run(self) -> None:
+        if self.run:
+            self.pieces.append(escape("".join(self.run)))
+            self.run.clear()
+
+    def body(self) -> str:
+        self.close_run()
+        return "".join(self.pieces)
 
 
 class PartVisitor:
@@ -62,14 +82,14 @@ class PartVisitor:
         return out
 
     def visit_text(self, part: dict, out: Flat) -> None:
-        out.pieces.append(escape(part.get("text") or ""))
+        out.add_text(part.get("text") or "")
 
     def visit_unknown(self, part: dict, out: Flat) -> None:
         """A part of another type keeps its text, so nothing is lost."""
         self.visit_text(part, out)
 
     def _attach(self, kind: str, part: dict, out: Flat) -> None:
-        out.pieces.append(PLACEHOLDERS[kind])
+        out.add_placeholder(PLACEHOLDERS[kind])
         out.references.append((len(out.references), kind, part.get("ref") or ""))
         out.expanded += part.get("tokens") if part.get("tokens") is not None else self.tokens[kind]
 
@@ -145,7 +165,7 @@ def _format(batches: Iterator[pa.RecordBatch], visitor: PartVisitor) -> Iterator
                     size = 0
             now, pieces, starts, ends, references, at, expanded = conv, [BEGIN], [], [], [], len(BEGIN), 0
         flat = visitor.visit(parts if parts is not None else [{"type": "text", "text": text}])
-        turn, start, end = marked(role or "", "".join(flat.pieces))
+        turn, start, end = marked(role or "", flat.body())
         if role == "assistant":
             starts.append(at + start)
             ends.append(at + end)

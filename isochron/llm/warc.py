@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isochron.llm.common import cut, fresh_path, texts
@@ -30,8 +31,18 @@ ARCHIVE_BYTES = 64 << 20
 _FLUSH = 8 << 20
 
 
+#: A declared length: ASCII digits, few enough to be one.
+_DIGITS = re.compile("[0-9]{1,15}")
+#: The type of a record that tells of damage found while converting.
+_DAMAGE = "text/x-damage"
+
+
 class BadArchive(ValueError):
-    """A header line or a declared length that doesn't fit the archive."""
+    """A header line or a declared length that doesn't fit the archive, or a member that can't be read, which begins at ``at``."""
+
+    def __init__(self, problem: str, at: int | None = None):
+        super().__init__(problem)
+        self.at = at
 
 
 def record_id(page_id: int) -> str:
@@ -79,7 +90,11 @@ class Arc:
 
 
 def parse_arc(archive: bytes, version: int | None = None) -> Iterator[Arc]:
-    """Records of an archive: each header line is read by the version the archive states, each payload by its declared length."""
+    """Records of an archive: each header line is read by the version the archive states, each payload by its declared length.
+
+    A header line's fields are told from its right end, as old archives have URLs with blanks. ``BadArchive`` is raised
+    where the archive can't be followed any further; the records before have been given by then.
+    """
     at = 0
     while at < len(archive):
         if archive[at : at + 1] == b"\n":
@@ -90,17 +105,20 @@ def parse_arc(archive: bytes, version: int | None = None) -> Iterator[Arc]:
             raise BadArchive("header line without an end")
         line = archive[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
         first = line[0].startswith("filedesc://")
-        if not line[-1].isdigit():
-            raise BadArchive("declared length")
+        if not _DIGITS.fullmatch(line[-1]):
+            raise BadArchive(f"declared length in the header line at byte {at}")
         size = int(line[-1])
         payload = archive[end + 1 : end + 1 + size]
         if len(payload) != size:
             raise BadArchive("payload shorter than declared")
         if first:
-            version = int(payload[:1]) if payload[:1].isdigit() else 1
+            version = int(payload[:1]) if _DIGITS.fullmatch(payload[:1].decode("ascii", "replace")) else 1
         names = ARC_FIELDS.get(version or 1)
-        if names is None or len(line) != len(names):
-            raise BadArchive(f"{len(line)} fields in a header line of version {version}")
+        if names is None or len(line) < len(names):
+            raise BadArchive(f"{len(line)} fields in the header line of version {version} at byte {at}")
+        if len(line) > len(names):
+            behind = len(names) - 1
+            line = [_field(" ".join(line[:-behind])), *line[-behind:]]
         at = end + 1 + size
         if not first:
             yield Arc(version or 1, dict(zip(names, line, strict=True)), payload)
@@ -142,6 +160,13 @@ def warc_record(arc: Arc, identifier: str, refers_to: str | None = None) -> byte
     return "\r\n".join(lines).encode() + END + END + block + END + END
 
 
+def damage_record(source: str, problem: str) -> bytes:
+    """A record that tells what was wrong with an archive that was converted, so that the damage is known where its records are."""
+    block = problem.encode()
+    lines = ["WARC/1.0", "WARC-Type: metadata", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source}#damage')}>", f"WARC-Target-URI: {_field(source)}", f"WARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Type: {_DAMAGE}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + END + END + block + END + END
+
+
 def warc_info() -> bytes:
     """The record that opens each archive and says what it holds."""
     block = b"software: isochron\r\nformat: WARC File Format 1.0\r\n"
@@ -172,9 +197,9 @@ def members(archive: bytes) -> Iterator[tuple[int, bytes]]:
                 parts.append(inflate.decompress(view[at : at + 65_536]))
                 at += 65_536
         except zlib.error as e:
-            raise BadArchive(f"gzip member at byte {start}: {e}") from e
+            raise BadArchive(f"gzip member at byte {start}: {e}", start) from e
         if not inflate.eof:
-            raise BadArchive(f"gzip member at byte {start} without an end")
+            raise BadArchive(f"gzip member at byte {start} without an end", start)
         at = min(at, len(archive)) - len(inflate.unused_data)
         yield start, b"".join(parts)
 
@@ -184,6 +209,17 @@ def unpacked(archive: bytes) -> bytes:
     return b"".join(content for _, content in members(archive))
 
 
+def readable(archive: bytes) -> tuple[bytes, str | None]:
+    """(content, problem): the content of the members before the first damaged one, and what is wrong with that."""
+    parts: list[bytes] = []
+    try:
+        for _, content in members(archive):
+            parts.append(content)
+    except BadArchive as e:
+        return b"".join(parts), str(e)
+    return b"".join(parts), None
+
+
 def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record, by declared lengths; text inside a block is never searched for headers."""
     at = 0
@@ -193,7 +229,7 @@ def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise BadArchive(f"no record at byte {at}")
         head = archive[at:split].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in head)}
-        if not fields.get("Content-Length", "").isdigit():
+        if not _DIGITS.fullmatch(fields.get("Content-Length", "")):
             raise BadArchive(f"record at byte {at}: its declared length")
         size = int(fields["Content-Length"])
         block = archive[split + 4 : split + 4 + size]
@@ -203,12 +239,17 @@ def parse_warc(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = split + 8 + size
 
 
+def _payload_key(html: Column) -> Column:
+    """The 256 bits by which payloads are equal; SHA-1, which can be made to collide, only stands in headers."""
+    return F.unhex(F.sha2(F.encode(F.coalesce(html, F.lit("")), "UTF-8"), 256))
+
+
 def references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages whose payload a larger page_id holds too; keyed by 20-byte digests."""
-    keyed = pages.select("page_id", F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes)).drop("size")
+    """(page_id, payload, refers_to) of the pages whose payload a larger page_id holds too; keyed by SHA-256 and size."""
+    keyed = pages.select("page_id", _payload_key(F.col("html")).alias("payload"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")).where(F.col("page_id").isNotNull() & (F.col("size") >= min_bytes))
     # Written once, so that the join below deals both sides anew and a payload that many pages share can be split.
-    winners = cut(keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where(F.col("refers_to") > F.col("least")).drop("least"))
-    return keyed.join(winners, "digest").where(F.col("page_id") != F.col("refers_to")).distinct()
+    winners = cut(keyed.groupBy("payload", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where(F.col("refers_to") > F.col("least")).drop("least"))
+    return keyed.join(winners, ["payload", "size"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "payload", "refers_to").distinct()
 
 
 def _archived(records: Iterator[bytes], limit: int) -> Iterator[pa.RecordBatch]:
@@ -255,9 +296,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: i
     separator is a zero byte, the last byte of each member, or for records of 16 MiB or more a byte of padding behind it,
     which readers of gzip skip.
     """
-    refs = references(pages, min_bytes).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
-    keyed = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("__own", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    joined = keyed.join(refs, (F.col("page_id") == F.col("__page")) & (F.col("__own") == F.col("__digest")), "left").select("page_id", "url", "html", "refers_to")
+    refs = references(pages, min_bytes).select(F.col("page_id").alias("__page"), F.col("payload").alias("__payload"), "refers_to")
+    keyed = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("__own", _payload_key(F.col("html")))
+    joined = keyed.join(refs, (F.col("page_id") == F.col("__page")) & (F.col("__own") == F.col("__payload")), "left").select("page_id", "url", "html", "refers_to")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
@@ -272,22 +313,29 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: i
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Convert whole ARC files (plain or gzip) to WARC archives; records are named by file and place.
 
-    Each file is read in one task, as its lengths chain its records; ARC files are about 100 MB by convention. A damaged
-    file raises ``BadArchive`` and fails the job: what follows a wrong length can't be told from a payload. An empty file
+    Each file is read in one task, as its lengths chain its records; ARC files are about 100 MB by convention. Of a damaged
+    file the records before the damage are converted, and a metadata record tells what was wrong, as what follows a wrong
+    length can't be told from a payload; ``read_warc`` shows it in ``error``. Other files are not held up. An empty file
     gives no records. Records keep their order within an archive, equal ones are all kept, and none is a revisit.
     """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
             for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                for i, arc in enumerate(parse_arc(unpacked(content))):
-                    yield warc_record(arc, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{i}')}>")
+                whole, problem = readable(content)
+                try:
+                    for i, arc in enumerate(parse_arc(whole)):
+                        yield warc_record(arc, f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path}#{i}')}>")
+                except BadArchive as e:
+                    problem = problem or str(e)
+                if problem:
+                    yield damage_record(path, problem)
 
     files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
     _save(files.mapInArrow(lambda batches: _archived(records(batches), archive_bytes), "archive int, place bigint, record string"), warc_path)
 
 
-READ_SCHEMA = "page_id bigint, record_id string, record_type string, target_uri string, date string, payload_bytes bigint, payload_digest string, refers_to bigint, block_digest string, read_digest string, file string, offset bigint"
+READ_SCHEMA = "page_id bigint, record_id string, record_type string, target_uri string, date string, payload_bytes bigint, payload_digest string, refers_to bigint, block_digest string, read_digest string, file string, offset bigint, error string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -296,25 +344,37 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     ``page_id`` and ``refers_to`` are null where an identifier isn't made from a page number. ``payload_digest`` is the
     declared one; ``block_digest`` and ``read_digest`` are computed from the block and the payload read, the latter null
     for revisits, whose payload lies elsewhere and whose ``payload_bytes`` is what their HTTP head declares. ``file`` and
-    ``offset`` tell where the record's gzip member begins, so that the table, once written, is an index. A damaged archive
-    raises ``BadArchive`` and fails the job.
+    ``offset`` tell where the record's gzip member begins, so that the table, once written, is an index. A record without
+    the fields of its type, or an archive that can't be followed any further, gives a row with ``error``, its file and
+    the offset of its member, and nulls; the records before stay. So does a record that tells of damage found in conversion.
     """
 
+    def row_of(fields: dict[str, str], block: bytes, path: str, offset: int) -> tuple:
+        kind = fields["WARC-Type"]
+        head, payload = split_http(block) or (b"", block)
+        ref, size = fields.get("WARC-Refers-To"), len(payload)
+        if kind == "revisit":
+            declared = [x.partition(b":")[2].strip().decode("ascii", "replace") for x in head.split(END) if x.lower().startswith(b"content-length:")]
+            size = int(declared[0]) if declared and _DIGITS.fullmatch(declared[0]) else None
+        error = block.decode("utf-8", "replace") if fields.get("Content-Type") == _DAMAGE else None
+        return (page_of(fields["WARC-Record-ID"]), fields["WARC-Record-ID"], kind, fields["WARC-Target-URI"], fields["WARC-Date"], size, fields.get("WARC-Payload-Digest", "").rpartition(":")[2] or None,
+                page_of(ref) if ref else None, base32_sha1(block), None if kind == "revisit" else base32_sha1(payload), path, offset, error)
+
     def rows_of(path: str, content: bytes) -> Iterator[tuple]:
-        for offset, unit in members(content):
-            for fields, block in parse_warc(unit):
-                kind = fields["WARC-Type"]
-                if kind == "warcinfo":
-                    continue
-                head, payload = split_http(block) or (b"", block)
-                ref, size = fields.get("WARC-Refers-To"), len(payload)
-                if kind == "revisit":
-                    declared = [x.partition(b":")[2].strip() for x in head.split(END) if x.lower().startswith(b"content-length:")]
-                    size = int(declared[0]) if declared and declared[0].isdigit() else None
-                yield (page_of(fields["WARC-Record-ID"]), fields["WARC-Record-ID"], kind, fields["WARC-Target-URI"], fields["WARC-Date"], size, fields["WARC-Payload-Digest"].rpartition(":")[2],
-                       page_of(ref) if ref else None, base32_sha1(block), None if kind == "revisit" else base32_sha1(payload), path, offset)
-
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+        offset = 0
+        bad = lambda problem, at: (*[None] * 10, path, at, str(problem))
+        try:
+            for offset, unit in members(content):
+                for fields, block in parse_warc(unit):
+                    if fields.get("WARC-Type") != "warcinfo":
+                        try:
+                            yield row_of(fields, block, path, offset)
+                        except (KeyError, ValueError) as e:
+                            yield bad(f"record without a readable {e}", offset)
+        except BadArchive as e:
+            yield bad(e, offset if e.at is None else e.at)
+
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,7 +48,7 @@ def test_members_stand_alone():
 
 def test_damaged_archives_are_told():
     good = warc.arc_preamble(1) + warc.arc_record(1, "u", b"payload")
-    for bad in (good[:-5], good[:-9], good.replace(b"text/html 7", b"text/html x"), b"no newline", good.replace(b"u 0.0.0.0", b"u")):
+    for bad in (good[:-5], good[:-9], good.replace(b"text/html 7", b"text/html x"), good.replace(b"text/html 7", "text/html ²".encode()), b"no newline", good.replace(b"u 0.0.0.0", b"u")):
         with pytest.raises(warc.BadArchive):
             list(warc.parse_arc(bad))
     with pytest.raises(warc.BadArchive):
@@ -117,3 +117,37 @@ def test_convert_arc_files(spark, tmp_path):
     got = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
     assert len(got) == 2 * len(TRICKY) == len({r["record_id"] for r in got}) and {r["page_id"] for r in got} == {None}
     assert sorted(r["block_digest"] for r in got) == sorted(warc.base32_sha1(t.encode()) for t in TRICKY * 2)
+
+
+def test_damaged_files_give_rows_and_hold_nothing_up(spark, tmp_path):
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    record = lambda i: warc.arc_record(1, f"http://h/{i}", b"payload")
+    good = warc.arc_preamble(1) + record(1) + record(2)
+    (folder / "good.arc").write_bytes(good)
+    (folder / "blank.arc").write_bytes(good.replace(b"http://h/2", b"http://h/a b  c"))
+    (folder / "length.arc").write_bytes(warc.arc_preamble(1) + record(3) + record(4).replace(b"text/html 7", "text/html ²".encode()) + record(5))
+    (folder / "short.arc").write_bytes(gzip.compress(good[:-3]))
+    (folder / "torn.arc").write_bytes(warc.member(warc.arc_preamble(1) + record(6)) + warc.member(record(7))[:-9])
+    warc.convert_arc(spark, f"file://{folder}", f"file://{tmp_path}/warc")
+    got = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    uris = sorted(r["target_uri"] for r in got if r["error"] is None)
+    assert uris == sorted([*["http://h/1"] * 3, "http://h/2", "http://h/a%20b%20%20c", "http://h/3", "http://h/6"])
+    told = {r["target_uri"].rpartition("/")[2]: r["error"] for r in got if r["error"] is not None}
+    assert sorted(told) == ["length.arc", "short.arc", "torn.arc"] and "length" in told["length.arc"] and "member" in told["torn.arc"]
+
+    other = tmp_path / "other"
+    other.mkdir()
+    whole = [warc.member(warc.warc_record(next(warc.parse_arc(good)), warc.record_id(i))) for i in range(3)]
+    (other / "part-0.warc").write_bytes(whole[0] + whole[1] + whole[2][:-9])
+    (other / "part-1.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: none\r\nContent-Length: 2\r\n\r\nab\r\n\r\n" + b"junk")
+    read = warc.read_warc(spark, f"file://{other}").collect()
+    assert sorted(r["page_id"] for r in read if r["error"] is None) == [0, 1]
+    assert sorted((r["file"][-6:], r["offset"]) for r in read if r["error"] is not None) == [("0.warc", len(whole[0]) + len(whole[1])), ("1.warc", 0), ("1.warc", 0)]
+
+
+def test_equal_payloads_are_told_by_sha256(spark):
+    """Of two texts with one SHA-1 neither would be lost: the key has nothing to do with the header's digest."""
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", None), (4, "u", "")], "page_id bigint, url string, html string")
+    found = sorted((r["page_id"], len(r["payload"]), r["refers_to"]) for r in warc.references(pages).collect())
+    assert found == [(1, 32, 2), (3, 32, 4)]
