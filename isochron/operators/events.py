@@ -39,9 +39,9 @@ FILLERS = ("nhập khẩu", "thuế suất", "hôm nay", "xuất xứ", "bao nhi
 EXPIRY_SECONDS = 30 * 60
 
 
-def normalised_events(raw: DataFrame) -> DataFrame:
+def normalised_events(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Verdict events ready to append, from hs, origin, day, schedule, verdict, staff, note, snapshot; ``problem`` names
-    what is wrong with a row that can't be recorded."""
+    what is wrong with a row that can't be recorded. Columns of ``keep`` stay as they are."""
     code, staff = text.bare_code(F.col("hs")), F.trim("staff")
     problem = (
         F.when(~F.coalesce(code.rlike(r"^\d{8}$"), F.lit(False)), "hs")
@@ -50,7 +50,7 @@ def normalised_events(raw: DataFrame) -> DataFrame:
         .when(F.coalesce(staff, F.lit("")) == "", "staff")
     )
     return raw.select(
-        code.alias("hs_code"), text.upper_or_null(F.col("origin")).alias("origin"), F.col("day").try_cast("date").alias("as_of_date"),
+        *keep, code.alias("hs_code"), text.upper_or_null(F.col("origin")).alias("origin"), F.col("day").try_cast("date").alias("as_of_date"),
         F.nullif(F.trim("schedule"), F.lit("")).alias("schedule"), "verdict", F.substring(staff, 1, 64).alias("staff_name"),
         F.nullif(F.substring(F.trim("note"), 1, 1000), F.lit("")).alias("note"), F.col("snapshot").alias("response_snapshot"), problem.alias("problem"),
     )
