@@ -28,6 +28,36 @@ def keyword_score(tokens: Column, terms: list[str]) -> Column:
     return hits / (1 + F.log(F.size(tokens).cast("double")))
 
 
+def cover_density(tokens: Column, groups: list[list[str]], weight: float = 0.1) -> Column:
+    """Cover density of a query in a text, over 1 + ln(length): ``groups`` all have to occur, each by any of its words.
+
+    A cover is a shortest stretch of the text with a word of every group: none within it is one. Each counts ``weight``
+    over 1 + the words in it that are none of the query's. With one group, a query of alternatives, each occurrence is a
+    cover of its own, and the value is ``keyword_score`` times the weight. No cover, or no groups, gives 0.
+
+    The words of the query are gone through once, with the last place of each group: a place that moves the earliest of
+    these on ends a cover that begins there.
+    """
+    n = len(groups)
+    size = 1 + F.log(F.size(tokens).cast("double"))
+    if not n or not all(groups):
+        return F.lit(0.0)
+    which = lambda t: F.filter(F.array(*[F.when(t.isin(*g), F.lit(i)) for i, g in enumerate(groups)]), lambda x: x.isNotNull())
+    marked = F.filter(F.transform(tokens, lambda t, i: F.struct(i.cast("int").alias("at"), which(t).alias("of"))), lambda x: F.size(x["of"]) > 0)
+    start = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("begun"), F.array().cast("array<struct<a: int, b: int>>").alias("covers"))
+
+    def step(s, x):
+        last = F.transform(s["last"], lambda old, i: F.when(F.array_contains(x["of"], i.cast("int")), x["at"]).otherwise(old))
+        first = F.array_min(last)
+        ends = (first >= 0) & (first > s["begun"])
+        return F.struct(last.alias("last"), F.when(ends, first).otherwise(s["begun"]).alias("begun"), F.when(ends, F.concat(s["covers"], F.array(F.struct(first.alias("a"), x["at"].alias("b"))))).otherwise(s["covers"]).alias("covers"))
+
+    covers = F.aggregate(marked, start, step)["covers"]
+    held = lambda c: F.size(F.filter(marked, lambda x: (x["at"] >= c["a"]) & (x["at"] <= c["b"])))
+    value = F.aggregate(covers, F.lit(0.0), lambda s, c: s + F.lit(weight) / (1 + (c["b"] - c["a"] + 1 - held(c))))
+    return F.coalesce(value / size, F.lit(0.0))
+
+
 def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first rows in an order, numbered from 1. The limit comes first, so only its rows meet in one window."""
     return df.orderBy(*order).limit(limit).withColumn("rk", F.row_number().over(Window.orderBy(*order)))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isochron.functions import text
-from isochron.operators.temporal import live, valid_at
+from isochron.operators.temporal import asof_spread, live, valid_at
 from isochron.sources.tables import TRADE_DIRECTIONS, ordinal
 
 #: Codes of the schedules that are not preferential.
@@ -182,10 +182,10 @@ def tally(cases: DataFrame, key: str, declared: Column, loaded: Column, toleranc
     return counted.withColumn("percent", F.round(100.0 * F.col("matched") / F.nullif(F.col("matched") + F.col("mismatched"), F.lit(0)), 1))
 
 
-def candidate_line(code: Column, mfn: Column, path: Column) -> Column:
+def candidate_line(code: Column, mfn: Column, path: Column, gap: str = " · ") -> Column:
     """A search result as one line: dotted code, MFN rate or a dash, and the last two crumbs of its path."""
     rate = F.coalesce(F.concat(text.show_percent(mfn), F.lit("%")), F.lit("—"))
-    return F.concat(F.lit("• "), text.dotted_code(code), F.lit(" · MFN "), F.when(mfn.isNull(), F.lit("—")).otherwise(rate), F.lit(" · "), text.path_tail(path))
+    return F.concat(F.lit("• "), text.dotted_code(code), F.lit(f"{gap}MFN "), F.when(mfn.isNull(), F.lit("—")).otherwise(rate), F.lit(gap), text.path_tail(path))
 
 
 def typed_rows(rows: DataFrame, quota: DataFrame) -> DataFrame:
@@ -201,3 +201,57 @@ def first_rows(rows: DataFrame, key: str, order: str, prefer: str | None = None)
     names = [c for c in rows.columns if c != key]
     rank = F.struct(*([F.col(prefer).isNull().alias("__none")] if prefer else []), F.col(order).alias("__order"), F.struct(*names).alias("__row"))
     return rows.groupBy(key).agg(F.min(rank)["__row"].alias("__row")).select(key, "__row.*")
+
+
+def checked_requests(requests: DataFrame) -> DataFrame:
+    """Requests (hs, day, origin) with the normalised ``code``, ``as_of`` and ``from_origin``, and ``problem``: what
+    ``check_query`` would refuse, hs before date, and days that no calendar has; null where it may be looked up."""
+    code = text.bare_code(F.col("hs"))
+    formed = F.coalesce(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    problem = F.when(~F.coalesce(code.rlike(r"^\d{8}$"), F.lit(False)), "hs").when(~formed | F.col("day").try_cast("date").isNull(), "date")
+    return requests.withColumns({"code": code, "as_of": F.when(formed, F.col("day").try_cast("date")), "from_origin": text.upper_or_null(F.col("origin")), "problem": problem})
+
+
+def request_outcomes(requests: DataFrame, rates: DataFrame, request_id: str) -> DataFrame:
+    """Each request with ``outcome``: its problem, ``not_found`` where no live rate is in force for its code and day (an
+    answer is never made up), or ``found`` with the number of rates."""
+    checked = checked_requests(requests)
+    asked = checked.where(F.col("problem").isNull()).select(request_id, F.col("code").alias("hs_code"), "as_of")
+    in_force = asof_spread(asked, rates.where(live()).select("hs_code", "effective_from", "effective_to"), ["hs_code"], "as_of", "effective_from", "effective_to")
+    counts = in_force.groupBy(request_id).agg(F.count(F.lit(1)).alias("n_rates"))
+    told = checked.join(counts, request_id, "left")
+    return told.withColumn("outcome", F.coalesce("problem", F.when(F.col("n_rates") > 0, "found"), F.lit("not_found"))).withColumn("n_rates", F.coalesce("n_rates", F.lit(0)).cast("bigint"))
+
+
+def ordered_rates(in_force: DataFrame) -> DataFrame:
+    """Rates in force with ``place`` among their code's: import before export, as the enum is declared, then by schedule."""
+    return in_force.withColumn("place", F.row_number().over(Window.partitionBy("hs_code").orderBy("__direction", "schedule", "id")))
+
+
+def candidate_messages(candidates: DataFrame, keyword: str, place: str, origin: str | None = None, first: int = 8) -> DataFrame:
+    """(keyword, n, message): the chat's answer to a search, a line for each of the first candidates and how many are left.
+
+    ``candidates`` has the keyword, hs_code, mfn, path and their place. Only the first rows of a keyword are put together.
+    """
+    order = Window.partitionBy(keyword).orderBy(place, "hs_code")
+    told = candidates.select(keyword, "hs_code", candidate_line(F.col("hs_code"), F.col("mfn"), F.col("path"), "  ·  ").alias("line"), F.row_number().over(order).alias("rn"))
+    counts = candidates.groupBy(keyword).agg(F.count(F.lit(1)).alias("n"))
+    shown = told.where(F.col("rn") <= first).groupBy(keyword).agg(F.array_sort(F.collect_list(F.struct("rn", "hs_code", "line"))).alias("rows"))
+    both = shown.join(counts, keyword)
+    head = F.concat(F.lit('🔎 "'), F.col(keyword).cast("string"), F.lit('"' + (f" · xuất xứ {origin}" if origin else "") + " — "), F.col("n").cast("string"), F.lit(" mã phù hợp. Nhắn MÃ" + ("" if origin else " kèm xuất xứ") + " để xem thuế đầy đủ:"))
+    more = F.when(F.col("n") > first, F.concat(F.lit("…và "), (F.col("n") - first).cast("string"), F.lit(" mã nữa — gõ cụ thể hơn để thu hẹp.")))
+    example = F.concat(F.lit('Ví dụ: "'), text.dotted_code(F.col("rows")[0]["hs_code"]), F.lit(f' {origin or "TQ"}".'))
+    return both.select(keyword, "n", F.concat_ws("\n", head, F.transform("rows", lambda r: r["line"]), more, example).alias("message"))
+
+
+def quoted(citations: DataFrame, answer: str, place: str, first: int = 3, cap: int = 480) -> DataFrame:
+    """(answer, quotes): the first citations of an answer as quoted lines, white space collapsed and long texts cut.
+
+    ``citations`` has label, body, effectiveness, effective_from and effective_to beside the answer and the place.
+    """
+    cut = text.ellipsis(text.collapse(F.coalesce("body", F.lit(""))), cap)
+    stale = F.when(F.col("effectiveness") != "con_hieu_luc", F.concat(F.lit(" ⚠️ "), "effectiveness"))
+    since = F.when(F.col("effective_from").isNotNull(), F.concat(F.lit(" · hiệu lực từ "), F.col("effective_from").cast("string"), F.coalesce(F.concat(F.lit("→"), F.col("effective_to").cast("string")), F.lit(""))))
+    line = F.concat(F.lit("📖 "), "label", F.coalesce(stale, F.lit("")), F.coalesce(since, F.lit("")), F.lit("\n“"), cut, F.lit("”"))
+    ranked = citations.withColumn("rn", F.row_number().over(Window.partitionBy(answer).orderBy(place))).where(F.col("rn") <= first)
+    return ranked.groupBy(answer).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", line.alias("line")))), lambda r: r["line"]), "\n").alias("quotes"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from isochron.functions import text
 from isochron.operators import events, integrity, parsers, postings, retrieval, tariff, temporal, vector_index
-from isochron.plans import gazette, lookups
+from isochron.plans import gazette, lookups, records
 from isochron.sources import documents as sources
 from isochron.sources.tables import ordinal, read_table, resolve, scratch, with_keys, written
 
@@ -649,9 +649,9 @@ def _own_sql() -> dict[str, str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query with its callable: those with SQL, and two recalls without."""
-    return {name: globals()[name] for name in _own_sql()} | {"recall_at_k_all_terms": recall_at_k_all_terms, "vector_recall": vector_recall} | lookups.queries() | gazette.queries()
+    return {name: globals()[name] for name in _own_sql()} | {"recall_at_k_all_terms": recall_at_k_all_terms, "vector_recall": vector_recall} | lookups.queries() | gazette.queries() | records.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries, by name."""
-    return _own_sql() | lookups.oracle_sql() | gazette.oracle_sql()
+    return _own_sql() | lookups.oracle_sql() | gazette.oracle_sql() | records.oracle_sql()

@@ -138,3 +138,30 @@ def test_words_with_marks_apart(spark):
     assert one(events.origin_in, apart("van nhật bản")) == "JP"
     for said, code, left in (("van từ tàu", "CN", "van"), ("giấy úc", "AU", "giấy"), ("thép hàn", "KR", "thép"), ("hàng đức", "DE", "hàng"), ("phúc lợi úc", "AU", "phúc lợi"), ("máy anh", "GB", "máy"), ("dây nhật", "JP", "dây"), ("van nhật bản", "JP", "van bản")):
         assert one(lambda m, code=code: events.keyword_in(m, F.lit(code)), said) == left
+
+
+def plain_density(tokens, groups, weight=0.1):
+    """By the definition: all stretches that hold every group and within which none does."""
+    import math
+
+    holds = lambda a, b: all(any(t in g for t in tokens[a : b + 1]) for g in groups)
+    covers = [(a, b) for a in range(len(tokens)) for b in range(a, len(tokens)) if holds(a, b) and not (b > a and (holds(a + 1, b) or holds(a, b - 1)))]
+    known = lambda a, b: sum(any(t in g for g in groups) for t in tokens[a : b + 1])
+    return sum(weight / (1 + (b - a + 1 - known(a, b))) for a, b in covers) / (1 + math.log(len(tokens))) if tokens and covers else 0.0
+
+
+def test_cover_density(spark):
+    rng = random.Random(4)
+    texts = [rng.choices("abcdefg", k=rng.randint(1, 25)) for _ in range(60)] + [[]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, tokens array<string>")
+    queries = ([["a"]], [["a", "b"]], [["a"], ["b"]], [["a"], ["b", "c"], ["d"]], [["a"], ["a", "b"]], [["zz"]], [["a"], ["zz"]], [])
+    got = df.select("i", *[retrieval.cover_density(F.col("tokens"), q).alias(f"q{k}") for k, q in enumerate(queries)]).orderBy("i").collect()
+    for r, t in zip(got, texts, strict=True):
+        for k, q in enumerate(queries):
+            assert r[f"q{k}"] == pytest.approx(plain_density(t, q) if q else 0.0), (t, q)
+    # Worked by hand: words 2 and 5 of ten, two others between them; then the pair side by side.
+    ten = spark.createDataFrame([(["x", "tax", "x", "x", "rate", *"xxxxx"],), (["tax", "rate", *"xxxxxxxx"],)], "tokens array<string>")
+    values = [r[0] for r in ten.select(retrieval.cover_density(F.col("tokens"), [["tax"], ["rate"]])).collect()]
+    assert values == [pytest.approx(0.1 / 3 / 3.302585), pytest.approx(0.1 / 3.302585)]
+    both = df.where(F.size("tokens") > 0).select(retrieval.cover_density(F.col("tokens"), [["a", "b"]]).alias("c"), (retrieval.keyword_score(F.col("tokens"), ["a", "b"]) * 0.1).alias("k"))
+    assert all(r["c"] == pytest.approx(r["k"]) for r in both.collect())
