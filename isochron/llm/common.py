@@ -65,6 +65,13 @@ def ranked_table(df: DataFrame, order: list[Column], name: str, label: str) -> D
     return written.join(F.broadcast(before), part == F.col("__part")).withColumn(name, F.col("__before") + within + 1).drop("__spot", "__part", "__before")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, made from ``name``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``stored`` wrote, once all that is made of it is written itself."""
     files = table.inputFiles()

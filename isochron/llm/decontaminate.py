@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isochron.llm.common import cut, stored
+from isochron.llm.common import cut, stored, unused
 
 WINDOW = 10
 #: Buckets of the filter that documents' words meet first: at most this many small rows are broadcast, whatever the benchmark's size.
@@ -110,6 +110,11 @@ def decontamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without any hit, with their own columns."""
-    bad = decontamination(docs.select("doc_id", "text"), items).where(F.col("n_hit") > 0).select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.xxhash64("text").eqNullSafe(F.col("__digest")), "left_anti")
+    """Documents without any hit, with their own columns, whatever their names.
+
+    Rows are told apart by id and text: of a repeated id only the texts with hits go, rows with a null id by their text.
+    A null text has no words and stays.
+    """
+    doc, digest = unused(docs, "__doc"), unused(docs, "__digest")
+    bad = decontamination(docs.select("doc_id", "text"), items).where(F.col("n_hit") > 0).select(F.col("doc").alias(doc), F.col("digest").alias(digest)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(digest)), "left_anti")

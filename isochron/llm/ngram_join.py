@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochron.llm import bloom, textkernel
-from isochron.llm.common import cut, discard, stored
+from isochron.llm.common import cut, discard, stored, unused
 from isochron.llm.components import components
 
 SHINGLE = 5
@@ -305,6 +305,26 @@ def _leaf_links(rows: DataFrame) -> DataFrame:
     return rows.repartition("hub", "leaf").sortWithinPartitions("hub", "leaf", "query", "doc").mapInArrow(_links, "a bigint, b bigint")
 
 
+def most_repeated(counts: DataFrame, limit: int) -> list[tuple[int, int]]:
+    """About the ``limit`` most repeated tokens of ``counts`` (token, times), and no more than come to the driver at once.
+
+    Counts are told apart in steps of a sixteenth of a power of two. How many tokens lie at each step, a few hundred
+    numbers, tells the step from which on all are taken, and the share by token of the step below; no task sees them all.
+    """
+    counted = stored(counts.withColumn("step", F.floor(F.log2("times") * 16).cast("int")), "counts")
+    taken, floor, share = 0, None, 0.0
+    for step, n in sorted(counted.groupBy("step").count().collect(), reverse=True):
+        if taken + n > limit:
+            floor, share = step, 0.9 * (limit - taken) / n
+            break
+        taken += n
+    some = F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < int(share * (1 << 20))
+    found = counted if floor is None else counted.where((F.col("step") > floor) | ((F.col("step") == floor) & some))
+    rows = [(r[0], r[1]) for r in found.select("token", "times").collect()]
+    discard(counted)
+    return rows
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = bloom.SLOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
@@ -327,7 +347,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tied = held.join(several, "doc", "left_semi")
     copied = cut(held.join(several, "doc", "left_anti"))
 
-    frequent = scanned.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
+    frequent = most_repeated(scanned.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")), FREQUENT)
     rarity = spark.sparkContext.broadcast(Rarity(np.array([r[0] for r in frequent] or [0], np.int64).view(np.uint64), np.array([r[1] for r in frequent] or [0], np.int64)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,5 +448,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The least id of each component, with the documents' own columns; rows repeated under one id stay together."""
-    kept = jaccard_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    name = unused(docs, "__id")
+    kept = jaccard_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

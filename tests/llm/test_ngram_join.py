@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isochron.llm import ngram_join, textkernel
 from tests.llm import brute
@@ -105,3 +106,14 @@ def test_names_of_words_are_distinct_and_depend_on_their_bytes_alone(length):
     for i in (0, len(words) // 2, len(words) - 1):
         alone = named.words(np.frombuffer(words[i], np.uint8), np.array([0]), np.array([len(words[i])]))
         assert (alone[0][0], alone[1][0]) == (a[i], b[i])
+
+
+def test_most_repeated_tokens_are_bounded(spark):
+    counts = spark.range(20_000).select(F.col("id").alias("token"), F.when(F.col("id") < 50, F.col("id") + 1000).when(F.col("id") < 9000, F.lit(40)).otherwise(F.lit(2)).cast("bigint").alias("times"))
+    every = {r["token"]: r["times"] for r in counts.collect()}
+    for limit in (10, 60, 5000, 9000, 50_000):
+        got = dict(ngram_join.most_repeated(counts, limit))
+        assert len(got) <= 1.3 * limit and all(every[t] == n for t, n in got.items())
+        assert limit < 60 or set(range(50)) <= set(got)
+        assert len(got) >= 0.5 * min(limit, len(every))
+    assert ngram_join.most_repeated(counts.limit(0), 10) == []
