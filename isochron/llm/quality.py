@@ -10,26 +10,21 @@ import zstandard
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from isochron.llm.common import texts
+from isochron.llm.common import texts, unused
 
-#: Bounds of what is fitted on: labelled documents drawn for each label, characters of each (from its middle), bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 4000, 110_000
+#: Bounds of what is fitted on: labelled documents drawn for each label, with their whole texts, and bytes of a dictionary.
+SAMPLE_DOCS, DICTIONARY_BYTES = 1500, 110_000
 #: Compression level, bytes that are compressed at a time, and bytes of the pieces that dictionaries are trained on. Parts are
 #: short so that a text's likeness to the dictionaries counts and not its likeness to itself.
 LEVEL, PART, PIECE = 3, 120, 300
 
 
-def _excerpt(column, n: int):
-    """n characters from the middle: fitting material only, scores always see whole texts."""
-    return F.when(F.length(column) <= n, column).otherwise(F.substring(column, ((F.length(column) - n) / 2).cast("int"), F.lit(n)))
-
-
-def draw(docs: DataFrame, labels: DataFrame, sample_docs: int, sample_chars: int) -> list[Row]:
+def draw(docs: DataFrame, labels: DataFrame, sample_docs: int) -> list[Row]:
     """At most ``sample_docs`` rows of each label, chosen by a hash of the id; labels with crc32(id) mod 4 = 2 are never read."""
     usable = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__most")).where(F.col("quality") == F.col("__most")).drop("__most")
     drawn = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for q in (0, 1)]
     ids = drawn[0].unionByName(drawn[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", _excerpt(F.coalesce("text", F.lit("")), sample_chars).alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
     return sorted(rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
 
 
@@ -93,12 +88,12 @@ def dictionary(bodies: list[bytes], limit: int) -> bytes:
         return b"\n".join(pieces)[:limit] or b" " * 8
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> CompressionModel:
     """Fit on the bounded draw: a third of it trains the dictionaries, the others calibrate the curve.
 
     With no usable label, or one label only, the curve is flat or nearly so.
     """
-    rows = [(r["quality"], r["text"].encode("utf-8", "surrogatepass")) for r in draw(docs, labels, sample_docs, sample_chars)]
+    rows = [(r["quality"], r["text"].encode("utf-8", "surrogatepass")) for r in draw(docs, labels, sample_docs)]
     bodies = {q: [t for k, t in rows if k == q] for q in (0, 1)}
     model = CompressionModel(*(dictionary(bodies[q][::3], DICTIONARY_BYTES) for q in (1, 0)))
     rest = [(q, t) for q in (0, 1) for i, t in enumerate(bodies[q]) if i % 3]
@@ -113,15 +108,15 @@ def score_batches(model, batches: Iterator[pa.RecordBatch], text_col: str) -> It
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(found), pa.float64())], names=[*b.schema.names, "__score"])
 
 
-def score(docs: DataFrame, model: CompressionModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``__score``, 0 to 1, of the whole text (null: empty); equal texts score alike."""
+def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", name: str = "__score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``, 0 to 1, of the whole text (null: empty); equal texts score alike."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     at = f"c{names.index(text_col)}"
     schema = ", ".join(f"c{i} {docs.schema[i].dataType.simpleString()}" for i in range(len(names)))
     out = wide.mapInArrow(lambda batches: score_batches(sent.value, batches, at), f"{schema}, __score double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "__score")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("__score").alias(name))
 
 
 THRESHOLD = 0.7
@@ -138,5 +133,9 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least ``threshold``, with their own columns."""
-    return score(docs, fit(docs, labels)).where(F.col("__score") >= threshold).drop("__score")
+    """The documents that score at least ``threshold``, with their own columns, whatever their names.
+
+    Each row is kept or not by its own text: null texts go as empty ones do, repeated ids and null ids are rows like others.
+    """
+    name = unused(docs, "__score")
+    return score(docs, fit(docs, labels), name=name).where(F.col(name) >= threshold).drop(name)

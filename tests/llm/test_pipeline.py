@@ -45,3 +45,16 @@ def test_stages_take_odd_documents(spark, sf):
 
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "SentencePiece encoding"]
+
+
+def test_columns_named_like_helpers(spark, sf):
+    """A stage keeps the columns of its documents also where they are named like what it works with."""
+    from isochron.llm import decontaminate, ngram_join, quality
+
+    words = " ".join(f"w{i}" for i in range(30))
+    names = ["__score", "__id", "__doc", "__digest", "n", "c0"]
+    docs = spark.createDataFrame([(1, words, *names), (2, words, *names), (3, "other " * 9, *names), (None, None, *names)], "doc_id bigint, text string, __score string, __id string, __doc string, __digest string, n string, c0 string")
+    items = spark.createDataFrame([(1, words)], "item_id bigint, text string")
+    for done, want in ((ngram_join.keep_one(docs), {1, 3, None}), (decontaminate.drop_contaminated(docs, items), {3, None}), (quality.keep_good(docs, spark.read.parquet(f"{sf}/labels.parquet"), 0.0), {1, 2, 3, None})):
+        assert done.columns == docs.columns
+        assert {r["doc_id"] for r in done.collect()} == want and {r["__id"] for r in done.collect()} == {"__id"}
