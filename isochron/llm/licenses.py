@@ -31,6 +31,17 @@ TEMPLATES = {
         "Apache License Version 2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
+    "artistic": (
+        "The Artistic License 2.0",
+        "SPDX-License-Identifier: Artistic-2.0",
+        "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    ),
+    "boost": (
+        "Boost Software License Version 1.0",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD License.",
@@ -38,17 +49,32 @@ TEMPLATES = {
         "BSD 3-Clause License",
         "BSD 2-Clause License",
     ),
+    "busl": (
+        "Business Source License 1.1",
+        "SPDX-License-Identifier: BUSL-1.1",
+        "The Licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the Licensed Work.",
+    ),
     "cc": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
         "SPDX-License-Identifier: CC-BY-4.0",
     ),
+    "cc0": (
+        "CC0 1.0 Universal",
+        "SPDX-License-Identifier: CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
     "epl": (
         "Eclipse Public License Version 2.0",
         "SPDX-License-Identifier: EPL-2.0",
         "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     ),
+    "gfdl": (
+        "GNU Free Documentation License Version 1.3",
+        "SPDX-License-Identifier: GFDL-1.3-or-later",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License.",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
@@ -84,6 +110,25 @@ TEMPLATES = {
         "All rights reserved.",
         "Proprietary and confidential. Unauthorised copying of this file is strictly prohibited.",
     ),
+    "sspl": (
+        "Server Side Public License VERSION 1",
+        "SPDX-License-Identifier: SSPL-1.0",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "wtfpl": (
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2",
+        "SPDX-License-Identifier: WTFPL",
+    ),
+    "zlib": (
+        "The zlib/libpng License",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+        "SPDX-License-Identifier: Zlib",
+    ),
 }
 UNKNOWN = "unknown"
 FAMILIES = (UNKNOWN, *TEMPLATES)

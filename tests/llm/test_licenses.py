@@ -161,7 +161,29 @@ copyright notice and this permission notice appear in all copies.""",
 under the terms of the Eclipse Public License 2.0 which is available at
 https://www.eclipse.org/legal/epl-2.0/""",
 }
-TITLES = {"mit": "MIT License", "gpl": "GNU GENERAL PUBLIC LICENSE", "apache": "Apache License\nVersion 2.0, January 2004", "bsd": "BSD 3-Clause License", "mpl": "Mozilla Public License Version 2.0", "isc": "ISC License", "epl": "Eclipse Public License - v 2.0", "lgpl": "GNU LESSER GENERAL PUBLIC LICENSE", "agpl": "GNU AFFERO GENERAL PUBLIC LICENSE"}
+WRAPPED |= {
+    "boost": """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:""",
+    "zlib": """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.""",
+    "unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+    "cc0": """To the extent possible under law, the person who associated CC0 with this work has
+waived all copyright and related or neighboring rights to this work.""",
+    "gfdl": """Permission is granted to copy, distribute and/or modify this document
+under the terms of the GNU Free Documentation License, Version 1.3
+or any later version published by the Free Software Foundation;""",
+}
+TITLES = {"mit": "MIT License", "gpl": "GNU GENERAL PUBLIC LICENSE", "apache": "Apache License\nVersion 2.0, January 2004", "bsd": "BSD 3-Clause License", "mpl": "Mozilla Public License Version 2.0", "isc": "ISC License", "epl": "Eclipse Public License - v 2.0", "lgpl": "GNU LESSER GENERAL PUBLIC LICENSE", "agpl": "GNU AFFERO GENERAL PUBLIC LICENSE", "boost": "Boost Software License - Version 1.0 - August 17th, 2003", "busl": "Business Source License 1.1", "cc0": "CC0 1.0 Universal", "gfdl": "GNU Free Documentation License", "sspl": "Server Side Public License\nVERSION 1, OCTOBER 16, 2018", "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n        Version 2, December 2004", "artistic": "The Artistic License 2.0"}
 
 
 @pytest.mark.parametrize("text", [WRAPPED, TITLES, {k: v.replace("\n", "\r\n") for k, v in WRAPPED.items()}], ids=["wrapped", "titles", "crlf"])
