@@ -130,13 +130,14 @@ def answers(in_force: DataFrame, goods: DataFrame, duties: DataFrame, origin: st
 
 
 def lookup(rates: DataFrame, schedules: DataFrame, annexes: DataFrame, decrees: DataFrame, goods: DataFrame, duties: DataFrame, hs: str, day: str, origin: str | None = None) -> DataFrame:
-    """The answer for one code on one day; RateNotFound if nothing is in force."""
+    """The answer for one code on one day; RateNotFound if nothing is in force. It runs here and once, as its one row tells."""
     code, day, origin = check_query(hs, day, origin)
     only = lambda df: df.where(F.col("hs_code") == code)
     found = answers(rates_in_force(only(rates), schedules, annexes, decrees, day), only(goods), only(duties), origin, day)
-    if found.isEmpty():
+    rows = found.collect()
+    if not rows:
         raise RateNotFound(f"no rate for {code} on {day}")
-    return found
+    return found.sparkSession.createDataFrame(rows, found.schema)
 
 
 def current_mfn(rates: DataFrame, schedules: DataFrame, day: str) -> DataFrame:
