@@ -294,28 +294,31 @@ def walk(nodes: DataFrame, key: str = "key", parent_key: str = "parent_key", nam
 
     Pointers double: each node holds an ancestor and the names from below it down to itself, and in each round takes over
     its ancestor's ancestor and names, so a tree of depth d needs log2(d) rounds. A round is a written table, and it ends
-    when no pointer moves. Nodes below a missing parent or on a cycle end without a root and are left out (``unrooted``
-    tells them). Keys are unique and not null.
+    when no pointer moves. Nodes below a missing parent or on a cycle have no root and are left out (``unrooted`` tells
+    them) before names are gathered, as those on a cycle would gather them without end. Keys are unique and not null.
     """
-    return _doubled(nodes, key, parent_key, name).where(F.col("up").isNull()).select("key", "path", "depth")
+    loose = unrooted(nodes, key, parent_key).select(F.col("key").alias("__loose"))
+    rooted = nodes.join(loose, F.col(key) == F.col("__loose"), "left_anti")
+    return _doubled(rooted, key, parent_key, F.coalesce(F.col(name).cast("string"), F.lit(""))).where(F.col("up").isNull()).select("key", "path", "depth")
 
 
 def unrooted(nodes: DataFrame, key: str = "key", parent_key: str = "parent_key") -> DataFrame:
     """(key, problem): nodes that no root reaches, as a ``parent`` is missing above them or they hang on a ``cycle``."""
-    left = _doubled(nodes.withColumn("__name", F.lit("")), key, parent_key, "__name").where(F.col("up").isNotNull())
+    left = _doubled(nodes, key, parent_key).where(F.col("up").isNotNull())
     return left.select("key", F.when(F.col("ends"), "parent").otherwise("cycle").alias("problem"))
 
 
-def _doubled(nodes: DataFrame, key: str, parent_key: str, name: str) -> DataFrame:
+def _doubled(nodes: DataFrame, key: str, parent_key: str, name: Column | None = None) -> DataFrame:
     """(key, up, path, depth, ends): ``up`` is null where the root was reached, else the last ancestor found; ``ends`` where that one is missing.
 
-    Depths double with each round as long as pointers move, so a depth beyond the number of nodes tells a cycle.
+    Depths double with each round as long as pointers move, so a depth beyond the number of nodes tells a cycle. Without
+    a ``name`` there is no path. Ancestors are never broadcast: a written table is much smaller than its rows in memory.
     """
-    now = written(nodes.select(F.col(key).alias("key"), F.col(parent_key).alias("up"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("path"), F.col(parent_key).isNotNull().cast("bigint").alias("depth"), F.lit(False).alias("ends")))
+    now = written(nodes.select(F.col(key).alias("key"), F.col(parent_key).alias("up"), (F.lit(None).cast("string") if name is None else name).alias("path"), F.col(parent_key).isNotNull().cast("bigint").alias("depth"), F.lit(False).alias("ends")))
     most = now.count()
     while not now.where(F.col("up").isNotNull() & ~F.col("ends") & (F.col("depth") <= most)).isEmpty():
         above = now.select(F.col("key").alias("__key"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("depth").alias("__depth"), F.col("ends").alias("__ends"))
-        moved = now.where(F.col("up").isNotNull() & ~F.col("ends")).join(above, F.col("up") == F.col("__key"), "left")
+        moved = now.where(F.col("up").isNotNull() & ~F.col("ends")).join(above.hint("merge"), F.col("up") == F.col("__key"), "left")
         found = F.col("__key").isNotNull()
         stepped = moved.select(
             "key", F.when(found, F.col("__up")).otherwise(F.col("up")).alias("up"), F.when(found & (F.col("depth") <= most), F.concat("__path", F.lit(CRUMB), "path")).otherwise(F.col("path")).alias("path"),

@@ -158,3 +158,19 @@ def test_asof_joins_of_a_hot_key(spark):
     want = rows_of(temporal.asof_join(events, overlapping, ["k"], "day", "f", "t").select("k", "id", "day", "f", "t", "pct"))
     for span in (1, 30, 5000):
         assert rows_of(temporal.asof_spread(events, overlapping, ["k"], "day", "f", "t", span).select("k", "id", "day", "f", "t", "pct")) == want
+
+
+def test_cycles_gather_no_names(spark, monkeypatch):
+    """No row of a round grows with the number of nodes that hang on a cycle."""
+    widest = []
+
+    def told(df, plain=parsers.written):
+        out = plain(df)
+        widest.append(out.agg(F.max(F.length(F.coalesce("path", F.lit(""))))).first()[0])
+        return out
+
+    monkeypatch.setattr(parsers, "written", told)
+    nodes = spark.range(1000).select(F.concat(F.lit("c"), "id").alias("key"), F.lit("a").alias("parent_key"), F.lit("c").alias("name")).unionByName(spark.createDataFrame([("a", "b", "x"), ("b", "a", "y"), ("r", None, "r"), ("s", "r", "s")], "key string, parent_key string, name string"))
+    assert parsers.unrooted(nodes).where("problem = 'cycle'").count() == 1002
+    assert {tuple(r) for r in parsers.walk(nodes).collect()} == {("r", "r", 0), ("s", "r › s", 1)}
+    assert max(x or 0 for x in widest) <= 5
