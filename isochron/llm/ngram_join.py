@@ -338,7 +338,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     secret = os.urandom(64)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     scanned = stored(rows.mapInArrow(lambda batches: _signatures(batches, secret), _SIGNATURE), "signatures")
-    sizes = scanned.where(F.col("n").isNotNull()).select("doc", "n", "print", "second")
+    sizes = cut(scanned.where(F.col("n").isNotNull()).select("doc", "n", "print", "second"))
     known = sizes.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = cut(known.groupBy("print", "second").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).drop("__n"))
     held = known.join(classes, ["print", "second"]).where(F.col("doc") != F.col("rep")).select("doc", "rep").distinct()
@@ -401,6 +401,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points = scanned.where(F.col("n") > 0).groupBy("doc", "print", "second").agg(F.min("point").alias("point")).drop("print", "second")
     near = rough.where(F.col("leaves") == 1).join(points, "doc").select("hub", "doc", "point").repartition("hub").sortWithinPartitions("hub", "doc").mapInArrow(_candidates, "hub bigint, doc bigint")
     blocks = cut(near.unionByName(rough.where(F.col("leaves") > 1).select("hub", "doc")).distinct())
+    for done in (scanned, hubs, pairs, rough):
+        discard(done)
     leafed = cut(in_leaves(blocks))
 
     wanted_slots = bloom.sized(blocks.count(), n_slots)
@@ -438,7 +440,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         outside = rooted.join(largest, "hub").where(F.col("root") != F.col("__largest")).select("hub", "doc", "root")
         queries = outside.join(spread.select("hub", "leaf").distinct(), "hub").select("hub", "leaf", "doc", "root", F.lit(True).alias("query"))
         both = rooted.select("hub", "leaf", "doc", "root", F.lit(False).alias("query")).unionByName(queries)
-        links = first.unionByName(_leaf_links(both.join(sets, "doc").select("hub", "leaf", "doc", "root", "query", "body")))
+        links = cut(first.unionByName(_leaf_links(both.join(sets, "doc").select("hub", "leaf", "doc", "root", "query", "body"))))
+    discard(scans)
 
     roots = cut(components(links.unionByName(tied.select(F.col("doc").alias("a"), F.col("rep").alias("b")))))
     by_class = sizes.join(copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep")), F.col("doc") == F.col("__doc"), "left").select("doc", "n", F.coalesce("__rep", "doc").alias("__rep"))
