@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ LEAST_BITS, MOST_BITS = 4, 14
 #: Tokens of the table that orders by rarity; others count as rarer, in the order of their hashes. The order only steers cost.
 FREQUENT = 1 << 17
 _FLUSH = 1 << 22
+#: Slices of the tokens by value, one after the other, of which the hubs are told.
+SLICES = 4
 
 
 #: A document's set: both halves of its shingles' names, distinct and sorted by the first.
@@ -369,7 +372,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(prefixes, "token bigint, doc bigint"), "tokens")
     # The hub of a token is its least document. Hubs are aggregated in part before they shuffle and written once, and only
     # tokens of several documents are joined with them, so that the join can be split on a token that very many hold.
-    hubs = cut(tokens.groupBy("token").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("token", "hub"))
+    # Nearly all tokens are met once; they are told in slices, so that no more than a share of them lies in shuffle files.
+    told = [cut(tokens.where(F.pmod("token", F.lit(SLICES)) == i).groupBy("token").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("token", "hub")) for i in range(SLICES)]
+    hubs = reduce(DataFrame.unionByName, told)
     slots = bloom.sized(hubs.count(), n_slots)
     met = spark.sparkContext.broadcast(bloom.of_longs(hubs, "token", slots))
 
@@ -401,7 +406,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points = scanned.where(F.col("n") > 0).groupBy("doc", "print", "second").agg(F.min("point").alias("point")).drop("print", "second")
     near = rough.where(F.col("leaves") == 1).join(points, "doc").select("hub", "doc", "point").repartition("hub").sortWithinPartitions("hub", "doc").mapInArrow(_candidates, "hub bigint, doc bigint")
     blocks = cut(near.unionByName(rough.where(F.col("leaves") > 1).select("hub", "doc")).distinct())
-    for done in (scanned, hubs, pairs, rough):
+    for done in (scanned, *told, pairs, rough):
         discard(done)
     leafed = cut(in_leaves(blocks))
 
