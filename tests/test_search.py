@@ -165,3 +165,21 @@ def test_cover_density(spark):
     assert values == [pytest.approx(0.1 / 3 / 3.302585), pytest.approx(0.1 / 3.302585)]
     both = df.where(F.size("tokens") > 0).select(retrieval.cover_density(F.col("tokens"), [["a", "b"]]).alias("c"), (retrieval.keyword_score(F.col("tokens"), ["a", "b"]) * 0.1).alias("k"))
     assert all(r["c"] == pytest.approx(r["k"]) for r in both.collect())
+
+
+def test_search_for_many_in_small_bins(spark, tmp_path, monkeypatch):
+    """Bins of a few cells, or of a cell's parts: a question sees the rows of the cells it reads and no others."""
+    for name, n in (("_ROWS", 200), ("_QUESTIONS", 40), ("_ROWS_AT_ONCE", 64), ("_QUESTIONS_AT_ONCE", 7)):
+        monkeypatch.setattr(vector_index, name, n)
+    vectors, x = made_vectors(spark, 1200)
+    index = vector_index.write_index(vectors, str(tmp_path / "v"), cells=9)
+    asked = vectors.where(F.col("pid") % 20 == 0).select(F.col("pid").alias("question"), F.col("embedding").alias("asked"))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cell = (x @ index.centroids.T).argmax(axis=1)
+    for probes in (2, len(index.centroids)):
+        got = {}
+        for r in vector_index.search_many(index, asked, "question", "asked", probes=probes, limit=10).collect():
+            got.setdefault(r["question"], []).append((r["rk"], r["pid"]))
+        for q in range(0, 1200, 20):
+            dist = np.where(np.isin(cell, index.nearest_cells(x[q].tolist(), probes)), np.round(1 - unit @ unit[q], 9), np.inf)
+            assert [p for _, p in sorted(got[q])] == np.lexsort((np.arange(1200), dist))[:10].tolist()
