@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -174,30 +175,39 @@ def typed_chunks(spark, d):
     return made.groupBy("lang", F.typeof("embedding").alias("vector_type"), F.typeof("tokens").alias("words_type")).agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("n_vectors"), F.sum(F.size("tokens")).alias("n_words"))
 
 
-def _streamed(spark, df: DataFrame, folder: str, column: str, cuts: int = 3):
-    """A stream of ``df`` in files of about equal stretches of ``column``, one a batch, the least first."""
+def _arriving(df: DataFrame, folder: str, column: str, last: DataFrame | None = None, cuts: int = 3) -> Iterator[DataFrame]:
+    """A stream of ``df`` each time that one of about equal stretches of ``column`` has come, the least first, ``last`` with
+    the last of them. A run finds its files new, and they are one batch; all tasks write and read them."""
+    spark = df.sparkSession
     lo, hi = df.agg(F.min(column), F.max(column)).first()
     span = (hi - lo) / cuts
     for i in range(cuts):
         from_, to = lo + span * i, lo + span * (i + 1)
         part = df.where((F.col(column) >= F.lit(from_)) & ((F.col(column) < F.lit(to)) | F.lit(i == cuts - 1)))
-        part.coalesce(1).write.parquet(f"{folder}/{i}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+        (part if last is None or i < cuts - 1 else part.unionByName(last)).write.parquet(f"{folder}/{i}")
+        yield spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(folder)
 
 
-def streamed_priors(spark, d):
-    """The last lookup before each event, from a stream, in event order; a last row moves the watermark behind all others."""
-    folder = scratch(spark)
-    log = read_table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", F.col("event_id")).alias("lookup"))
-    stream = _streamed(spark, log, f"{folder}/in", "ts")
-    spark.createDataFrame([(-1, -1, "2200-01-01", None)], "event_id bigint, user_id bigint, ts string, lookup bigint").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{folder}/in/end")
+@contextmanager
+def _state_on_disk(spark) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB."""
     before = spark.conf.get(priors.STATE_STORE[0])
     spark.conf.set(*priors.STATE_STORE)
     try:
-        told = priors.streaming_priors(stream, "user_id", "ts", "event_id", "lookup", "1 hour", 24 * 3600)
-        told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        yield
     finally:
         spark.conf.set(priors.STATE_STORE[0], before)
+
+
+def streamed_priors(spark, d):
+    """The last lookup before each event, from a stream, in event order; a last row moves the watermark behind all others."""
+    folder = scratch(spark)
+    log = read_table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "view", F.col("event_id")).alias("lookup"))
+    end = spark.createDataFrame([(-1, -1, "2200-01-01", None)], "event_id bigint, user_id bigint, ts string, lookup bigint").withColumn("ts", F.col("ts").cast("timestamp"))
+    with _state_on_disk(spark):
+        for stream in _arriving(log, f"{folder}/in", "ts", end):
+            told = priors.streaming_priors(stream, "user_id", "ts", "event_id", "lookup", "1 hour", 24 * 3600)
+            told.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id bigint, event_id bigint, ts timestamp, prior bigint").parquet(f"{folder}/out").select("event_id", "user_id", "prior")
 
 
@@ -210,10 +220,10 @@ def streamed_log(spark, d):
         i.alias("message_id"), F.col("ts").cast("timestamp").alias("at"), F.when(i % 7 == 0, "bot").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("sender"), F.lit("t").alias("thread"), F.lit(False).alias("is_group"), said.alias("message"),
         F.lit(None).cast("array<struct<uid: string, pos: int, len: int>>").alias("mentions"), F.lit(False).alias("has_image"), F.lit("2024-06-01").alias("day"), F.when(i % 4 != 0, "01012100").alias("prior_code"), F.lit(None).cast("string").alias("prior_day"),
     )
-    stream = _streamed(spark, messages.unionByName(messages.where(i % 3 == 0)), f"{folder}/in", "at")
-    run = lambda: ingest.ingest(stream, f"{folder}/log", f"{folder}/state", "message_id", "at", lambda b: ingest.chat_log(b, "bot"), "2 days").awaitTermination()
-    run()
-    run()
+    with _state_on_disk(spark):
+        for stream in _arriving(messages.unionByName(messages.where(i % 3 == 0)), f"{folder}/in", "at"):
+            for _ in range(2):
+                ingest.ingest(stream, f"{folder}/log", f"{folder}/state", "message_id", "at", lambda b: ingest.chat_log(b, "bot"), "2 days").awaitTermination()
     kinds = [ingest.read_log(spark, f"{folder}/log", o).withColumn("outcome", F.lit(o)) for o in ("accepted", "rejected")]
     return kinds[0].unionByName(kinds[1]).groupBy("outcome", "problem", "verdict", "next_code", "note").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("message_id").alias("n_messages"))
 

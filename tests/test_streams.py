@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isochron.operators import events
+from isochron.plans import records
 from isochron.streaming import ingest, priors
 
 
@@ -36,6 +37,32 @@ def test_priors_equal_the_batch_form_in_event_order(rocks, tmp_path):
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
 
 
+@pytest.mark.parametrize("slices", [1, 7])
+def test_priors_of_words_at_edges_are_one_aggregation(rocks, tmp_path, slices):
+    # Lookups are words; rows lie at one moment, exactly as far as a lookup lasts, and a microsecond more.
+    spark, at = rocks, [0, 0, 1, 599_999_999, 600_000_000, 600_000_001, 600_000_001, 1_200_000_002, 1_500_000_000, -1, -600_000_001, 9_000_000_000]
+    log = spark.createDataFrame([(i, u, t, f"w{i}" if (i + u) % 3 == 0 else None) for u in range(6) for i, t in enumerate(at)], "key bigint, id bigint, rows bigint, stretch string").withColumn("rows", F.timestamp_micros(F.col("rows") + 1_700_000_400_000_000))
+    for i in range(2):
+        log.where(F.col("key") % 2 == i).write.parquet(str(tmp_path / "in" / str(i)))
+    spark.createDataFrame([(-1, -1, None)], "key bigint, id bigint, stretch string").select("key", "id", F.timestamp_micros(F.lit(1_800_000_000_000_000)).alias("rows"), "stretch").write.parquet(str(tmp_path / "in" / "end"))
+    stream = spark.readStream.schema(log.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = priors.streaming_priors(stream, "id", "rows", "key", "stretch", "1 day", 600, slices=slices).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = events.last_lookup(log, "id", "rows", "key", F.col("stretch"), 600).select("id", "key", "rows", "prior")
+    assert rows_of(spark.read.parquet(str(tmp_path / "out")).select("id", "key", "rows", "prior")) == rows_of(want) and want.where("prior is not null").count() > 10
+    # A call of a Python processor for each key and batch took most of the time.
+    assert query.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave"
+
+
+def test_stretches_of_a_stream_are_written_by_all_tasks(spark, tmp_path):
+    df = spark.range(900, numPartitions=3).select((F.col("id") % 300).alias("id"))
+    for i, stream in enumerate(records._arriving(df, str(tmp_path / "in"), "id", spark.createDataFrame([(999,)], "id bigint"))):
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        assert len(list((tmp_path / "in" / str(i)).glob("*.parquet"))) >= 3
+        got = rows_of(spark.read.parquet(str(tmp_path / "out")))
+        assert len(got) == [300, 600, 901][i] and ((999,) in got) == (i == 2)
+
+
 def messages(spark, rows):
     return spark.createDataFrame(rows, "message_id bigint, at string, sender string, thread string, is_group boolean, message string, mentions array<struct<uid: string, pos: int, len: int>>, has_image boolean, day string, prior_code string, prior_day string").withColumn("at", F.col("at").cast("timestamp"))
 
