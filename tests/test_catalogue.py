@@ -60,6 +60,31 @@ def test_recall_reads_every_term(spark, sf):
     assert (whole["cases"], whole["hits"]) == _recall(pairs("benchmark", "item_id", "text"), pairs("documents", "doc_id", "text"))
 
 
+def test_recall_counts_a_bounded_number_of_pairs_in_a_task(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    pick, words = random.Random(3), [f"w{i}" for i in range(12)]
+    said = lambda n: " ".join(pick.choices(words, k=n)) if n else None
+    items, docs = [(pick.randrange(9), said(pick.randrange(6))) for _ in range(15)], [(pick.choice([*range(60), None]), said(pick.randrange(9))) for _ in range(90)]
+    counts = Counter((i, d) for i, t in items for d, u in docs for _ in set((t or "").split()) & set((u or "").split()))
+    frames = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    monkeypatch.setattr(catalogue, "_PAIRS", 100, raising=False)
+    shared = catalogue._common_words(*frames)
+    assert {(r["item_id"], r["doc_id"]): r["n"] for r in shared.collect()} == counts
+    # 90 documents by the items' ids, 100 pairs a task, and the counts stay where they are made.
+    assert shared.rdd.getNumPartitions() == -(-90 * len({i for i, _ in items}) // 100)
+    place = lambda d: -1 if d is None else d
+    for k in (1, 2, 5, 40):
+        hits, asked = 0, {i for i, _ in counts}
+        for i in asked:
+            found = sorted((-n, place(d)) for (j, d), n in counts.items() if j == i)
+            last = max((-n, d) for n, d in found)[1]
+            hits += last >= 0 and last in [d for _, d in found[:k]]
+        got = catalogue.recall_of(*frames, k).first()
+        assert (got["cases"], got["hits"]) == (len(asked), hits)
+
+
 def test_planted_recall_expects_whole_quotations(spark):
     items = [(1, "one two three"), (2, "four five"), (3, None), (4, "...")]
     docs = [(d, "three two one") for d in range(5)] + [(9, "so: one two three, he said"), (10, None), (11, "four five"), (11, "four five"), (12, "five four ...")]
