@@ -79,26 +79,25 @@ def last_lookup(log: DataFrame, key: str, time: str, event_id: str, lookup: Colu
 
 
 def _clean_message(message: Column) -> Column:
-    return F.trim(F.regexp_replace(text.composed(F.lower(message)), r"[.!,?…\s]+$", ""))
+    return F.trim(F.rtrim(text.composed(F.lower(message), short=True), F.lit(".!,?… \t\n\x0b\f\r")))
 
 
 def verdict_of(message: Column) -> Column:
     """The verdict of a message that is nothing but one of the phrases, else null."""
-    plain, out = _clean_message(message), F.lit(None).cast("string")
-    for verdict, words in reversed(PHRASES.items()):
-        out = F.when(plain.isin(*words), verdict).otherwise(out)
-    return out
+    # One lookup, so that the message is cleaned once; a chain of conditions cleans it for each.
+    phrases = F.create_map(*[F.lit(x) for verdict, words in PHRASES.items() for w in words for x in (w, verdict)])
+    return F.try_element_at(phrases, _clean_message(message))
 
 
 def is_correction(message: Column) -> Column:
     """Whether a correcting word stands in a message as a whole word."""
-    return text.composed(F.lower(message)).rlike(r"(?u)(?<!\p{L})(" + "|".join(CORRECTION_CUES) + r")(?!\p{L})")
+    return text.composed(F.lower(message), short=True).rlike(r"(?u)(?<!\p{L})(" + "|".join(CORRECTION_CUES) + r")(?!\p{L})")
 
 
 def code_in(message: Column) -> Column:
     """The first tariff code written 4-2-2 with dots, blanks or nothing between."""
-    pattern = r"(\d{4})[.\s]?(\d{2})[.\s]?(\d{2})"
-    return F.nullif(F.concat(*[F.regexp_extract(message, pattern, i) for i in (1, 2, 3)]), F.lit(""))
+    pattern = r"\d{4}[.\s]?\d{2}[.\s]?\d{2}"
+    return F.when(message.rlike(pattern), F.regexp_replace(F.regexp_extract(message, pattern, 0), r"[.\s]", ""))
 
 
 def origin_in(message: Column) -> Column:

@@ -190,13 +190,19 @@ def _arriving(df: DataFrame, folder: str, column: str, last: DataFrame | None =
 
 @contextmanager
 def _state_on_disk(spark) -> Iterator[None]:
-    """Streams that start here keep their state in RocksDB."""
-    before = spark.conf.get(priors.STATE_STORE[0])
-    spark.conf.set(*priors.STATE_STORE)
+    """Streams that start here keep their state in RocksDB, whose rows aren't counted."""
+    settings = (priors.STATE_STORE, priors.UNCOUNTED)
+    before = {name: spark.conf.get(name, None) for name, _ in settings}
+    for setting in settings:
+        spark.conf.set(*setting)
     try:
         yield
     finally:
-        spark.conf.set(priors.STATE_STORE[0], before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def streamed_priors(spark, d):

@@ -19,11 +19,12 @@ def chat_log(messages: DataFrame, me: str, allowed: list[str] | None = None, tod
     """
     told = events.answerable(messages, me, allowed)
     verdict, fix = events.verdict_of(F.col("message")), events.code_in(F.col("message"))
-    correcting = verdict.isNull() & events.is_correction(F.col("message"))
-    said = F.coalesce(verdict, F.when(correcting & (fix == F.col("prior_code")), "correct").when(correcting, "wrong"))
+    # Of the rows that stay, those without a verdict of their own correct the last answer.
+    correcting = verdict.isNull()
+    said = F.coalesce(verdict, F.when(fix == F.col("prior_code"), "correct").otherwise("wrong"))
     day = F.coalesce("prior_day", F.lit(today) if today else F.col("day").cast("string"))
     own = tuple(c for c in ("message_id", "at") if c in messages.columns)
-    raw = told.where(verdict.isNotNull() | correcting).select(
+    raw = told.where(verdict.isNotNull() | events.is_correction(F.col("message"))).select(
         *own, F.when(correcting & fix.isNotNull() & ~fix.eqNullSafe(F.col("prior_code")), fix).alias("next_code"), F.col("prior_code").alias("hs"), F.lit(None).cast("string").alias("origin"), day.alias("day"),
         F.lit(None).cast("string").alias("schedule"), said.alias("verdict"), F.col("sender").alias("staff"), F.substring("message", 1, 1000).alias("note"), F.lit(None).cast("string").alias("snapshot"),
     )

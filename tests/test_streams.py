@@ -1,5 +1,7 @@
 """The stream forms: priors in event order with expiring state, and a log that repeated batches don't double."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,31 @@ SAID = [
 ]
 
 
+def test_messages_of_a_log_are_judged_without_a_python_call_for_each(spark):
+    # Verdicts, ends to be cut off, letters and marks apart, codes in each writing, codes that confirm, and what is no verdict.
+    said = [
+        ("Đúng rồi!", "correct", None), (" ok…\t.\r\n", "correct", None), ("SAI BÉT?!", "wrong", None), ("không chắc", "unsure", None), ("nhầm", "wrong", None), ("phải là 8481 80.99, không phải 0202.30.00", "wrong", "84818099"),
+        ("mã đúng: 01012100", "correct", None), ("đúng là 0101\n21.00 nhé", "correct", None), ("sai, 0101.2", "wrong", None), ("saigon 84818099", None, None), ("ok, 8481.80.99", None, None), ("…", None, None), ("sai rồi\u2028", "wrong", None), ("ok\u2028", None, None), (None, None, None),
+    ]
+    both = said + [(unicodedata.normalize("NFD", m), v, c) for m, v, c in said if m]
+    df = messages(spark, [(i, "2024-01-01 10:00:00", "An", "t", False, m, None, False, "2024-01-01", "01012100", None) for i, (m, _, _) in enumerate(both)])
+    log = ingest.chat_log(df, "bot")
+    assert rows_of(log.select("message_id", "verdict", "next_code")) == sorted(((i, v, c) for i, (_, v, c) in enumerate(both) if v), key=str)
+    unanswered = ingest.chat_log(df.withColumn("prior_code", F.lit(None).cast("string")), "bot").where(F.col("message_id").isin(5, 6, 8))
+    assert rows_of(unanswered.select("message_id", "verdict", "next_code", "problem")) == [(5, "wrong", "84818099", "hs"), (6, "wrong", "01012100", "hs"), (8, "wrong", None, "hs")]
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" in plan
+
+
+def test_state_on_disk_is_not_counted_and_settings_come_back(spark):
+    names = [name for name, _ in (priors.STATE_STORE, priors.UNCOUNTED)]
+    before = [spark.conf.get(name, None) for name in names]
+    with pytest.raises(RuntimeError, match="lost"), records._state_on_disk(spark):
+        assert [spark.conf.get(name) for name in names] == [priors.STATE_STORE[1], "false"]
+        raise RuntimeError("lost")
+    assert [spark.conf.get(name, None) for name in names] == before
+
+
 def test_a_log_of_chat(spark, tmp_path):
     for i, some in enumerate((SAID[:3], SAID[1:5], SAID[4:])):
         messages(spark, some).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
