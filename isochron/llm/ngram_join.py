@@ -4,8 +4,9 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets of distinct
 
 1. signatures: set size, fingerprint and count vector of each document; equal sets make a class, whose least id stands
    for it. Tokens that a task meets repeatedly are counted, for the order of rarity;
-2. prefixes: of n shingles in that order, linked documents share one of the first n - ceil(0.75 n) + 1. Documents that
-   share a prefix token form a block around the least of them;
+2. prefixes: of n shingles in that order, linked documents share three of the first n - ceil(0.75 n) + 3. Two documents
+   that share three tokens of at most eight holders each form a block, as do those that share one of more holders; both
+   lie around the least of them. One or two shared tokens, as chance brings together, form none;
 3. candidates: shingles hash into groups, the counts by group are a point of an R-tree over each block, and the sum of
    coordinate minima with a node's upper corner bounds every overlap below it. Points are a small part of the sets' size;
    only documents that some bound lets pass go on, with those they are joined to by such bounds as their new block;
@@ -39,8 +40,13 @@ LEAST_BITS, MOST_BITS = 4, 14
 #: Tokens of the table that orders by rarity; others count as rarer, in the order of their hashes. The order only steers cost.
 FREQUENT = 1 << 17
 _FLUSH = 1 << 22
-#: Slices of the tokens by value, one after the other, of which the hubs are told.
-SLICES = 4
+#: Tokens that linked documents share at least in their prefixes, and holders up to which a token tells its pairs one by one.
+SHARED, FEW = 3, 8
+#: Tokens are gone through in slices by value, one after the other: of at most so many tokens, and so many slices where each
+#: has the least number.
+SLICE, LEAST_SLICE, SLICES = 1 << 24, 1 << 22, 4
+#: Leaves' worth of documents of which a block's points are compared at once, and members of blocks whose points move at once.
+POINT_LEAVES, POINT_ROWS = 4, 1 << 20
 
 
 #: A document's set: both halves of its shingles' names, distinct and sorted by the first.
@@ -119,8 +125,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], secret: bytes) -> Iterator[pa
 
 
 def prefix_length(n: int) -> int:
-    """How many of n shingles, in an order common to all documents, are sure to meet a linked document's."""
-    return n - -(-3 * n // 4) + 1
+    """How many of n shingles, in an order common to all documents, are sure to meet ``SHARED`` of a linked document's.
+
+    Documents of fewer than ``SHARED`` shingles link with none but equal sets.
+    """
+    return min(n, n - -(-3 * n // 4) + SHARED)
+
+
+def slices_of(n: int) -> int:
+    """Into how many slices n tokens go."""
+    return max(1, -(-n // SLICE), min(SLICES, -(-n // LEAST_SLICE)))
 
 
 class Rarity:
@@ -328,6 +342,49 @@ def most_repeated(counts: DataFrame, limit: int) -> list[tuple[int, int]]:
     return rows
 
 
+def _met(tokens: DataFrame, n_slots: int) -> DataFrame:
+    """(hub, doc, times), written: pairs of documents, the least first, with how many of ``tokens`` (token, doc) of few holders they share.
+
+    Documents around the hub of a token of more holders, its least one, count as if they shared ``SHARED`` tokens. Those
+    hubs are aggregated in part before they shuffle and written once, so that the join can be split on a token that very
+    many hold.
+    """
+    spark = tokens.sparkSession
+    ends = [F.min("doc").alias("hub"), F.max("doc").alias("last"), F.bit_xor("doc").alias("all"), F.count(F.lit(1)).alias("n")]
+    told = cut(tokens.groupBy("token").agg(*ends).where(F.col("hub") < F.col("last")))
+    between = F.col("all").bitwiseXOR(F.col("hub")).bitwiseXOR(F.col("last"))
+    pair = lambda a, b: F.struct(a.alias("hub"), b.alias("doc"))
+    ends_of = pair(F.col("hub"), F.col("last"))
+    each = F.when(F.col("n") == 2, F.array(ends_of)).otherwise(F.array(ends_of, pair(F.col("hub"), between), pair(between, F.col("last"))))
+    few = told.where(F.col("n") <= 3).select(F.explode(each).alias("p")).select("p.*")
+    block = lambda df: df.select("hub", "doc").distinct().withColumn("times", F.lit(SHARED).cast("bigint"))
+    around = None
+    many = told.where(F.col("n") > 3).select("token", "hub", "n")
+    if n := many.count():
+        slots = bloom.sized(n, n_slots)
+        met = spark.sparkContext.broadcast(bloom.of_longs(many, "token", slots))
+
+        def several_hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = bloom.Members(met.value, slots)
+            for b in batches:
+                keep = seen(b["token"].to_numpy().view(np.uint64))
+                if keep.any():
+                    yield b.filter(pa.array(keep))
+
+        held = tokens.mapInArrow(several_hold, "token bigint, doc bigint").join(many, "token")
+        around = cut(held.select("token", "hub", "doc", "n").where((F.col("n") <= FEW) | (F.col("hub") != F.col("doc"))))
+        sets = around.where(F.col("n") <= FEW).groupBy("token").agg(F.collect_set("doc").alias("docs"))
+        each = sets.select(F.explode("docs").alias("hub"), "docs").select("hub", F.explode("docs").alias("doc")).where(F.col("hub") < F.col("doc"))
+        few = few.unionByName(each)
+    found = few.where(F.col("hub") != F.col("doc")).groupBy("hub", "doc").agg(F.count(F.lit(1)).alias("times"))
+    if around is not None:
+        found = found.unionByName(block(around.where(F.col("n") > FEW)))
+    found = cut(found)
+    for done in (told, *([around] if around is not None else [])):
+        discard(done)
+    return found
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = bloom.SLOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
@@ -353,13 +410,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = most_repeated(scanned.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("times").alias("times")), FREQUENT)
     rarity = spark.sparkContext.broadcast(Rarity(np.array([r[0] for r in frequent] or [0], np.int64).view(np.uint64), np.array([r[1] for r in frequent] or [0], np.int64)))
 
+    # Copies are left to their representatives. A filter of all others is asked, which may let a copy through.
+    emitters = None
+    if not copied.isEmpty():
+        alone = known.join(copied, "doc", "left_anti").select("doc").distinct()
+        emitter_slots = bloom.sized(alone.count(), n_slots)
+        emitters = spark.sparkContext.broadcast(bloom.of_longs(alone, "doc", emitter_slots))
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen, named = rarity.value, set(), textkernel.WordNames(secret)
+        sends = bloom.Members(emitters.value, emitter_slots) if emitters else None
         for b in batches:
-            doc = b["doc"].to_numpy(zero_copy_only=False)
+            doc = b["doc"].to_numpy(zero_copy_only=False).astype(np.int64)
             tokens, owners = [], []
-            for i, s in _sets(b, named):
-                if not len(s[0]) or (mark := fingerprint(s)) in seen:
+            for i, s in _sets(b, named, None if sends is None else np.flatnonzero(sends(doc.view(np.uint64)))):
+                if len(s[0]) < SHARED or (mark := fingerprint(s)) in seen:
                     continue  # this task has sent an equal set's tokens already
                 if len(seen) < 1 << 18:
                     seen.add(mark)
@@ -367,29 +432,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 tokens.append(p)
                 owners.append(np.full(len(p), doc[i]))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))], names=["token", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], names=["token", "doc"])
 
     tokens = stored(rows.where(F.col("doc").isNotNull()).mapInArrow(prefixes, "token bigint, doc bigint"), "tokens")
-    # The hub of a token is its least document. Hubs are aggregated in part before they shuffle and written once, and only
-    # tokens of several documents are joined with them, so that the join can be split on a token that very many hold.
-    # Nearly all tokens are met once; they are told in slices, so that no more than a share of them lies in shuffle files.
-    told = [cut(tokens.where(F.pmod("token", F.lit(SLICES)) == i).groupBy("token").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("token", "hub")) for i in range(SLICES)]
-    hubs = reduce(DataFrame.unionByName, told)
-    slots = bloom.sized(hubs.count(), n_slots)
-    met = spark.sparkContext.broadcast(bloom.of_longs(hubs, "token", slots))
-
-    def several_hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bloom.Members(met.value, slots)
-        for b in batches:
-            keep = seen(b["token"].to_numpy().view(np.uint64))
-            if keep.any():
-                yield b.filter(pa.array(keep))
-
-    pairs = tokens.mapInArrow(several_hold, "token bigint, doc bigint").join(hubs, "token").where(F.col("hub") != F.col("doc")).select("hub", "doc").distinct()
-    as_rep = lambda df, c: df.join(copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep")), F.col(c) == F.col("__doc"), "left").withColumn(c, F.coalesce("__rep", c)).drop("__doc", "__rep")
-    pairs = as_rep(as_rep(pairs, "hub"), "doc").where(F.col("hub") != F.col("doc")).distinct()
-    pairs = cut(pairs)
-    discard(tokens)
+    slices = slices_of(tokens.count())
+    told = [_met(tokens.where(F.pmod("token", F.lit(slices)) == i), n_slots) for i in range(slices)]
+    renamed = copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep"))
+    as_rep = lambda df, c: df.join(renamed, F.col(c) == F.col("__doc"), "left").withColumn(c, F.coalesce("__rep", c)).drop("__doc", "__rep")
+    by_class = as_rep(as_rep(reduce(DataFrame.unionByName, told), "hub"), "doc").where(F.col("hub") != F.col("doc"))
+    # A pair is the same either way round; a row that stands for a block stays with its hub.
+    single = F.col("times") < SHARED
+    ends = [F.when(single, f("hub", "doc")).otherwise(F.col(c)).alias(c) for f, c in ((F.least, "hub"), (F.greatest, "doc"))]
+    pairs = cut(by_class.groupBy(*ends).agg(F.sum("times").alias("times")).where(F.col("times") >= SHARED).select("hub", "doc"))
+    for done in (tokens, *told):
+        discard(done)
     members = pairs.unionByName(pairs.select("hub", F.col("hub").alias("doc")).distinct())
 
     widths = known.groupBy("doc").agg(F.max("n").alias("__size"))
@@ -404,9 +460,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rough = cut(in_leaves(members))
     points = scanned.where(F.col("n") > 0).groupBy("doc", "print", "second").agg(F.min("point").alias("point")).drop("print", "second")
-    near = rough.where(F.col("leaves") == 1).join(points, "doc").select("hub", "doc", "point").repartition("hub").sortWithinPartitions("hub", "doc").mapInArrow(_candidates, "hub bigint, doc bigint")
-    blocks = cut(near.unionByName(rough.where(F.col("leaves") > 1).select("hub", "doc")).distinct())
-    for done in (scanned, *told, pairs, rough):
+    bounded = rough.where(F.col("leaves") <= POINT_LEAVES)
+    turns = -(-bounded.count() // POINT_ROWS)
+    near = []
+    for i in range(turns):
+        own = bounded.where(F.pmod(F.xxhash64("hub"), F.lit(turns)) == i).join(points, "doc").select("hub", "doc", "point")
+        found = own.repartition("hub").sortWithinPartitions("hub", "doc").mapInArrow(_candidates, "hub bigint, doc bigint")
+        near.append(cut(found) if turns > 1 else found)
+    blocks = cut(reduce(DataFrame.unionByName, [*near, rough.where(F.col("leaves") > POINT_LEAVES).select("hub", "doc")]).distinct())
+    for done in (scanned, pairs, rough, *(near if turns > 1 else [])):
         discard(done)
     leafed = cut(in_leaves(blocks))
 
@@ -449,9 +511,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(scans)
 
     roots = cut(components(links.unionByName(tied.select(F.col("doc").alias("a"), F.col("rep").alias("b")))))
-    by_class = sizes.join(copied.select(F.col("doc").alias("__doc"), F.col("rep").alias("__rep")), F.col("doc") == F.col("__doc"), "left").select("doc", "n", F.coalesce("__rep", "doc").alias("__rep"))
-    told = by_class.join(roots.select(F.col("node").alias("__node"), "root"), F.col("__rep") == F.col("__node"), "left")
-    return told.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "__rep").alias("component_id"))
+    classed = sizes.join(renamed, F.col("doc") == F.col("__doc"), "left").select("doc", "n", F.coalesce("__rep", "doc").alias("__rep"))
+    placed = classed.join(roots.select(F.col("node").alias("__node"), "root"), F.col("__rep") == F.col("__node"), "left")
+    return placed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "__rep").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

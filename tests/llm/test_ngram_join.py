@@ -117,3 +117,52 @@ def test_most_repeated_tokens_are_bounded(spark):
         assert limit < 60 or set(range(50)) <= set(got)
         assert len(got) >= 0.5 * min(limit, len(every))
     assert ngram_join.most_repeated(counts.limit(0), 10) == []
+
+
+def written_rows(monkeypatch):
+    """Rows of each table that the join writes, by its columns, in the order written."""
+    found, keep = [], ngram_join.stored
+
+    def told(df, label):
+        out = keep(df, label)
+        found.append((label, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", told)
+    monkeypatch.setattr(ngram_join, "cut", lambda df: told(df, "cut"))
+    return found
+
+
+def test_one_or_two_shingles_shared_by_chance_make_no_block(spark, monkeypatch):
+    words = lambda i: [f"d{i}x{k}" for k in range(20)]
+    # Each document has a run of six words, two shingles, of the one before it, and linked copies lie among them.
+    rows = [(i, " ".join(words(i)[:14] + words(i - 1)[14:20])) for i in range(60)] + [(60, " ".join([*words(7)[:14], *words(6)[14:20], "tail"]))]
+    found = written_rows(monkeypatch)
+    assert sorted(result(spark, rows), key=str) == wanted(rows)
+    assert max(n for _, columns, n in found if columns == ["hub", "doc"]) == 2
+
+
+def test_copies_send_no_tokens(spark, monkeypatch):
+    texts = [" ".join(f"c{i}x{k}" for k in range(40)) for i in range(20)]
+    found = written_rows(monkeypatch)
+    n = []
+    for copies in (1, 6):
+        rows = [(20 * c + i, t) for c in range(copies) for i, t in enumerate(texts)]
+        assert sorted(result(spark, rows), key=str) == wanted(rows)
+        n.append(next(k for label, _, k in reversed(found) if label == "tokens"))
+    assert n[0] == n[1]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_slices_copies_and_repeated_ids(spark, monkeypatch, seed):
+    for name, n in (("SLICE", 200), ("LEAST_SLICE", 60), ("POINT_ROWS", 20)):
+        monkeypatch.setattr(ngram_join, name, n)
+    rng = random.Random(seed)
+    bases = [[rng.choice("abcdefgh") for _ in range(rng.randint(6, 14))] for _ in range(6)]
+    rows = []
+    for i in range(70):
+        base = list(rng.choice(bases))
+        if rng.random() < 0.6:
+            base.insert(rng.randrange(len(base)), rng.choice("abcdefgh"))
+        rows.append((rng.randrange(60), " ".join(base)))
+    assert sorted(result(spark, rows), key=str) == wanted(rows)
