@@ -183,3 +183,32 @@ def test_search_for_many_in_small_bins(spark, tmp_path, monkeypatch):
         for q in range(0, 1200, 20):
             dist = np.where(np.isin(cell, index.nearest_cells(x[q].tolist(), probes)), np.round(1 - unit @ unit[q], 9), np.inf)
             assert [p for _, p in sorted(got[q])] == np.lexsort((np.arange(1200), dist))[:10].tolist()
+
+
+def test_making_postings_shuffles_no_words(spark, tmp_path):
+    """Words are counted where they are read, so what is shuffled doesn't grow with them."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getPath(): f.length() for f in (s.apply(i) for s in [disk.getAllFiles()] for i in range(s.size())) if f.getName().startswith("shuffle")}
+    sizes = []
+    for repeat in (1, 20):
+        chunks = made_chunks(spark, 600).withColumn("tokens", F.flatten(F.array_repeat(F.transform("tokens", lambda t: F.concat(t, F.col("pid").cast("string"))), repeat)))
+        before = set(files())
+        postings.create(chunks, str(tmp_path / f"words{repeat}"), 32)
+        sizes.append(sum(n for k, n in files().items() if k not in before))
+    assert sizes[0] < 600 * 40 and sizes[1] < 600 * 40, sizes
+
+
+def test_postings_of_repeated_ids_and_of_no_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "_TOKENS", 100)
+    chunks = made_chunks(spark, 200)
+    twice = chunks.unionByName(chunks.where(F.col("pid") < 50)).unionByName(chunks.where(F.col("pid") < 20).withColumn("tokens", F.array(F.lit("w40"), F.lit("w1"))))
+    path = str(tmp_path / "words")
+    postings.create(twice, path, 32)
+    # Equal rows of one id count together: twice the occurrences over the length of one.
+    own = twice.where(keep()).groupBy("aid", "pid", F.size("tokens").alias("length")).agg(F.flatten(F.collect_list("tokens")).alias("all"))
+    n = F.size(F.filter("all", lambda t: t.isin("w40", "w3")))
+    want = own.where(n > 0).select("aid", "pid", F.round(n / (1 + F.log(F.col("length").cast("double"))), 9).alias("s")).orderBy(F.desc("s"), "pid").limit(40).collect()
+    got = hits(postings.keyword_branch(spark, path, ["w40", "w3"], keep(), 40))
+    assert sorted(r[:2] for r in got) == sorted((r["aid"], r["pid"]) for r in want)
+    postings.create(chunks.limit(0), str(tmp_path / "none"), 32)
+    assert hits(postings.keyword_branch(spark, str(tmp_path / "none"), ["w40"], keep(), 5)) == []
