@@ -58,3 +58,17 @@ def test_columns_named_like_helpers(spark, sf):
     for done, want in ((ngram_join.keep_one(docs), {1, 3, None}), (decontaminate.drop_contaminated(docs, items), {3, None}), (quality.keep_good(docs, spark.read.parquet(f"{sf}/labels.parquet"), 0.0), {1, 2, 3, None})):
         assert done.columns == docs.columns
         assert {r["doc_id"] for r in done.collect()} == want and {r["__id"] for r in done.collect()} == {"__id"}
+
+
+def test_a_stage_s_copy_goes_once_the_next_is_written(spark, sf):
+    from pathlib import Path
+
+    from isochron.llm.common import shared_folder
+
+    names = {n.replace(" ", "-") for n, _ in corpus_pipeline.STAGES}
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    copies = lambda: {p.name for p in folder.iterdir() if p.name.rpartition("-")[0] in names}
+    folder.mkdir(parents=True, exist_ok=True)
+    before = copies()
+    corpus_pipeline.run(spark, sf)
+    assert [n.rpartition("-")[0] for n in copies() - before] == ["benchmark-decontamination"]
